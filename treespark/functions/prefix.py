@@ -18,15 +18,16 @@ _FOLDS = {
 }
 
 
-def quantile_bucket(df: DataFrame, key: str, buckets: int | None = None) -> Column:
-    """An order-preserving bucket number for a numeric key, from approximate quantiles of the table.
+def with_quantile_bucket(df: DataFrame, key: str, buckets: int | None = None, name: str = "_bucket") -> DataFrame:
+    """Add an order-preserving bucket number for a numeric key, from approximate quantiles of the table.
 
     The quantiles only steer the load; ranks are exact whatever they are.
     """
     count = buckets or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     steps = [i / count for i in range(1, count)] or [0.5]
-    cuts = df.agg(F.percentile_approx(key, steps, 10_000).alias("cuts")).scalar()
-    return F.aggregate(cuts, F.lit(0), lambda n, cut: n + (F.col(key) > cut).cast("int"))
+    cuts = df.agg(F.percentile_approx(key, steps, 10_000)).scalar()
+    above = F.aggregate("_cuts", F.lit(0), lambda n, cut: n + (F.col(key) > cut).cast("int"))
+    return df.withColumn("_cuts", cuts).withColumn(name, above).drop("_cuts")
 
 
 def prefix_bucket(key: str, chars: int = 2) -> Column:
@@ -47,8 +48,7 @@ def running(
     ``folds`` maps an output column to (fold, expression). ``bucket`` must not decrease along
     ``order``; by default it comes from quantiles of the first order column, which must be numeric.
     """
-    bucket = quantile_bucket(df, order[0], buckets) if bucket is None else bucket
-    bucketed = df.withColumn("_bucket", bucket)
+    bucketed = with_quantile_bucket(df, order[0], buckets) if bucket is None else df.withColumn("_bucket", bucket)
     keys = [*partition, "_bucket"]
     totals = bucketed.groupBy(*keys).agg(*[_FOLDS[f][0](e).alias(n) for n, (f, e) in folds.items()])
     before = Window.partitionBy(*partition).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)

@@ -6,6 +6,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType
 
 from treespark.functions import vectors
 from treespark.functions.arrays import computed, exploded, item, let
@@ -177,7 +178,7 @@ def missing_positions(wanted: DataFrame, vecs: DataFrame) -> DataFrame:
     return wanted.join(vecs, ["sent_id", "pos"], "left_anti")
 
 
-@F.pandas_udf("array<array<double>>")
+@F.pandas_udf(ArrayType(ArrayType(DoubleType())))
 def _tree_cosines(flat: pd.Series, dims: pd.Series, roots: pd.Series, trees: pd.Series) -> pd.Series:
     """Per set the cosines of the root with the attention-pooled members of each tree.
 

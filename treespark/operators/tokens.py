@@ -20,7 +20,7 @@ def sentence_rows(df: DataFrame, fields: list[str], *keys: str) -> DataFrame:
     gathered = df.groupBy("sent_id", *keys).agg(
         F.sort_array(F.collect_list(F.struct("id", *fields))).alias("_rows")
     )
-    return gathered.select("sent_id", *keys, *[F.transform("_rows", lambda r, f=f: r[f]).alias(f) for f in fields])
+    return gathered.select("sent_id", *keys, *[F.col("_rows")[f].alias(f) for f in fields])
 
 
 def is_integer_id(column: Column) -> Column:

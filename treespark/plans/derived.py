@@ -11,8 +11,11 @@ from pyspark.sql import functions as F
 
 from treespark.functions.arrays import computed, let, upto
 from treespark.functions.draws import draw
+from treespark.functions.prefix import prefix_bucket, ranked
 from treespark.operators.subword import spans_of_counts
-from treespark.session import spread
+from treespark.operators.vocabulary import piece_ids
+from treespark.sources.sinks import conllu_block
+from treespark.session import scratch_path, spread
 
 PIECE_LENGTH = 4
 
@@ -113,3 +116,93 @@ def metric_log(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("event_id").alias("event_id"),
         "value",
     )
+
+
+def text_with_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(value): sentences as labelled lines where the document has labels, as bare text elsewhere."""
+    labels = table(spark, sf_dir, "labels")
+    text = F.array_join("tokens", " ")
+    mark = F.when(F.col("toxic") == 1, "*").otherwise("")
+    labelled = F.concat_ws("\t", F.concat(F.lit("d"), "doc_id"), F.col("quality").cast("string"), mark, text)
+    joined = sentences(spark, sf_dir).join(labels, "doc_id", "left")
+    return joined.select(F.when(F.col("quality").isNotNull(), labelled).otherwise(text).alias("value"))
+
+
+def conllu_rows(df: DataFrame) -> DataFrame:
+    """(split, value): sentences as CoNLL-U blocks; gold ones get a range line and an empty node."""
+    plain = conllu_block(F.col("tokens"), F.col("xpos"), F.col("head"), F.col("deprel"))
+    extra = lambda number: F.concat(F.lit(f"{number}\tx"), F.lit("\t_" * 8))
+    comments = F.concat(
+        F.lit("# sent_id = "), F.col("sent_id").cast("string"),
+        F.lit("\n# s_type = s"), (F.size("tokens") % 5).cast("string"),
+        F.lit("\n# text = "), F.array_join("tokens", " "),
+    )
+    gold = F.concat_ws("\n", comments, extra("1-2"), plain, extra("3.1"))
+    block = F.when(F.col("is_gold") == 1, gold).otherwise(F.concat_ws("\n", comments, plain))
+    return df.select("split", F.concat(block, F.lit("\n")).alias("value"))
+
+
+def treebank_folder(spark: SparkSession, sf_dir: str) -> str:
+    """The treebank written as three CoNLL-U entries under the shared folder; returns the folder."""
+    folder = scratch_path(spark, "treebank")
+    rows = conllu_rows(sentences(spark, sf_dir))
+    for split in ("train", "dev", "test"):
+        rows.where(F.col("split") == split).select("value").write.text(f"{folder}/tb-{split}.conllu")
+    return folder
+
+
+def encoded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sentences with fixed-length pieces: adds piece strings per word and token_spans."""
+    df = sentences(spark, sf_dir)
+    return computed(df, pieces=pieces(F.col("tokens")), token_spans=spans(F.col("tokens")))
+
+
+def piece_rows(df: DataFrame) -> DataFrame:
+    """(sent_id, split, id, pos, piece) of the fixed-length pieces; positions count from 1."""
+    flat = df.select("sent_id", "split", F.posexplode(F.flatten(F.transform(
+        "pieces", lambda ps, i: F.transform(ps, lambda p: F.struct((i + 1).alias("id"), p.alias("piece")))
+    ))).alias("p", "x"))
+    return flat.select("sent_id", "split", "x.id", (F.col("p") + 1).alias("pos"), "x.piece")
+
+
+def piece_vocabulary(rows: DataFrame) -> DataFrame:
+    """(piece, id): pieces seen at least twice in code-point order, after the five special ids."""
+    kept = rows.groupBy("piece").count().where("count >= 2").select(F.lit(0).alias("all"), "piece")
+    numbered = ranked(kept, ["all"], ["piece"], "id", prefix_bucket("piece", 4))
+    return numbered.select("piece", (F.col("id") + 4).cast("int").alias("id"))
+
+
+def id_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sentences with input_ids over the vocabulary of fixed-length pieces (``tokenize``'s columns)."""
+    df = encoded(spark, sf_dir)
+    rows = piece_rows(df)
+    ids = piece_ids(rows, piece_vocabulary(rows))
+    flat = ids.groupBy("sent_id").agg(F.sort_array(F.collect_list(F.struct("pos", "token_id"))).alias("_ids"))
+    joined = df.drop("pieces").join(flat, "sent_id")
+    inner = F.transform("_ids", lambda x: x["token_id"].cast("int"))
+    return computed(joined, input_ids=F.concat(F.array(F.lit(1)), inner, F.array(F.lit(2)))).drop("_ids")
+
+
+def position_vectors(spark: SparkSession, sf_dir: str, count) -> DataFrame:
+    """(sent_id, pos, vec) for positions 0..``count`` of every sentence, from the embedding table."""
+    vecs = table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").alias("vec"))
+    size = vecs.agg(F.count("*")).scalar()
+    rows = sentences(spark, sf_dir).select("sent_id", F.explode(F.sequence(F.lit(0), count)).alias("pos"))
+    keyed = rows.withColumn("vec_id", (F.col("sent_id") * 31 + F.col("pos")) % size)
+    return keyed.join(vecs, "vec_id").select("sent_id", "pos", "vec")
+
+
+def attention_rows(df: DataFrame, heads: int = 2, layers: int = 1) -> DataFrame:
+    """(sent_id, layer, head_no, i, weights): a distribution per position 0..n+1, from the keys."""
+    def weight(j: Column) -> Column:
+        mixed = F.col("sent_id") * 7 + F.col("i") * 13 + j * 29 + F.col("layer") * 3 + F.col("head_no") * 5
+        return (mixed % 97 + 1).cast("double")
+
+    last = F.size("head") + 1
+    grid = F.flatten(F.transform(F.sequence(F.lit(0), F.lit(layers - 1)), lambda a: F.flatten(F.transform(
+        F.sequence(F.lit(0), F.lit(heads - 1)), lambda b: F.transform(F.sequence(F.lit(0), last), lambda i: F.struct(
+            a.alias("layer"), b.alias("head_no"), i.alias("i")))))))
+    rows = df.select("sent_id", F.size("head").alias("n"), F.explode(grid).alias("x")).select("sent_id", "n", "x.*")
+    raw = computed(rows, raw=F.transform(F.sequence(F.lit(0), F.col("n") + 1), weight))
+    total = F.aggregate("raw", F.lit(0.0), lambda s, x: s + x)
+    return computed(raw, weights=let(total, lambda t: F.transform("raw", lambda x: x / t))).drop("raw", "n")

@@ -77,7 +77,7 @@ def parse_blocks(df: DataFrame, plain_ids_only: bool = True) -> DataFrame:
     names = {"tokens": "form", "xpos": "xpos", "head": "head", "deprel": "deprel"}
     return parsed.select(
         *[c for c in df.columns if c != "block"],
-        *[F.transform("_w", lambda w, f=f: w[f]).alias(n) for n, f in names.items()],
+        *[F.col("_w")[f].alias(n) for n, f in names.items()],
     )
 
 
