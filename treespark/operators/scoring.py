@@ -58,6 +58,20 @@ def choose_heads(arc_scores: DataFrame) -> DataFrame:
     return best_class(arc_scores.where("head <> id"), ["sent_id", "id"], "head", "score")
 
 
+def greedy_heads(scores: Column) -> Column:
+    """Best head of every word inside the row; the smaller head wins a tie.
+
+    ``scores`` holds per word the scores of heads 0..n. The word itself cannot be chosen. The result need not
+    be a tree (``trees.off_tree_report`` tells).
+    """
+
+    def best(row: Column, i: Column) -> Column:
+        others = F.transform(row, lambda s, h: F.when(h != i + 1, s))
+        return let(others, lambda xs: (F.array_position(xs, F.array_max(xs)) - 1).cast("int"))
+
+    return F.transform(scores, best)
+
+
 # --- classification ---------------------------------------------------------------------------------
 
 

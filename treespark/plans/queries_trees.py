@@ -357,19 +357,9 @@ def _(spark, sf):
 ARCS = f"SELECT c.sent_id, c.id, h.id AS head, {key('c.sent_id', 'c.id', 'h.id')} AS score FROM tb c JOIN (SELECT sent_id, id FROM tb UNION ALL SELECT DISTINCT sent_id, 0 FROM tb) h ON h.sent_id = c.sent_id AND h.id <> c.id"
 
 
-def _arc_scores(spark, sf):
-    """Scores of every possible head of every word, as a parser would store them."""
-    df = derived.sentences(spark, sf).withColumn("n", F.size("head"))
-    rows = trees.edges(df, "n").select("sent_id", "id", F.explode(F.sequence(F.lit(0), F.col("n"))).alias("head"))
-    return rows.withColumn("score", draw_key(F.col("sent_id"), F.col("id"), F.col("head")))
-
-
-HEADS = sql(f"SELECT sent_id, id, arg_max(head, score) AS head FROM ({ARCS}) GROUP BY sent_id, id", "tb")
-
-
-@query("h19_chosen_heads", HEADS)
-@query("g4_best_class", HEADS)
+@query("h19_chosen_heads", sql(f"SELECT sent_id, id, arg_max(head, score) AS head FROM ({ARCS}) GROUP BY sent_id, id", "tb"))
 def _(spark, sf):
-    return scoring.choose_heads(_arc_scores(spark, sf))
-
-
+    score = lambda i: lambda h: draw_key(F.col("sent_id"), i + 1, h)
+    scores = F.transform("head", lambda _, i: F.transform(F.sequence(F.lit(0), F.size("head")), score(i)))
+    df = computed(derived.sentences(spark, sf), head=scoring.greedy_heads(scores))
+    return trees.edges(df)
