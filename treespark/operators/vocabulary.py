@@ -33,7 +33,7 @@ class VocabularySettings:
     lowercase: bool = True
     decompose: bool = True
     special_tokens: tuple[str, ...] = SPECIALS
-    merges_per_round: int = 64
+    merges_per_round: int = 256
 
     def __post_init__(self):
         if self.model not in ("wordpiece", "bpe"):
@@ -104,16 +104,22 @@ def _best_pairs(table: DataFrame, count: int) -> list[tuple[str, str, int]]:
     return [(r["p"]["a"], r["p"]["b"], r["n"]) for r in best.collect()]
 
 
-def _disjoint(pairs: list[tuple[str, str, int]], limit: int) -> list[tuple[str, str]]:
-    """The most frequent pairs no two of which share a symbol, at least half as frequent as the first."""
-    used: set[str] = set()
+def _independent(pairs: list[tuple[str, str, int]], limit: int) -> list[tuple[str, str]]:
+    """The most frequent pairs that cannot overlap in a word, at least half as frequent as the first.
+
+    Two pairs overlap only where one's second symbol is the other's first, so no symbol may be both.
+    """
+    firsts: set[str] = set()
+    seconds: set[str] = set()
     chosen = []
     for a, b, n in pairs:
         if len(chosen) == limit or 2 * n < pairs[0][2]:
             break
-        if a not in used and b not in used:
+        alone = a == b and (a in firsts or a in seconds)
+        if a not in seconds and b not in firsts and not alone:
             chosen.append((a, b))
-            used |= {a, b}
+            firsts.add(a)
+            seconds.add(b)
     return chosen
 
 
@@ -122,7 +128,7 @@ def _joined(a: str, b: str, prefix: str) -> str:
 
 
 def _merge(values: Column, merges: list[tuple[str, str]], prefix: str) -> Column:
-    """Symbols after one left-to-right pass; merges share no symbol, so one pass applies them all."""
+    """Symbols after one left-to-right pass; merges cannot overlap, so one pass applies them all."""
     pairs = F.array(*[F.lit(f"{a}\x00{b}") for a, b in merges])
     merged = F.array(*[F.lit(_joined(a, b, prefix)) for a, b in merges])
 
@@ -140,8 +146,8 @@ def _merge(values: Column, merges: list[tuple[str, str]], prefix: str) -> Column
 def learn(words: DataFrame, settings: VocabularySettings = VocabularySettings()) -> tuple[DataFrame, list[tuple[str, str]]]:
     """Vocabulary (piece, id) and merges, in order, from a (word, freq) table.
 
-    Every round counts symbol pairs over the word table and merges the most frequent ones that share no
-    symbol. Only the round's pair list and the vocabulary -- bounded by its size -- come to the driver.
+    Every round counts symbol pairs over the word table and merges the most frequent ones that cannot
+    overlap. Only the round's pair list and the vocabulary -- bounded by its size -- come to the driver.
     """
     spark = words.sparkSession
     prefix = PREFIX if settings.model == "wordpiece" else ""
@@ -161,11 +167,10 @@ def learn(words: DataFrame, settings: VocabularySettings = VocabularySettings())
     pieces = list(dict.fromkeys([*settings.special_tokens, *alphabet, *first]))
     known_pieces = set(pieces)
     merges: list[tuple[str, str]] = []
-    rounds = 0
     while len(pieces) < size:
         room = size - len(pieces)
-        best = [p for p in _best_pairs(table, 8 * settings.merges_per_round) if p[2] >= max(1, settings.min_frequency)]
-        chosen = _disjoint(best, min(settings.merges_per_round, room))
+        best = [p for p in _best_pairs(table, 4 * settings.merges_per_round) if p[2] >= max(1, settings.min_frequency)]
+        chosen = _independent(best, min(settings.merges_per_round, room))
         if not chosen:
             break
         for a, b in chosen:
@@ -175,9 +180,7 @@ def learn(words: DataFrame, settings: VocabularySettings = VocabularySettings())
                 known_pieces.add(piece)
                 pieces.append(piece)
         table = table.select(_merge(F.col("symbols"), chosen, prefix).alias("symbols"), "freq")
-        rounds += 1
-        if rounds % 4 == 0:
-            table = cut_lineage(table)
+        table = cut_lineage(table)
     vocab = spark.createDataFrame([(p, i) for i, p in enumerate(pieces)], "piece string, id int")
     return vocab, merges
 
