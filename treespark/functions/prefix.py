@@ -1,7 +1,8 @@
 """Running folds and ranks over a whole table without putting a partition's rows into one task.
 
-Rows are cut into ordered buckets, each bucket is folded first (map-side), the bucket totals -- a
-small table -- are folded in order, and only then does a window run inside each bucket.
+Folds: rows are cut into ordered buckets, each bucket is folded first (map-side), the bucket totals -- a
+small table -- are folded in order, and only then does a window run inside each bucket. Ranks: rows are
+laid out by range, numbered per task, and the tasks' sizes added up.
 """
 
 from __future__ import annotations
@@ -10,6 +11,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
+from treespark.session import cut_lineage
+
+MAX_BUCKETS = 1_000
+
 _FOLDS = {
     "count": (F.count, F.sum, lambda carry, own: F.coalesce(carry, F.lit(0)) + own),
     "sum": (F.sum, F.sum, lambda carry, own: F.coalesce(carry, F.lit(0)) + own),
@@ -23,32 +28,25 @@ def with_quantile_bucket(df: DataFrame, key: str, buckets: int | None = None, na
 
     The quantiles only steer the load; ranks are exact whatever they are.
     """
-    count = buckets or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    count = buckets or min(4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), MAX_BUCKETS)
     steps = [i / count for i in range(1, count)] or [0.5]
     cuts = df.agg(F.percentile_approx(key, steps, 10_000)).scalar()
     above = F.aggregate("_cuts", F.lit(0), lambda n, cut: n + (F.col(key) > cut).cast("int"))
     return df.withColumn("_cuts", cuts).withColumn(name, above).drop("_cuts")
 
 
-def prefix_bucket(key: str, chars: int = 2) -> Column:
-    """An order-preserving bucket for a string key: its first characters."""
-    return F.substring(F.col(key), 1, chars)
-
-
 def running(
     df: DataFrame,
     partition: list[str],
     order: list[str],
     folds: dict[str, tuple[str, Column]],
-    bucket: Column | None = None,
     buckets: int | None = None,
 ) -> DataFrame:
     """Add running counts, sums, minima or maxima (current row included), per ``partition`` in ``order``.
 
-    ``folds`` maps an output column to (fold, expression). ``bucket`` must not decrease along
-    ``order``; by default it comes from quantiles of the first order column, which must be numeric.
+    ``folds`` maps an output column to (fold, expression). The first order column must be numeric.
     """
-    bucketed = with_quantile_bucket(df, order[0], buckets) if bucket is None else df.withColumn("_bucket", bucket)
+    bucketed = with_quantile_bucket(df, order[0], buckets)
     keys = [*partition, "_bucket"]
     totals = bucketed.groupBy(*keys).agg(*[_FOLDS[f][0](e).alias(n) for n, (f, e) in folds.items()])
     before = Window.partitionBy(*partition).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
@@ -66,13 +64,26 @@ def running(
     return joined.withColumns(out).drop("_bucket", *[c for c in carries.columns])
 
 
-def ranked(
-    df: DataFrame,
-    partition: list[str],
-    order: list[str],
-    name: str = "rank",
-    bucket: Column | None = None,
-    buckets: int | None = None,
-) -> DataFrame:
-    """Add the 1-based row number per ``partition`` in ``order``; the order must be unique per partition."""
-    return running(df, partition, order, {name: ("count", F.lit(1))}, bucket, buckets)
+def ranked(df: DataFrame, partition: list[str], order: list[str], name: str = "rank") -> DataFrame:
+    """Add the 1-based row number per ``partition`` in ``order``; the order must be unique per partition.
+
+    One range exchange lays the rows out in order, and the result is stored with each row's place in its
+    task, so a lost executor cannot change the layout. The rank is that place plus the sizes of the tasks
+    before: a small table, whose real size lets Spark decide whether to broadcast it.
+    """
+    keys = [*partition, *order]
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    laid = df.repartitionByRange(tasks, *keys).sortWithinPartitions(*keys)
+    place = F.monotonically_increasing_id().bitwiseAND(F.lit(2**33 - 1))
+    stored = cut_lineage(laid.withColumns({"_task": F.spark_partition_id(), "_place": place}))
+    sizes = stored.groupBy("_task", *partition).agg(F.count("*").alias("_n"), F.min("_place").alias("_first"))
+    earlier = Window.partitionBy(*partition).orderBy("_task").rowsBetween(Window.unboundedPreceding, -1)
+    before = F.coalesce(F.sum("_n").over(earlier), F.lit(0)) - F.col("_first")
+    offsets = cut_lineage(
+        sizes.select(*[F.col(k).alias(f"_k_{k}") for k in ("_task", *partition)], before.alias("_before"))
+    )
+    on = F.col("_task") == F.col("_k__task")
+    for k in partition:
+        on = on & F.col(k).eqNullSafe(F.col(f"_k_{k}"))
+    rank = F.col("_place") + F.col("_before") + 1
+    return stored.join(offsets, on).withColumn(name, rank).drop("_task", "_place", *offsets.columns)

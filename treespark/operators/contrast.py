@@ -58,9 +58,9 @@ def random_subtrees(max_number: int, seed: int = SEED) -> Sampler:
     return sample
 
 
-def _choices(items: Column, governed: Column) -> Column:
-    """Ascending combinations of one to three items, each with the size of all it governs and how many
-    items follow its last one."""
+def combinations(items: Column, governed: Column, most: Column) -> Column:
+    """Ascending combinations of one to three items, but of no more than ``most``, each with the size of all
+    it governs and how many items follow its last one."""
 
     def grow(items: Column, shorter: Column) -> Column:
         later = lambda c: F.filter(items, lambda x: x > F.element_at(c, -1))
@@ -71,12 +71,15 @@ def _choices(items: Column, governed: Column) -> Column:
         left = F.size(items) - F.array_position(items, F.element_at(c, -1)).cast("int")
         return F.struct(c.alias("ids"), size.alias("size"), left.alias("left"))
 
-    def choices(items: Column) -> Column:
+    def combined_items(items: Column) -> Column:
         ones = F.transform(items, lambda x: F.array(x))
-        combined = let(grow(items, ones), lambda twos: F.concat(ones, twos, grow(items, twos)))
+        longer = let(
+            grow(items, ones), lambda twos: F.when(most > 2, F.concat(twos, grow(items, twos))).otherwise(twos)
+        )
+        combined = F.when(most > 1, F.concat(ones, longer)).otherwise(ones)
         return F.transform(combined, lambda c: describe(items, c))
 
-    return let(items, choices)
+    return let(items, combined_items)
 
 
 def _repeats(k: Column, targets_left: Column, values_left: Column) -> Column:
@@ -125,10 +128,12 @@ def plan_structs(sent_id: Column, subtree: Column, governed: Column, settings: T
         )
         return let(F.filter(values, fits), add)
 
+    # A plan pairs as many targets as values, so longer combinations than the shorter side has are not needed.
+    most = F.least(F.size(targets), F.size(subtree["neighbours"]))
     return let(
-        _choices(subtree["neighbours"], governed),
+        combinations(subtree["neighbours"], governed, most),
         lambda values: F.aggregate(
-            _choices(targets, governed), start, lambda state, t: fold(values, state, t)
+            combinations(targets, governed, most), start, lambda state, t: fold(values, state, t)
         ),
     )
 

@@ -11,11 +11,11 @@ from pyspark.sql import functions as F
 
 from treespark.functions.arrays import computed, let, upto
 from treespark.functions.draws import draw
-from treespark.functions.prefix import prefix_bucket, ranked
+from treespark.functions.prefix import ranked
 from treespark.operators.subword import spans_of_counts
 from treespark.operators.vocabulary import piece_ids
 from treespark.sources.sinks import conllu_block
-from treespark.session import scratch_path, spread
+from treespark.session import cut_lineage, scratch_path, spread
 
 PIECE_LENGTH = 4
 
@@ -167,20 +167,24 @@ def piece_rows(df: DataFrame) -> DataFrame:
 
 def piece_vocabulary(rows: DataFrame) -> DataFrame:
     """(piece, id): pieces seen at least twice in code-point order, after the five special ids."""
-    kept = rows.groupBy("piece").count().where("count >= 2").select(F.lit(0).alias("all"), "piece")
-    numbered = ranked(kept, ["all"], ["piece"], "id", prefix_bucket("piece", 4))
+    kept = rows.groupBy("piece").count().where("count >= 2").select("piece")
+    numbered = ranked(kept, [], ["piece"], "id")
     return numbered.select("piece", (F.col("id") + 4).cast("int").alias("id"))
 
 
+def stored_vocabulary(rows: DataFrame) -> DataFrame:
+    return cut_lineage(piece_vocabulary(rows))
+
+
 def id_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sentences with input_ids over the vocabulary of fixed-length pieces (``tokenize``'s columns)."""
+    """Sentences with input_ids over the vocabulary of fixed-length pieces, stored as the step result it is."""
     df = encoded(spark, sf_dir)
     rows = piece_rows(df)
-    ids = piece_ids(rows, piece_vocabulary(rows))
+    ids = piece_ids(rows, stored_vocabulary(rows))
     flat = ids.groupBy("sent_id").agg(F.sort_array(F.collect_list(F.struct("pos", "token_id"))).alias("_ids"))
     joined = df.drop("pieces").join(flat, "sent_id")
     inner = F.transform("_ids", lambda x: x["token_id"].cast("int"))
-    return computed(joined, input_ids=F.concat(F.array(F.lit(1)), inner, F.array(F.lit(2)))).drop("_ids")
+    return cut_lineage(computed(joined, input_ids=F.concat(F.array(F.lit(1)), inner, F.array(F.lit(2)))).drop("_ids"))
 
 
 def position_vectors(spark: SparkSession, sf_dir: str, count) -> DataFrame:

@@ -145,8 +145,8 @@ FROM b LEFT JOIN per p ON p.sent_id = b.sent_id WINDOW w AS (PARTITION BY b.spli
     ),
 )
 def _(spark, sf):
-    rows = batching.chunked(contrast.tree_sets(derived.sentences(spark, sf)), 16)
-    out = batching.pack_trees(rows.select("sent_id", "split", "batch_id", "tree_sets"))
+    rows = batching.chunked(derived.sentences(spark, sf).select("sent_id", "split", "head"), 16)
+    out = batching.pack_trees(contrast.tree_sets(rows).drop("head"))
     width = lambda xs: F.coalesce(F.size(F.get(xs, F.lit(0))), F.lit(0))
     yes = lambda xs: F.size(F.filter(xs, lambda x: x))
     return out.select(
@@ -166,8 +166,8 @@ FROM (SELECT sent_id, root, query, len(string_split(negatives, ',')) AS c FROM p
     ),
 )
 def _(spark, sf):
-    df = contrast.phrase_sets(derived.encoded(spark, sf), "token_spans").select("sent_id", "split", "phrase_sets")
-    out = batching.pack_phrases(batching.chunked(df, 16))
+    rows = batching.chunked(derived.encoded(spark, sf).select("sent_id", "split", "head", "token_spans"), 16)
+    out = batching.pack_phrases(contrast.phrase_sets(rows, "token_spans").drop("head", "token_spans"))
     return out.select(
         "sent_id", F.size("query_indexes").alias("sets"), F.size(F.get("negative_indexes", F.lit(0))).alias("negs"),
         F.size(F.filter("query_mask", lambda x: x)).alias("own_sets"),
@@ -280,7 +280,7 @@ UNION ALL SELECT w.word, w.here + l.len, w.ids || ',' || l.piece_id FROM walk w
 def _encoded_words(spark, sf):
     df = derived.sentences(spark, sf)
     rows = derived.piece_rows(derived.encoded(spark, sf))
-    vocab = derived.piece_vocabulary(rows)
+    vocab = derived.stored_vocabulary(rows)
     words = df.select(F.explode(F.flatten(F.transform("tokens", lambda t: pre_tokens(t)))).alias("word"))
     return df, vocabulary.encode_distinct(words, vocab)
 

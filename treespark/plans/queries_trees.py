@@ -168,8 +168,8 @@ def _(spark, sf):
         governed = F.transform(subtrees, lambda s: s["members"])
         one = lambda s, g: F.struct(
             s["root"].alias("root"),
-            F.size(contrast._choices(F.array_remove(s["members"], s["root"]), g)).alias("target_choices"),
-            F.size(contrast._choices(s["neighbours"], g)).alias("value_choices"),
+            F.size(contrast.combinations(F.array_remove(s["members"], s["root"]), g, F.lit(3))).alias("target_choices"),
+            F.size(contrast.combinations(s["neighbours"], g, F.lit(3))).alias("value_choices"),
         )
         return let(governed, lambda g: F.transform(trees.eligible(subtrees), lambda s: one(s, g)))
 

@@ -16,6 +16,8 @@ def local_session(cpus: str = "*", name: str = "treespark", **conf: str) -> Spar
         "spark.ui.enabled": "false",
         "spark.ui.showConsoleProgress": "false",
         "spark.sql.adaptive.enabled": "true",
+        # Local tables are tiny: keep one task per core where a cluster would merge small partitions.
+        "spark.sql.adaptive.coalescePartitions.minPartitionSize": "32k",
         "spark.sql.session.timeZone": "UTC",
         "spark.sql.shuffle.partitions": str(cores),
         "spark.driver.memory": "8g",
