@@ -73,6 +73,11 @@ def test_upsampling(spark):
     assert sorted((r.sent_id, r.copy) for r in rows if r.split == "train") == [(200, 0), (200, 1), (200, 2), (201, 0), (201, 1)]
     both = assemble.append_gold(base, gold).groupBy("split").count().collect()
     assert {(r.split, r["count"]) for r in both} == {("train", 42), ("dev", 2)}
+    wide = spark.range(40_000).select(F.col("id").alias("sent_id"), F.lit("train").alias("split"))
+    rows = assemble.upsample(wide, gold).where("split = 'train'").groupBy("sent_id").agg(
+        F.count("*").alias("n"), F.countDistinct("copy").alias("d"), F.max("copy").alias("top")
+    )
+    assert {(r.sent_id, r.n, r.d, r.top) for r in rows.collect()} == {(200, 2500, 2500, 2499), (201, 2500, 2500, 2499)}
     with pytest.raises(Exception, match="more gold rows"):
         assemble.upsample(base, gold, per_labelled=40).collect()
 

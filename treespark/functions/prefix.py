@@ -72,8 +72,7 @@ def ranked(df: DataFrame, partition: list[str], order: list[str], name: str = "r
     before: a small table, whose real size lets Spark decide whether to broadcast it.
     """
     keys = [*partition, *order]
-    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    laid = df.repartitionByRange(tasks, *keys).sortWithinPartitions(*keys)
+    laid = df.repartitionByRange(*keys).sortWithinPartitions(*keys)
     place = F.monotonically_increasing_id().bitwiseAND(F.lit(2**33 - 1))
     stored = cut_lineage(laid.withColumns({"_task": F.spark_partition_id(), "_place": place}))
     sizes = stored.groupBy("_task", *partition).agg(F.count("*").alias("_n"), F.min("_place").alias("_first"))

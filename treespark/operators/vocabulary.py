@@ -161,9 +161,8 @@ def learn(words: DataFrame, settings: VocabularySettings = VocabularySettings())
         known = F.array(*[F.lit(c) for c in alphabet])
         cut = F.filter(cut, lambda s: F.array_contains(known, F.substring(s, -1, 1)))
     table = words.select(cut.alias("symbols"), "freq").where(F.size("symbols") > 0)
-    first = sorted(
-        r["s"] for r in table.select(F.explode("symbols").alias("s")).distinct().limit(size).collect()
-    )
+    # At most two symbols per character of the script, so the list is short whatever the corpus.
+    first = sorted(r["s"] for r in table.select(F.explode("symbols").alias("s")).distinct().collect())
     pieces = list(dict.fromkeys([*settings.special_tokens, *alphabet, *first]))
     known_pieces = set(pieces)
     merges: list[tuple[str, str]] = []

@@ -14,6 +14,7 @@ from treespark.plans.oracle import sql
 from treespark.plans.queries_tables import UPSAMPLED
 from treespark.plans.queries_trees import EXPANDED, NEEDS, NEGATIVE_CTES, PHRASE_CTES, joined
 from treespark.plans.registry import query
+from treespark.session import cut_lineage
 
 SPECIAL_IDS = [0, 1, 2, 3, 4]
 
@@ -200,7 +201,7 @@ def _(spark, sf):
     ones = computed(
         df, attention_mask=F.transform("input_ids", lambda _: F.lit(1)), token_type_ids=F.transform("input_ids", lambda _: F.lit(0))
     )
-    expanded = subword.expand_subwords(ones)
+    expanded = cut_lineage(subword.expand_subwords(ones))
     out = assemble.finalize(expanded.where("is_gold = 0"), expanded.where("is_gold = 1"))
     total = lambda c: F.sum(F.aggregate(c, F.lit(0).cast("bigint"), lambda s, x: s + x))
     return out.groupBy("split", F.get("tree_is_gold", F.lit(0)).alias("tree_is_gold")).agg(

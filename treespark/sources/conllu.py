@@ -86,7 +86,8 @@ def read_conllu(
 ) -> DataFrame:
     """(sent_id, split, tokens, xpos, head, deprel, keys…) of plain words; ``keys`` are comments to keep.
 
-    With ``glob`` the path is searched recursively for matching files.
+    With ``glob`` the path is searched recursively for matching files. Ids follow the order of blocks within
+    a file part; store the result to keep them across sessions.
     """
     rows = _read_blocks(spark, path, glob).withColumn("split", F.lit(split))
     rows = rows.withColumns({f"meta_{k}": comment(F.col("block"), k) for k in keys}) if keys else rows

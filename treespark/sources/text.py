@@ -15,7 +15,10 @@ def tokens_of_lines(lines: DataFrame, column: str = "value") -> DataFrame:
 
 
 def read_text_lines(spark: SparkSession, path: str, split: str = "train") -> DataFrame:
-    """(sent_id, split, tokens): one sentence per line."""
+    """(sent_id, split, tokens): one sentence per line.
+
+    Ids follow the order of lines within a file part; store the result to keep them across sessions.
+    """
     lines = spark.read.text(path).select(
         F.monotonically_increasing_id().alias("sent_id"), F.lit(split).alias("split"), "value"
     )
