@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from treespark.functions.arrays import computed, posexploded
+from treespark.functions.draws import draw_key
 
 
 def token_rows(df: DataFrame, fields: list[str], *keep: str) -> DataFrame:
@@ -42,10 +43,15 @@ def cast_heads(df: DataFrame, column: str = "head") -> DataFrame:
 
 
 def with_default(column: str, default: str = "") -> Column:
-    """The column with ``default`` for null, as strings or element by element for arrays of strings."""
+    """The text column with ``default`` for null."""
     return F.coalesce(F.col(column), F.lit(default))
 
 
+def with_default_items(column: str, default: str = "") -> Column:
+    """The array column with ``default`` for every null element."""
+    return F.transform(column, lambda x: F.coalesce(x, F.lit(default)))
+
+
 def length_differences(old: DataFrame, new: DataFrame, tokens: str = "tokens") -> DataFrame:
     """(sent_id, old_size, new_size) of the sentences whose word count differs between two tables."""
     left = old.select("sent_id", F.size(tokens).alias("old_size"))
@@ -67,8 +73,6 @@ def preview(df: DataFrame, key: str) -> DataFrame:
 
 def random_per_split(df: DataFrame, key: str, seed: int = 42) -> DataFrame:
     """One row per split: the one with the smallest draw. Folded on the map side, no sort."""
-    from treespark.functions.draws import draw_key
-
     row = F.struct(*df.columns)
     best = df.groupBy("split").agg(F.min_by(row, draw_key(F.col(key), seed=seed)).alias("r"))
     return best.select("r.*")
