@@ -4,13 +4,27 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from treespark.llm import exact_dedup, simhash
+from treespark.llm import exact_dedup, simhash, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages")).drop("payload", "url")
+
+
+OP2_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
+q AS (SELECT page_id, CAST(strlen(h) AS BIGINT) AS n, sha1(h) AS d, max(page_id) OVER (PARTITION BY h) AS m FROM p),
+r AS (SELECT *, n >= 1000 AND m IS NOT NULL AND page_id IS DISTINCT FROM m AS again FROM q)
+SELECT page_id, n AS payload_bytes, d AS payload_digest, CASE WHEN again THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN again THEN m END AS refers_to, true AS verified
+FROM r
+"""
+
+
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_dedup(table(spark, sf_dir, "documents"))
 
@@ -29,9 +43,11 @@ FROM n WINDOW g AS (PARTITION BY t)
 """
 
 QUERIES = {
+    "op2_warc": op2_warc,
     "op4_simhash": op4_simhash,
     "op5_exact_dedup": op5_exact_dedup,
 }
 ORACLES = {
+    "op2_warc": OP2_SQL,
     "op5_exact_dedup": OP5_SQL,
 }
