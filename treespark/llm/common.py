@@ -32,7 +32,8 @@ def attach(left: DataFrame, groups: DataFrame, key: str, weight: str, spread: Co
 
     ``groups`` is a stored table of distinct keys; ``weight`` counts the rows of a key. Keys with over a
     ``HOT_SHARE``-th of the counted rows number less than ``HOT_SHARE``, so they are broadcast and their rows
-    need no exchange by key: they are dealt by ``spread`` and the rest by the key. ``how`` is left or inner.
+    need no exchange by key: they are dealt by ``spread`` and the rest by the key. The rest is merged at every
+    size, so that the rows of ``left`` move once whether ``groups`` is small or not. ``how`` is left or inner.
     Column names of the two tables must differ but for the key.
     """
     values = [c for c in groups.columns if c != key]
@@ -40,7 +41,7 @@ def attach(left: DataFrame, groups: DataFrame, key: str, weight: str, spread: Co
     is_hot = F.col(weight) * HOT_SHARE > F.lit(total)
     pack = F.struct(*values)
     hot = groups.where(is_hot).select(F.col(key).alias("_hot_key"), pack.alias("_hot"))
-    cold = groups.where(~is_hot).select(F.col(key).alias("_cold_key"), F.lit(0).alias("_cold_part"), pack.alias("_cold"))
+    cold = groups.where(~is_hot).select(F.col(key).alias("_cold_key"), F.lit(0).alias("_cold_part"), pack.alias("_cold")).hint("merge")
     near = left.join(F.broadcast(hot), F.col(key) == F.col("_hot_key"), "left").drop("_hot_key")
     part = F.when(F.col("_hot").isNull(), 0).otherwise(1 + F.pmod(F.xxhash64(spread), F.lit(1 << 20)).cast("int"))
     dealt = near.withColumn("_part", part)
