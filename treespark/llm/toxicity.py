@@ -27,8 +27,8 @@ SPAN, DECAY = 7, 0.7
 ALPHABET = 32
 WINDOW = 48
 #: Bounds of the fit: labelled documents per class, characters of such a document, words per class, landmarks per class.
-SAMPLE, SAMPLE_CHARS, WORDS, LANDMARKS = 4000, 20_000, 20_000, 96
-TURNS, RIDGE = 3, 1e-3
+SAMPLE, SAMPLE_CHARS, WORDS, LANDMARKS = 2000, 20_000, 10_000, 96
+TURNS, RIDGE, STEP = 3, 1e-3, 20_000
 CACHED = 500_000
 #: Rows scored together, and the part of the highest score.
 TOGETHER, FIRST = 500, 0.7
@@ -157,50 +157,51 @@ def squared_hinge(z: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float
 
 def fit(texts: list[str], toxic: list[int]) -> Model | None:
     """The machine from labelled documents; nothing if a class is missing."""
-    counts = [Counter(letters_of(w) for w in words_of(t)) for t in texts]
-    bags = [sorted(c.keys() - {""}) for c in counts]
-    bad = [b for b, y in zip(bags, toxic) if y and b]
-    good = [b for b, y in zip(bags, toxic) if not y and b]
+    number: dict[str, int] = {}
+    bags, times = [], []
+    for text in texts:
+        counts = Counter(letters_of(w) for w in words_of(text))
+        counts.pop("", None)
+        bags.append(np.array([number.setdefault(w, len(number)) for w in counts], np.int32))
+        times.append(np.array(list(counts.values()), np.int32))
+    kinds = list(number)
+    full = [k for k, bag in enumerate(bags) if len(bag)]
+    bad, good = [bags[k] for k in full if toxic[k]], [bags[k] for k in full if not toxic[k]]
     if not bad or not good:
         return None
-    in_bad, in_good = Counter(w for b in bad for w in b), Counter(w for b in good for w in b)
-    odds = {w: np.log((n + 0.1) / (len(bad) + 1)) - np.log((in_good[w] + 0.1) / (len(good) + 1)) for w, n in in_bad.items()}
-    clean_words = [w for w, _ in sorted(in_good.items(), key=lambda x: (-x[1], x[0]))[:WORDS]]
-    worst_first = sorted((w for w in odds if not in_good[w]), key=lambda w: (-in_bad[w], w))
-    marks = worst_first[:LANDMARKS] + clean_words[:: max(1, len(clean_words) // LANDMARKS)][:LANDMARKS]
+    in_bad, in_good = (np.bincount(np.concatenate(x), minlength=len(kinds)) for x in (bad, good))
+    odds = np.log((in_bad + 0.1) / (len(bad) + 1)) - np.log((in_good + 0.1) / (len(good) + 1))
+    by_word = np.array(sorted(range(len(kinds)), key=kinds.__getitem__))
+    clean = by_word[np.argsort(-in_good[by_word], kind="stable")]
+    clean = clean[in_good[clean] > 0]
+    telling = by_word[np.argsort(-in_bad[by_word], kind="stable")]
+    telling = telling[(in_bad[telling] > 0) & (in_good[telling] == 0)]
+    common = clean[:WORDS]
+    marks = [kinds[i] for i in [*telling[:LANDMARKS], *common[:: max(1, len(common) // LANDMARKS)][:LANDMARKS]]]
     maps = kernel_map(marks)
     values, vectors = np.linalg.eigh((maps @ maps.T).astype(np.float64))
     sure = values > 1e-6 * values[-1]
-    to_nystrom = maps.T.astype(np.float64) @ (vectors[:, sure] / np.sqrt(values[sure]))  # subsequence -> feature
-    rows = to_nystrom.astype(np.float32)
-    features = lambda words: np.hstack([table_sums(words, rows), np.ones((len(words), 1))])
-    chosen = {w for b in bad for w in sorted(b, key=lambda w: (-odds[w], w))[:3] if odds[w] > 0 and in_bad[w] > 1}
-    chosen = chosen or {min(b, key=lambda w: (-odds[w], w)) for b in bad}
-    negative = clean_words
-    every_good = sorted(in_good)
+    rows = maps.T @ (vectors[:, sure] / np.sqrt(values[sure])).astype(np.float32)  # subsequence -> feature
+    worst = lambda bag, score: bag[np.lexsort((bag, -score[bag]))[:3]]
+    found = np.unique(np.concatenate([worst(bag, odds) for bag in bad]))
+    chosen = found[(odds[found] > 0) & (in_bad[found] > 1)]
+    positive, negative = chosen if len(chosen) else found, common
     for turn in range(TURNS):
-        positive = sorted(chosen)
-        z = np.vstack([features(positive), features(negative)])
+        z = np.hstack([table_sums([kinds[i] for i in [*positive, *negative]], rows), np.ones((len(positive) + len(negative), 1))])
         y = np.concatenate([np.ones(len(positive)), -np.ones(len(negative))])
-        share = np.concatenate([
-            np.array([in_bad[w] for w in positive], float) / sum(in_bad[w] for w in positive),
-            np.full(len(negative), 1 / len(negative))])
+        share = np.concatenate([in_bad[positive] / in_bad[positive].sum(), np.full(len(negative), 1 / len(negative))])
         w = squared_hinge(z, y, share, RIDGE)
-        table, bias = to_nystrom @ w[:-1], float(w[-1])
-        if turn + 1 < TURNS:  # words that the machine finds worst, and clean ones that it finds bad
-            flat = sorted({x for b in bad for x in b})
-            score = dict(zip(flat, table_scores(flat, table) + bias))
-            chosen = {x for b in bad for x in sorted(b, key=lambda x: -score[x])[:3] if score[x] > 0}
-            chosen = {x for x in chosen if not in_good[x]} or set(positive)
-            of_good = table_scores(every_good, table)
-            hard = [every_good[i] for i in np.argsort(-of_good)[:WORDS]]
-            negative = sorted(set(negative[:WORDS]) | set(hard))
-    words = {x for b in bags for x in b}
-    flat = sorted(words)
-    score = dict(zip(flat, table_scores(flat, table) + bias))
-    worst = np.array([worst_of([(score[x], c[x]) for x in b]) for b, c in zip(bags, counts) if b])
-    labels = np.array([y for b, y in zip(bags, toxic) if b], float)
-    return Model(table.astype(np.float32), bias, *line_of(worst, labels))
+        table, bias = rows.astype(np.float64) @ w[:-1], float(w[-1])
+        score = np.concatenate([
+            table_scores(kinds[i : i + STEP], table) for i in range(0, len(kinds), STEP)]) + bias
+        if turn + 1 < TURNS:  # the words that the machine finds worst, and the clean ones that it finds bad
+            found = np.unique(np.concatenate([worst(bag, score) for bag in bad]))
+            chosen = found[(score[found] > 0) & (in_good[found] == 0)]
+            positive = chosen if len(chosen) else positive
+            hard = clean[np.argsort(-score[clean], kind="stable")[:WORDS]]
+            negative = np.union1d(common, hard)
+    worsts = np.array([worst_of(list(zip(score[bags[k]].tolist(), times[k].tolist()))) for k in full])
+    return Model(table.astype(np.float32), bias, *line_of(worsts, np.array([toxic[k] for k in full], float)))
 
 
 def worst_of(scores: list[tuple[float, int]]) -> float:
