@@ -5,13 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from treespark.llm import exact_dedup, licenses, pii, simhash, topk, toxicity, warc
+from treespark.llm import exact_dedup, licenses, mixing, pii, simhash, substrings, topk, toxicity, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.substring_dedup(table(spark, sf_dir, "documents"))
+
+
 def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages")).drop("payload", "url")
 
@@ -26,6 +30,52 @@ FROM r
 """
 
 
+def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents")).withColumn("weight", F.round("weight", 9))
+
+
+OP3_SQL = r"""
+WITH RECURSIVE d AS (
+  SELECT coalesce(source, '') AS source, doc_id,
+         CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS n_tokens FROM documents),
+s AS (SELECT source, CAST(sum(n_tokens) AS BIGINT) AS tokens FROM d GROUP BY source),
+p AS (SELECT source, tokens, tokens / CAST((SELECT sum(tokens) FROM s) AS DOUBLE) AS p FROM s WHERE tokens > 0),
+e AS (SELECT min(p) AS least, max(p) AS most FROM p),
+b AS (
+  SELECT 0 AS i, CAST(0 AS DOUBLE) AS lo, CAST(1 AS DOUBLE) AS hi
+  UNION ALL
+  SELECT i + 1, CASE WHEN pow(least / most, (lo + hi) / 2 - 1) > 2.0 THEN (lo + hi) / 2 ELSE lo END,
+         CASE WHEN pow(least / most, (lo + hi) / 2 - 1) > 2.0 THEN hi ELSE (lo + hi) / 2 END
+  FROM b, e WHERE i < 40),
+x AS (
+  SELECT CASE WHEN pow(least / most, -1) <= 2.0 THEN 0 ELSE round((SELECT lo FROM b WHERE i = 40), 6) END AS x FROM e),
+r AS (SELECT source, tokens, pow(p, x) AS r FROM p, x),
+w AS (SELECT source, tokens, r / (SELECT sum(r) FROM r) AS weight FROM r),
+g AS (SELECT max(tokens / weight) AS budget FROM w),
+q AS (
+  SELECT source, tokens, weight, CAST(floor(budget * weight + 0.5) AS BIGINT) AS quota,
+         greatest(1, CAST(ceil(budget / 1048576) AS BIGINT)) AS blocks FROM w, g
+  UNION ALL
+  SELECT source, tokens, 0.0, 0, 1 FROM s WHERE tokens = 0),
+t AS (
+  SELECT *, CASE WHEN tokens = 0 THEN 1 ELSE quota // tokens END AS whole,
+         CASE WHEN tokens = 0 THEN 1 ELSE CAST(ceil(quota / tokens) AS BIGINT) END AS epochs FROM q),
+u AS (SELECT d.*, t.* EXCLUDE (source), unnest(range(0, t.epochs)) AS epoch FROM d JOIN t USING (source)),
+v AS (
+  SELECT *, CAST('0x' || substr(md5(concat_ws(':', '42', CAST(epoch AS VARCHAR), source, CAST(doc_id AS VARCHAR))), 1, 15)
+                 AS BIGINT) AS place FROM u),
+y AS (
+  SELECT *, CAST(epoch * tokens + coalesce(sum(n_tokens) OVER (
+           PARTITION BY source, epoch ORDER BY place, doc_id, n_tokens ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)
+         AS BIGINT) AS start FROM v)
+SELECT doc_id, source, n_tokens, epoch, start,
+       CASE WHEN quota = 0 THEN 0
+            ELSE CAST(least(floor(start * CAST(blocks AS DOUBLE) / quota), blocks - 1) AS BIGINT) END AS block,
+       place, round(weight, 9) AS weight
+FROM y WHERE epoch < whole OR start < quota
+"""
+
+
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_dedup(table(spark, sf_dir, "documents"))
 
@@ -74,7 +124,9 @@ FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, ve
 """
 
 QUERIES = {
+    "op1_substring_dedup": op1_substring_dedup,
     "op2_warc": op2_warc,
+    "op3_mixing": op3_mixing,
     "op4_simhash": op4_simhash,
     "op5_exact_dedup": op5_exact_dedup,
     "op6_licenses": op6_licenses,
@@ -84,6 +136,7 @@ QUERIES = {
 }
 ORACLES = {
     "op2_warc": OP2_SQL,
+    "op3_mixing": OP3_SQL,
     "op5_exact_dedup": OP5_SQL,
     "op10_top_k": OP10_SQL,
 }
