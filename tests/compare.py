@@ -27,6 +27,8 @@ def connect(sf_dir: str):
 def plain(value):
     if isinstance(value, float):
         return "nan" if math.isnan(value) else repr(value + 0.0)
+    if isinstance(value, list):
+        return tuple(plain(v) for v in value)
     return value
 
 
