@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from treespark.llm import exact_dedup, licenses, mixing, pii, simhash, substrings, topk, toxicity, warc
+from treespark.llm import exact_dedup, licenses, mixing, pieces, pii, simhash, substrings, topk, toxicity, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -98,6 +98,10 @@ def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.license_scan(table(spark, sf_dir, "documents"))
 
 
+def op7_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.encode(table(spark, sf_dir, "documents"))
+
+
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find_pii(table(spark, sf_dir, "documents"))
 
@@ -130,6 +134,7 @@ QUERIES = {
     "op4_simhash": op4_simhash,
     "op5_exact_dedup": op5_exact_dedup,
     "op6_licenses": op6_licenses,
+    "op7_pieces": op7_pieces,
     "op8_pii": op8_pii,
     "op9_toxicity": op9_toxicity,
     "op10_top_k": op10_top_k,

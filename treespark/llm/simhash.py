@@ -7,7 +7,7 @@ bits or fewer agree on the bits that table keeps: every pair within the radius c
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import partial
 
 import numpy as np
@@ -21,6 +21,8 @@ from treespark.llm.common import attach, components, pieces_of, stored
 BITS, RADIUS = 64, 2
 #: Fingerprints of a bucket up to which its pairs are compared; larger buckets are linked over midpoints.
 PAIRED = 32
+#: Hashes up to which bits are counted one by one.
+FEW = 4096
 BYTE_BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
 
 
@@ -49,33 +51,49 @@ def hashes_of(raw: bytes, shingle: int, seed: int) -> Iterator[np.ndarray]:
         yield np.array([xxhash.xxh64_intdigest(b" ".join(tail), seed)], np.uint64)
 
 
-def word_hashes(raw: bytes, seed: int) -> Iterator[np.ndarray]:
+def word_hashes(raw: bytes) -> np.ndarray:
     """XXH64 of the distinct words of a text."""
     words: set[bytes] = set()
     for piece in pieces_of(raw):
         words.update(piece.split())
-    if words:
-        yield np.fromiter((xxhash.xxh64_intdigest(w, seed) for w in words), np.uint64, len(words))
+    return np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
 
 
-def fingerprint(groups: Iterator[np.ndarray]) -> int:
+def stirred(hashes: np.ndarray, seed: int) -> np.ndarray:
+    """Other hashes of the same things, one set per seed."""
+    z = hashes + np.uint64(seed * 0x9E3779B97F4A7C15 % 2**BITS)
+    z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return z ^ (z >> np.uint64(31))
+
+
+def bit_counts(hashes: np.ndarray) -> np.ndarray:
+    """How many hashes have each bit."""
+    parts = hashes.astype("<u8").view(np.uint8).reshape(-1, 8)
+    if len(parts) < FEW:
+        return np.unpackbits(parts, axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return np.concatenate([np.bincount(parts[:, k], minlength=256) @ BYTE_BITS for k in range(8)])
+
+
+def fingerprint(groups: Iterable[np.ndarray]) -> int:
     """The 64-bit fingerprint, as a signed number: a bit is set if it is set in over half of the hashes."""
     total, counts = 0, np.zeros(BITS, np.int64)
     for hashes in groups:
         total += len(hashes)
-        parts = hashes.astype("<u8").view(np.uint8).reshape(-1, 8)
-        counts += np.concatenate([np.bincount(parts[:, k], minlength=256) @ BYTE_BITS for k in range(8)])
-    bits = np.packbits(2 * counts > total, bitorder="little")
-    return int(bits.view("<i8")[0])
+        counts += bit_counts(hashes)
+    return int(np.packbits(2 * counts > total, bitorder="little").view("<i8")[0])
 
 
-def fingerprint_batches(batches, shingle: int, seeds: tuple[int, ...], distinct_words: bool):
+def fingerprint_batches(batches: Iterator[pa.RecordBatch], shingle: int, seeds: tuple[int, ...], distinct_words: bool):
     for batch in batches:
         prints = []
         for text in batch.column("text").cast(pa.binary()):
             raw = (text.as_py() or b"").lower()
-            prints.append([
-                fingerprint(word_hashes(raw, seed) if distinct_words else hashes_of(raw, shingle, seed)) for seed in seeds])
+            if distinct_words:
+                hashes = word_hashes(raw)
+                prints.append([fingerprint([stirred(hashes, seed)]) for seed in seeds])
+            else:
+                prints.append([fingerprint(hashes_of(raw, shingle, seed)) for seed in seeds])
         yield pa.RecordBatch.from_arrays(
             [batch.column("doc_id"), pa.array(prints, pa.list_(pa.int64()))], names=["doc_id", "prints"])
 
@@ -149,3 +167,14 @@ def near_dedup(docs: DataFrame, shingle: int = 3, seeds: tuple[int, ...] = (42,)
     firsts = narrow.where("k = 0").select("doc_id", "first")
     return attach(firsts, placed, "first", "n", F.col("doc_id")).select(
         "doc_id", F.lpad(F.lower(F.hex("first")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def without_near_copies(docs: DataFrame, seeds: tuple[int, ...]) -> DataFrame:
+    """``docs`` with one row of each group of near copies, all columns as they were: that with the smallest id.
+
+    Fingerprints are of the set of words, where near copies differ in few bits; several seeds find those that one
+    misses. Rows without an id stay. An id that stands on several rows is one document, whose rows stay or go together.
+    """
+    told = near_dedup(docs, seeds=seeds, distinct_words=True)
+    gone = stored(told.where("component_id <> doc_id").select(F.col("doc_id").alias("_gone")).distinct())
+    return docs.join(gone.hint("merge"), docs["doc_id"] == gone["_gone"], "left_anti")
