@@ -64,8 +64,7 @@ def test_subtrees_match_brute_force(forest):
         mine = governed(head, r.root)
         deepest = max(len(above(head, m)) for m in mine)
         assert r.members == sorted(mine)
-        assert r.path == above(head, r.root)
-        assert r.height == deepest - len(r.path) + 1
+        assert r.height == deepest - len(above(head, r.root)) + 1
         assert r.neighbours == beside(head, r.root)
 
 
@@ -219,6 +218,46 @@ def test_phrase_sets_stay_outside(forest):
     assert count > 30
 
 
-def test_raw_paths_are_bounded_on_cycles(spark):
-    df = spark.createDataFrame([([2, 3, 1],)], "head array<int>")
-    assert all(len(p) <= 8 for p in df.select(tree_functions.raw_paths(F.col("head")).alias("p")).first().p)
+def test_numbers_of_broken_trees(spark):
+    """Words on a cycle, and those under them, are in no order; the others are numbered as if alone."""
+    df = spark.createDataFrame([([2, 3, 1, 0, 4, 2],), ([0, 9, 1],), ([0, 0, 2, 1],)], "head array<int>")
+    got = [r.n for r in df.select(tree_functions.numbers(F.col("head")).alias("n")).collect()]
+    assert [n.order for n in got] == [[4, 5], [1, 3], [1, 4, 2, 3]]
+    assert got[0].size == [0, 0, 0, 2, 1, 0] and got[2].size == [2, 2, 1, 1] and got[2].depth == [1, 1, 2, 2]
+
+
+def near_tree(rng, n):
+    """Heads close by on the way to the middle, so that the tree is a fifth of its words deep."""
+    root = n // 2
+    toward = lambda w: min(root, w + rng.randint(1, 3)) if w < root else max(root, w - rng.randint(1, 3))
+    return [0 if w == root else toward(w) for w in range(1, n + 1)]
+
+
+def sizes_of(head):
+    n, root = len(head), head.index(0) + 1
+    size = [0] + [1] * n
+    for w in [*range(1, root), *range(n, root, -1)]:
+        size[head[w - 1]] += size[w]
+    return size
+
+
+def test_twenty_thousand_words(spark):
+    head = near_tree(random.Random(11), 20_000)
+    df = spark.createDataFrame([(1, head)], "sent_id bigint, head array<int>")
+    size = sizes_of(head)
+    assert trees.off_tree_report(df).count() == 0
+    assert Counter(r.id for r in trees.child_rows(df).collect()) == Counter(h for h in head if h)
+    few = {r.root: r.size for r in trees.eligible_subtrees(df).select("root", "size").collect()}
+    sized = {w: size[w] for w in range(1, len(head) + 1) if 2 <= size[w] <= 10}
+    assert few.items() <= sized.items() and 2 * len(few) > len(sized)  # some have no neighbour but words above them
+    assert attention.reach_rows(df, 3).where("id = other").count() == len(head)
+
+
+def test_deep_closure(spark):
+    head = near_tree(random.Random(12), 2_000)
+    df = spark.createDataFrame([(1, head)], "sent_id bigint, head array<int>")
+    rows = trees.subtree_rows(df).select("size", F.size("members").alias("n"), "height").collect()
+    assert sorted(r.size for r in rows) == sorted(sizes_of(head)[1:]) and all(r.size == r.n for r in rows)
+    depth = max(len(above(head, w)) for w in range(1, 2_001))
+    assert max(r.height for r in rows) == depth
+    assert trees.closure(df).count() == sum(r.size for r in rows)

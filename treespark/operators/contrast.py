@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from treespark.functions.arrays import computed, item, let, smallest, upto
 from treespark.functions.draws import SEED, draw_key
-from treespark.functions.trees import subtree_structs
+from treespark.functions.trees import Tree, with_tree
 from treespark.operators.trees import SubtreeLimits, eligible
 
 # (sentence id, array of subtree structs) -> the chosen ones
@@ -58,7 +58,7 @@ def random_subtrees(max_number: int, seed: int = SEED) -> Sampler:
     return sample
 
 
-def combinations(items: Column, governed: Column, most: Column) -> Column:
+def combinations(items: Column, tree: Tree, most: Column) -> Column:
     """Ascending combinations of one to three items, but of no more than ``most``, each with the size of all
     it governs and how many items follow its last one."""
 
@@ -67,7 +67,7 @@ def combinations(items: Column, governed: Column, most: Column) -> Column:
         return F.flatten(F.transform(shorter, lambda c: F.transform(later(c), lambda x: F.concat(c, F.array(x)))))
 
     def describe(items: Column, c: Column) -> Column:
-        size = F.size(F.array_distinct(F.flatten(F.transform(c, lambda x: item(governed, x)))))
+        size = tree.union_size(c)
         left = F.size(items) - F.array_position(items, F.element_at(c, -1)).cast("int")
         return F.struct(c.alias("ids"), size.alias("size"), left.alias("left"))
 
@@ -95,7 +95,7 @@ def _repeats(k: Column, targets_left: Column, values_left: Column) -> Column:
     return 1 + longer(values_left) + longer(targets_left)
 
 
-def plan_structs(sent_id: Column, subtree: Column, governed: Column, settings: TreeSettings) -> Column:
+def plan_structs(sent_id: Column, subtree: Column, tree: Tree, settings: TreeSettings) -> Column:
     """For one subtree: how many negatives there are (with repeats) and the sampled plans.
 
     A plan replaces 1-3 non-root members, with all they govern, by as many neighbours with all they govern.
@@ -131,31 +131,31 @@ def plan_structs(sent_id: Column, subtree: Column, governed: Column, settings: T
     # A plan pairs as many targets as values, so longer combinations than the shorter side has are not needed.
     most = F.least(F.size(targets), F.size(subtree["neighbours"]))
     return let(
-        combinations(subtree["neighbours"], governed, most),
+        combinations(subtree["neighbours"], tree, most),
         lambda values: F.aggregate(
-            combinations(targets, governed, most), start, lambda state, t: fold(values, state, t)
+            combinations(targets, tree, most), start, lambda state, t: fold(values, state, t)
         ),
     )
 
 
-def negative_tree(subtree: Column, targets: Column, values: Column, governed: Column, head: Column) -> Column:
+def negative_tree(subtree: Column, targets: Column, values: Column, tree: Tree) -> Column:
     """The negative tree of one plan as a map id -> head; the root's head is null.
 
     A spliced neighbour hangs on the head of the word it replaces, unless a later neighbour governs it.
     """
-    gone = F.flatten(F.transform(targets, lambda t: item(governed, t)))
-    added = F.array_distinct(F.flatten(F.transform(values, lambda v: item(governed, v))))
+    gone = F.flatten(F.transform(targets, tree.below))
+    added = F.array_distinct(F.flatten(F.transform(values, tree.below)))
     ids = F.sort_array(F.concat(F.array_except(subtree["members"], gone), added))
 
     def new_head(x: Column) -> Column:
         place = F.array_position(values, x).cast("int")
         later = F.slice(values, place + 1, F.size(values))
-        regoverned = F.exists(later, lambda v: F.array_contains(item(governed, v), x))
+        regoverned = F.exists(later, lambda v: tree.governs(v, x))
         spliced = (place > 0) & ~regoverned
         return (
             F.when(x == subtree["root"], F.lit(None).cast("int"))
-            .when(spliced, item(head, item(targets, place)))
-            .otherwise(item(head, x))
+            .when(spliced, tree.head(item(targets, place)))
+            .otherwise(tree.head(x))
         )
 
     return F.map_from_arrays(ids, F.transform(ids, new_head))
@@ -166,31 +166,23 @@ def tree_set_structs(
 ) -> Column:
     """Tree sets of one sentence, see ``tree_sets``."""
 
-    def build(head: Column, governed: Column, s: Column, plans: Column) -> Column:
-        own_head = lambda m: F.when(m != s["root"], item(head, m))
+    def build(tree: Tree, s: Column, plans: Column) -> Column:
+        own_head = lambda m: F.when(m != s["root"], tree.head(m))
         return F.struct(
             s["root"].alias("root_id"),
             F.map_from_arrays(s["members"], F.transform(s["members"], own_head)).alias("positive"),
-            F.transform(
-                plans["best"], lambda p: negative_tree(s, p["targets"], p["values"], governed, head)
-            ).alias("negatives"),
+            F.transform(plans["best"], lambda p: negative_tree(s, p["targets"], p["values"], tree)).alias("negatives"),
             plans["found"].alias("found"),
             plans["best"].alias("plans"),
         )
 
-    def build_all(head: Column, subtrees: Column) -> Column:
-        chosen = sampler(sent_id, eligible(subtrees, settings.limits))
-        return let(
-            F.transform(subtrees, lambda s: s["members"]),
-            lambda governed: F.transform(
-                chosen,
-                lambda s: let(
-                    plan_structs(sent_id, s, governed, settings), lambda plans: build(head, governed, s, plans)
-                ),
-            ),
+    def build_all(tree: Tree) -> Column:
+        chosen = sampler(sent_id, eligible(tree, settings.limits))
+        return F.transform(
+            chosen, lambda s: let(plan_structs(sent_id, s, tree, settings), lambda plans: build(tree, s, plans))
         )
 
-    built = let(head, lambda h: let(subtree_structs(h), lambda subtrees: build_all(h, subtrees)))
+    built = with_tree(head, build_all)
     return F.filter(built, lambda x: x["found"] > 1)
 
 
@@ -230,19 +222,15 @@ def phrase_set_structs(
 
         return let(positive, with_positive)
 
-    def build_all(firsts: Column, subtrees: Column) -> Column:
-        fits = lambda s: (
-            (s["height"] <= settings.max_height)
-            & (s["size"] >= max(settings.min_size, 2))
-            & (s["size"] < F.size(firsts))
+    def build_all(firsts: Column, tree: Tree) -> Column:
+        fits = lambda size, height: (
+            (height <= settings.max_height) & (size >= max(settings.min_size, 2)) & (size < F.size(firsts))
         )
         order = lambda s: draw_key("phrase", sent_id, s["root"], seed=settings.seed)
-        chosen = smallest(F.filter(subtrees, fits), order, settings.max_sets_per_sentence)
+        chosen = smallest(tree.subtrees(fits), order, settings.max_sets_per_sentence)
         return F.transform(chosen, lambda s: build(firsts, s))
 
-    return let(
-        first_pieces(spans), lambda firsts: let(subtree_structs(head), lambda subtrees: build_all(firsts, subtrees))
-    )
+    return let(first_pieces(spans), lambda firsts: with_tree(head, lambda tree: build_all(firsts, tree)))
 
 
 def phrase_sets(df: DataFrame, spans: str, settings: PhraseSettings = PhraseSettings()) -> DataFrame:

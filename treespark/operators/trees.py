@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from treespark.functions import trees
-from treespark.functions.arrays import exploded, posexploded
+from treespark.functions.arrays import computed, exploded, posexploded, upto
 
 
 @dataclass(frozen=True)
@@ -32,18 +32,25 @@ def child_rows(df: DataFrame) -> DataFrame:
     return kids.select("sent_id", (F.col("i") + 1).alias("id"), exploded(F.col("kids")).alias("child"))
 
 
+def _by_word(df: DataFrame, *keep: str) -> DataFrame:
+    """(sent_id, …, _tree, _root): a row per word with the numbers of its tree, so that no row holds all subtrees."""
+    numbered = computed(df.select("sent_id", *keep, "head"), _tree=trees.numbers(F.col("head")))
+    return numbered.select("sent_id", *keep, "_tree", F.explode(upto(F.size("head"))).alias("_root"))
+
+
 def subtree_rows(df: DataFrame, *keep: str) -> DataFrame:
-    """One row per word: root, members, size, height, path and neighbours of its subtree."""
-    found = df.select("sent_id", *keep, F.explode(trees.subtree_structs(F.col("head"))).alias("s"))
-    return found.select("sent_id", *keep, "s.*")
+    """One row per word: root, size, height, members and neighbours of its subtree."""
+    rows = _by_word(df, *keep)
+    return computed(rows, _s=trees.Tree(F.col("_tree")).describe(F.col("_root"))).select("sent_id", *keep, "_s.*")
 
 
 def closure(df: DataFrame) -> DataFrame:
     """(sent_id, id, anc, dist): every word with itself and all words above it."""
-    paths = df.select("sent_id", F.posexplode(trees.root_paths(F.col("head"))).alias("i", "path"))
-    return paths.select("sent_id", (F.col("i") + 1).alias("id"), posexploded(F.col("path")).alias("dist", "anc")).select(
-        "sent_id", "id", "anc", "dist"
-    )
+    rows = _by_word(df)
+    tree, root = trees.Tree(F.col("_tree")), F.col("_root")
+    pairs = lambda x: F.struct(x.alias("id"), (tree.depth(x) - tree.depth(root)).alias("dist"))
+    below = rows.select("sent_id", root.alias("anc"), exploded(F.transform(tree.below(root), pairs)).alias("x"))
+    return below.select("sent_id", "x.id", "anc", "x.dist")
 
 
 def off_tree_report(df: DataFrame) -> DataFrame:
@@ -51,15 +58,15 @@ def off_tree_report(df: DataFrame) -> DataFrame:
     return df.select("sent_id", trees.off_tree(F.col("head")).alias("off_tree")).where(F.size("off_tree") > 0)
 
 
-def eligible(subtrees: Column, limits: SubtreeLimits = SubtreeLimits()) -> Column:
+def eligible(tree: trees.Tree, limits: SubtreeLimits = SubtreeLimits()) -> Column:
     """The subtrees of a fitting size with at least one neighbour."""
-    fits = lambda s: s["size"].between(limits.min_size, limits.max_size) & (F.size(s["neighbours"]) > 0)
-    return F.filter(subtrees, fits)
+    sized = tree.subtrees(lambda size, height: size.between(limits.min_size, limits.max_size))
+    return F.filter(sized, lambda s: F.size(s["neighbours"]) > 0)
 
 
 def eligible_subtrees(df: DataFrame, limits: SubtreeLimits = SubtreeLimits(), *keep: str) -> DataFrame:
     """One row per eligible subtree."""
-    chosen = eligible(trees.subtree_structs(F.col("head")), limits)
+    chosen = trees.with_tree(F.col("head"), lambda tree: eligible(tree, limits))
     return df.select("sent_id", *keep, F.explode(chosen).alias("s")).select("sent_id", *keep, "s.*")
 
 

@@ -1,7 +1,8 @@
 """Tables derived from the driver's parquet files: a treebank, its word pieces, stored scores.
 
-The files hold no parses, so a deterministic one is derived: one sentence per text line of 3 to 24
-words, root at word ``n // 2 + 1``, every other word attached one to three places toward the root.
+The files hold no parses, so a deterministic one is derived. Every word of every line is in one sentence: sentences
+end after a word that ends in ``.``, ``!`` or ``?``, at the end of the line, and where marks are missing after every
+24th word. The root is word ``n // 2 + 1``, every other word is attached one to three places toward the root.
 """
 
 from __future__ import annotations
@@ -9,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from treespark.functions.arrays import computed, let, upto
+from treespark.functions.arrays import computed, let, posexploded, upto
 from treespark.functions.draws import draw
 from treespark.functions.prefix import ranked
 from treespark.operators.subword import spans_of_counts
@@ -18,6 +19,7 @@ from treespark.sources.sinks import conllu_block
 from treespark.session import cut_lineage, scratch_path, spread
 
 PIECE_LENGTH = 4
+SENTENCE_WORDS = 24
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -30,6 +32,23 @@ def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("ln", "line"))
 
 
+def sentences_of_line(line: Column) -> Column:
+    """The sentences of a line, as arrays of words."""
+
+    def cut(words: Column) -> Column:
+        ends = F.array_compact(F.transform(words, lambda w, i: F.when(
+            w.rlike("[.!?]$") | (i + 1 == F.size(words)), i + 1)))
+
+        def parts(ends: Column, k: Column) -> Column:
+            end = F.get(ends, k)
+            begins = F.sequence(F.coalesce(F.get(ends, k - 1), F.lit(0)) + 1, end, F.lit(SENTENCE_WORDS))
+            return F.transform(begins, lambda b: F.slice(words, b, F.least(F.lit(SENTENCE_WORDS), end - b + 1)))
+
+        return let(ends, lambda ends: F.flatten(F.transform(ends, lambda _, k: parts(ends, k))))
+
+    return let(F.filter(F.split(line, " "), lambda w: w != ""), cut)
+
+
 def sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The treebank, one row per sentence: sent_id, doc_id, split, is_gold, tokens, head, xpos, deprel."""
 
@@ -51,15 +70,19 @@ def sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
         return F.when(word.rlike("[.,]$"), "P").otherwise(F.concat(F.lit("W"), F.length(word) % 7))
 
     day = F.col("doc_id") % 10
-    words = computed(lines(spark, sf_dir), tokens=F.filter(F.split("line", " "), lambda w: w != ""))
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
+    # A text has fewer sentences than characters, so the longest text gives a factor without collisions.
+    width = docs.agg(F.coalesce(F.max(F.length("text")), F.lit(0)) + 1).scalar()
+    cut = F.flatten(F.transform(F.split("text", "\n"), sentences_of_line))
+    words = docs.withColumn("_width", width).select("doc_id", "_width", posexploded(cut).alias("k", "tokens"))
     root = F.floor(F.size("tokens") / 2).cast("int") + 1
     parsed = computed(
-        words.where(F.size("tokens").between(3, 24)),
+        words,
         head=let(root, lambda r: F.transform("tokens", lambda w, i: attach(r, w, i))),
         xpos=F.transform("tokens", tag),
     )
     return computed(parsed, deprel=F.transform("head", relation)).select(
-        (F.col("doc_id") * 100000 + F.col("ln")).alias("sent_id"),
+        (F.col("doc_id") * F.col("_width") + F.col("k")).alias("sent_id"),
         "doc_id",
         F.when(day == 0, "dev").when(day == 1, "test").otherwise("train").alias("split"),
         (F.col("doc_id") % 20).isin(3, 10, 11).cast("int").alias("is_gold"),

@@ -10,20 +10,29 @@ CTES: dict[str, tuple[tuple[str, ...], str]] = {
   FROM (SELECT doc_id, string_split(text, chr(10)) AS ls,
                unnest(range(1, len(string_split(text, chr(10))) + 1)) AS ln FROM documents)""",
     ),
-    "tb": (
+    "line_sents": (
         ("lines",),
+        r"""SELECT doc_id, ln, b, list_slice(w, b, least(b + 23, e)) AS w
+  FROM (SELECT doc_id, ln, w, e, unnest(range(CAST(coalesce(es[k - 1], 0) + 1 AS BIGINT), e + 1, 24)) AS b
+    FROM (SELECT doc_id, ln, w, es, k, es[k] AS e
+      FROM (SELECT doc_id, ln, w, es, unnest(range(1, len(es) + 1)) AS k
+        FROM (SELECT doc_id, ln, w, list_filter(range(1, len(w) + 1), lambda i: i = len(w) OR regexp_matches(w[i], '[.!?]$')) AS es
+          FROM (SELECT doc_id, ln, list_filter(string_split(line, ' '), lambda x: x <> '') AS w FROM lines)))))""",
+    ),
+    "tb": (
+        ("line_sents",),
         r"""SELECT sent_id, doc_id, split, is_gold, n, id, form, head,
   CASE WHEN regexp_matches(form, '[.,]$') THEN 'P' ELSE 'W' || (length(form) % 7) END AS xpos,
   CASE WHEN head = 0 THEN 'root' WHEN head > id THEN 'l' || (head - id)
        ELSE 'r' || (id - head) END AS deprel
 FROM (SELECT *, CASE WHEN id = r THEN 0 WHEN id < r THEN least(r, id + 1 + length(form) % 3)
                      ELSE greatest(r, id - 1 - length(form) % 3) END AS head
-  FROM (SELECT doc_id * 100000 + ln AS sent_id, doc_id,
+  FROM (SELECT sent_id, doc_id,
           CASE doc_id % 10 WHEN 0 THEN 'dev' WHEN 1 THEN 'test' ELSE 'train' END AS split,
           CAST(doc_id % 20 IN (3, 10, 11) AS INT) AS is_gold,
           len(w) AS n, len(w) // 2 + 1 AS r, unnest(range(1, len(w) + 1)) AS id, unnest(w) AS form
-    FROM (SELECT doc_id, ln, list_filter(string_split(line, ' '), lambda x: x <> '') AS w FROM lines)
-    WHERE len(w) BETWEEN 3 AND 24))""",
+    FROM (SELECT doc_id, w, doc_id * (SELECT max(length(text)) + 1 FROM documents)
+            + row_number() OVER (PARTITION BY doc_id ORDER BY ln, b) - 1 AS sent_id FROM line_sents)))""",
     ),
     "sents": (
         ("tb",),

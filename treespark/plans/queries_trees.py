@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from treespark.functions.arrays import computed, exploded, let, posexploded
 from treespark.functions.draws import draw_key
-from treespark.functions.trees import subtree_structs
+from treespark.functions.trees import with_tree
 from treespark.operators import attention, contrast, scoring, subword, tokens, trees
 from treespark.plans import derived
 from treespark.plans.oracle import key, sql
@@ -110,7 +110,7 @@ def _(spark, sf):
     sample = contrast.random_subtrees(2)
     df = derived.sentences(spark, sf)
 
-    chosen = sample(F.col("sent_id"), trees.eligible(subtree_structs(F.col("head"))))
+    chosen = with_tree(F.col("head"), lambda tree: sample(F.col("sent_id"), trees.eligible(tree)))
     return df.select("sent_id", F.explode(chosen).alias("s")).select("sent_id", "s.root")
 
 
@@ -164,17 +164,16 @@ NEEDS = ("elig", "sub")
 )
 def _(spark, sf):
 
-    def counts(subtrees):
-        governed = F.transform(subtrees, lambda s: s["members"])
-        one = lambda s, g: F.struct(
+    def counts(tree):
+        one = lambda s: F.struct(
             s["root"].alias("root"),
-            F.size(contrast.combinations(F.array_remove(s["members"], s["root"]), g, F.lit(3))).alias("target_choices"),
-            F.size(contrast.combinations(s["neighbours"], g, F.lit(3))).alias("value_choices"),
+            F.size(contrast.combinations(F.array_remove(s["members"], s["root"]), tree, F.lit(3))).alias("target_choices"),
+            F.size(contrast.combinations(s["neighbours"], tree, F.lit(3))).alias("value_choices"),
         )
-        return let(governed, lambda g: F.transform(trees.eligible(subtrees), lambda s: one(s, g)))
+        return F.transform(trees.eligible(tree), one)
 
     df = derived.sentences(spark, sf)
-    return df.select("sent_id", F.explode(let(subtree_structs(F.col("head")), counts)).alias("x")).select("sent_id", "x.*")
+    return df.select("sent_id", F.explode(with_tree(F.col("head"), counts)).alias("x")).select("sent_id", "x.*")
 
 
 @query("b15_several_negatives", sql("SELECT sent_id, root, found FROM found", *NEEDS, **NEGATIVE_CTES))
