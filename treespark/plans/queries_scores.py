@@ -95,9 +95,9 @@ FROM (SELECT sent_id, root, tree, unnest(ids) AS id FROM treelist) t
 JOIN tv r ON r.sent_id = t.sent_id AND r.pos = t.root JOIN tv m ON m.sent_id = t.sent_id AND m.pos = t.id WHERE t.id <> t.root""",
     "weighted": """SELECT sent_id, root, tree, rv, mv, exp(d - max(d) OVER w) / sum(exp(d - top)) OVER w AS a FROM
 (SELECT *, max(d) OVER (PARTITION BY sent_id, root, tree) AS top FROM members) WINDOW w AS (PARTITION BY sent_id, root, tree)""",
-    "summed": """SELECT sent_id, root, tree, any_value(rv) AS rv, list(s ORDER BY dim) AS sv FROM (
-SELECT sent_id, root, tree, any_value(rv) AS rv, dim, sum(a * x) AS s FROM (SELECT sent_id, root, tree, rv, a, unnest(mv) AS x, unnest(range(1, 65)) AS dim FROM weighted)
-GROUP BY sent_id, root, tree, dim) GROUP BY sent_id, root, tree""",
+    "summed": """SELECT sent_id, root, tree, rv,
+list_transform(range(1, 65), lambda d: list_sum(list_transform(range(1, len(vs) + 1), lambda k: ws[k] * vs[k][d]))) AS sv
+FROM (SELECT sent_id, root, tree, any_value(rv) AS rv, list(mv) AS vs, list(a) AS ws FROM weighted GROUP BY sent_id, root, tree)""",
     "cosines": "SELECT l.sent_id, l.root, l.tree, coalesce(list_cosine_similarity(s.rv, s.sv), 0) AS c FROM treelist l LEFT JOIN summed s ON s.sent_id = l.sent_id AND s.root = l.root AND s.tree = l.tree",
     "topped": """SELECT * FROM (SELECT *, CASE WHEN tree = 0 THEN 0 ELSE row_number() OVER (PARTITION BY sent_id, root, tree = 0 ORDER BY c DESC) END AS place FROM cosines) WHERE place <= 3""",
     "losses": """SELECT sent_id, root, ln(sum(exp((c - 1) / 0.1::DOUBLE))) + 1 / 0.1::DOUBLE - sum(CASE WHEN tree = 0 THEN c / 0.1::DOUBLE ELSE 0 END) AS loss FROM topped GROUP BY sent_id, root""",
