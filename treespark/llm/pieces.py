@@ -12,6 +12,7 @@ byte pieces.
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -29,8 +30,10 @@ SPACE, LITERAL = "▁", "\udc81"  # a white space mark of the text itself is tol
 BASES = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
 UNKNOWN_PENALTY = 10.0
 WORD = re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
-#: Segments that are kept between batches, rows encoded together, letters up to which a segment is not cut further.
-CACHED, TOGETHER, SHORT = 200_000, 500, 12
+#: Words that are kept between batches, rows encoded together, letters up to which a word is not cut further; size of
+#: the fields that tell most look-ups apart, in bits.
+CACHED, TOGETHER, SHORT = 500_000, 500, 12
+FIELD_BITS = 22
 SCHEMA = "doc_id bigint, n_pieces bigint, ids array<int>, round_trip boolean"
 
 
@@ -46,6 +49,7 @@ class Merges:
     right: np.ndarray
     pairs: np.ndarray
     pair_times: np.ndarray
+    pair_field: np.ndarray
     times: dict[str, int]
 
 
@@ -62,6 +66,8 @@ class Vocabulary:
     byte_ids: tuple[int, ...]
     unknown_score: float
     raw: tuple[bytes, ...]
+    field: np.ndarray
+    name: str
     merges: Merges | None
 
 
@@ -70,6 +76,26 @@ def points_of(words: list[str]) -> np.ndarray:
     return np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(len(words), -1).astype(np.uint64)
 
 
+def spot(keys: np.ndarray) -> np.ndarray:
+    """A place in a field of bits, by the high bits of a product."""
+    return (keys.astype(np.uint64, copy=False) * BASES[0]) >> np.uint64(64 - FIELD_BITS)
+
+
+def field_of(keys: np.ndarray) -> np.ndarray:
+    """True where one of the keys may be: most look-ups of other keys end here."""
+    field = np.zeros(1 << FIELD_BITS, bool)
+    field[spot(keys)] = True
+    return field
+
+
+def found_at(keys: np.ndarray, field: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(places in ``wanted``, places in the sorted ``keys``) of those that are among the keys."""
+    rows = np.flatnonzero(field[spot(wanted)])
+    at = np.minimum(np.searchsorted(keys, wanted[rows]), len(keys) - 1)
+    same = keys[at] == wanted[rows]
+    return rows[same], at[same]
+
+
 def prefix_hashes(points: np.ndarray, base: np.uint64) -> np.ndarray:
     out = np.zeros((points.shape[0], points.shape[1] + 1), np.uint64)
     for i in range(points.shape[1]):
@@ -105,7 +131,7 @@ def merges_of(index: dict[str, int], scores: dict[str, float]) -> Merges:
                 pairs.append((index[p[:i]] << 32 | index[p[i:]], when))
     pairs.sort()
     keys, when = (np.array(x, np.int64) for x in zip(*pairs))
-    return Merges(time, left, right, keys, when, times)
+    return Merges(time, left, right, keys, when, field_of(keys), times)
 
 
 def lasting(m: Merges, first: np.ndarray, second: np.ndarray) -> np.ndarray:
@@ -117,9 +143,9 @@ def lasting(m: Merges, first: np.ndarray, second: np.ndarray) -> np.ndarray:
     out = np.ones(len(first), bool)
     rows, limit = np.arange(len(first)), np.full(len(first), 1 << 50)
     while len(rows):
-        key = first << 32 | second
-        at = np.minimum(np.searchsorted(m.pairs, key), len(m.pairs) - 1)
-        broken = (m.pairs[at] == key) & (m.pair_times[at] < limit)
+        known, at = found_at(m.pairs, m.pair_field, first << 32 | second)
+        broken = np.zeros(len(rows), bool)
+        broken[known] = m.pair_times[at] < limit[known]
         out[rows[broken]] = False
         t1, t2 = m.time[first], m.time[second]
         go = ~broken & ((t1 > 0) | (t2 > 0))
@@ -133,7 +159,8 @@ def lasting(m: Merges, first: np.ndarray, second: np.ndarray) -> np.ndarray:
 def load(path: str = MODEL) -> Vocabulary:
     """The vocabulary of a SentencePiece model file, on the driver; tasks get it with their code."""
     with open(path, "rb") as file:
-        model = sentencepiece_model_pb2.ModelProto.FromString(file.read())
+        content = file.read()
+    model, name = sentencepiece_model_pb2.ModelProto.FromString(content), hashlib.sha256(content).hexdigest()
     kinds = sentencepiece_model_pb2.ModelProto.SentencePiece
     if model.normalizer_spec.precompiled_charsmap or model.normalizer_spec.remove_extra_whitespaces:
         raise ValueError("the model normalises texts, so they could not be restored")
@@ -166,7 +193,7 @@ def load(path: str = MODEL) -> Vocabulary:
     return Vocabulary(
         keys[order], second[order], ids, scores, lengths[order].astype(np.int64),
         frozenset(p[i : i + 2] for p in by_text for i in range(len(p) - 1)), tuple(byte_ids),
-        float(min(s for _, s in by_text.values())) - UNKNOWN_PENALTY, tuple(raw), merges)
+        float(min(s for _, s in by_text.values())) - UNKNOWN_PENALTY, tuple(raw), field_of(keys), name, merges)
 
 
 def probe(voc: Vocabulary, points: np.ndarray, longest: int) -> np.ndarray:
@@ -177,10 +204,11 @@ def probe(voc: Vocabulary, points: np.ndarray, longest: int) -> np.ndarray:
     powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
     for length in range(1, min(longest, size) + 1):
         powers = [p * b for p, b in zip(powers, BASES)]
-        first, second = (h[:, length:] - h[:, : size + 1 - length] * p for h, p in zip(prefixes, powers))
-        at = np.minimum(np.searchsorted(voc.keys, first), len(voc.keys) - 1)
-        same = (voc.keys[at] == first) & (voc.second[at] == second) & (voc.lengths[at] == length)
-        index[:, length:, length - 1] = np.where(same, at, -1)
+        first, second = ((h[:, length:] - h[:, : size + 1 - length] * p).ravel() for h, p in zip(prefixes, powers))
+        rows, at = found_at(voc.keys, voc.field, first)
+        same = (voc.second[at] == second[rows]) & (voc.lengths[at] == length)
+        word, start = np.divmod(rows[same], size + 1 - length)
+        index[word, start + length, length - 1] = at[same]
     return index
 
 
@@ -234,23 +262,38 @@ def viterbi(voc: Vocabulary, words: list[str]) -> list[tuple[int, ...]]:
     size = len(words[0])
     index = probe(voc, points_of(words), min(int(voc.lengths.max()), size))
     back = best_merges(voc, index) if voc.merges else best_scores(voc, index)
-    ids = np.where(index >= 0, voc.ids[index], -1)
-    out = []
-    for row, word in enumerate(words):
-        found: list[int] = []
-        end, lengths, pieces = size, back[row].tolist(), ids[row]
-        while end and lengths[end]:
-            length = lengths[end]
-            at = int(pieces[end, length - 1])
-            if at >= 0:
-                found.append(at)
-            else:
-                found.extend(voc.byte_ids[b] for b in reversed(word[end - 1].replace(LITERAL, SPACE).encode()))
-            end -= length
-        out.append(tuple(reversed(found)) if not end else one_by_one(voc, word))
+    rows, end = np.arange(len(words)), np.full(len(words), size)
+    taken, ids = np.zeros((len(words), size), np.int32), np.full((len(words), size), -1, np.int32)
+    count = np.zeros(len(words), np.int64)
+    odd = np.zeros(len(words), bool)  # a letter outside the vocabulary, or no way through
+    live = rows
+    while len(live):
+        length = back[live, end[live]]
+        at = np.where(length > 0, index[live, end[live], length - 1], -1)
+        odd[live] |= at < 0
+        ids[live, count[live]] = np.where(at >= 0, voc.ids[at], -1)
+        taken[live, count[live]] = length
+        count[live] += 1
+        end[live] -= length
+        live = live[(end[live] > 0) & (length > 0)]
+    out = [tuple(found[n - 1 :: -1]) if n else () for found, n in zip(ids.tolist(), count.tolist())]
+    for row in np.flatnonzero(odd):
+        out[row] = with_bytes(voc, words[row], out[row], taken[row, : count[row]][::-1].tolist())
     return out
 
 
+def with_bytes(voc: Vocabulary, word: str, ids: tuple[int, ...], lengths: list[int]) -> tuple[int, ...]:
+    """``ids`` with the bytes of letters outside the vocabulary in place of -1."""
+    if sum(lengths) < len(word):
+        return one_by_one(voc, word)
+    out: list[int] = []
+    at = 0
+    for i, length in zip(ids, lengths):
+        out.extend([i] if i >= 0 else [voc.byte_ids[b] for b in word[at].replace(LITERAL, SPACE).encode()])
+        at += length
+    return tuple(out)
+
+
 def one_by_one(voc: Vocabulary, word: str) -> tuple[int, ...]:
     found: list[int] = []
     for part in merged(word, voc.merges.times)[0]:
@@ -298,20 +341,45 @@ def decode(raw: tuple[bytes, ...], ids: list[int]) -> str:
     return b"".join(map(raw.__getitem__, ids)).decode("utf-8", "replace").removeprefix(" ")
 
 
+class Known:
+    """Words whose ids are known: their ids stand one after another, found by the word's number."""
+
+    def __init__(self) -> None:
+        self.number: dict[str, int] = {}
+        self.begin, self.size, self.flat = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)
+
+    def add(self, encoded: dict[str, tuple[int, ...]]) -> None:
+        sizes = np.fromiter(map(len, encoded.values()), np.int64, len(encoded))
+        begin = len(self.flat) + np.cumsum(sizes) - sizes
+        self.number.update(zip(encoded, range(len(self.number), len(self.number) + len(encoded))))
+        self.flat = np.concatenate([self.flat, np.fromiter(chain.from_iterable(encoded.values()), np.int32)])
+        self.begin, self.size = np.concatenate([self.begin, begin]), np.concatenate([self.size, sizes])
+
+    def ids(self, words: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
+        """(offsets, ids) of texts of known words, as in a list column."""
+        numbers = np.fromiter(map(self.number.__getitem__, chain.from_iterable(words)), np.int64)
+        size = self.size[numbers]
+        ends = np.concatenate([[0], np.cumsum(size)])
+        at = np.arange(ends[-1]) + np.repeat(self.begin[numbers] - ends[:-1], size)
+        return ends[np.concatenate([[0], np.cumsum(list(map(len, words)))]).astype(np.int64)], self.flat[at]
+
+
+#: By vocabulary; a worker process keeps them from task to task.
+KNOWN: dict[str, Known] = {}
+
+
 def encode_batches(batches: Iterator[pa.RecordBatch], voc: Vocabulary) -> Iterator[pa.RecordBatch]:
-    known: dict[str, tuple[int, ...]] = {}
     for batch in batches:
         for start in range(0, batch.num_rows, TOGETHER):
             part = batch.slice(start, TOGETHER)
             texts = [t or "" for t in part.column("text").to_pylist()]
             words = [words_of(t) for t in texts]
-            if len(known) > CACHED:
-                known.clear()
-            known.update(encode_words(voc, [w for w in set(chain.from_iterable(words)) if w not in known]))
-            rows = [np.fromiter(chain.from_iterable(map(known.__getitem__, w)), np.int32) for w in words]
-            right = [decode(voc.raw, ids.tolist()) == text for ids, text in zip(rows, texts)]
-            offsets = np.concatenate([[0], np.cumsum([len(r) for r in rows])])
-            flat = np.concatenate(rows) if rows else np.zeros(0, np.int32)
+            known = KNOWN.setdefault(voc.name, Known())
+            if len(known.number) > CACHED:
+                known = KNOWN[voc.name] = Known()
+            known.add(encode_words(voc, [w for w in set(chain.from_iterable(words)) if w not in known.number]))
+            offsets, flat = known.ids(words)
+            right = [decode(voc.raw, flat[a:b].tolist()) == t for a, b, t in zip(offsets[:-1], offsets[1:], texts)]
             lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat, pa.int32()))
             yield pa.RecordBatch.from_arrays(
                 [part.column("doc_id"), pa.array(np.diff(offsets), pa.int64()), lists, pa.array(right, pa.bool_())],
