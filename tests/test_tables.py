@@ -66,6 +66,20 @@ def test_batches_without_labels_are_drawn_again(spark):
     assert all(any(y != -100 for y in r.labels) for r in rows) and max(r.mask_round for r in rows) > 0
 
 
+def test_rare_labels_take_many_rounds(spark):
+    """One batch of sixty rows, some without anything to predict, and one that never has a label."""
+    df = sequences(spark, [1] * 60).withColumn("input_ids", F.when(F.col("sent_id") % 2 == 0, F.array(F.lit(3))).otherwise(F.col("input_ids")))
+    rows = batching.mask_tokens(batching.chunked(df, 20), 4, [0, 1, 2, 3, 4], probability=0.0003).collect()
+    rounds = {r.batch_id: set() for r in rows}
+    for r in rows:
+        rounds[r.batch_id].add(r.mask_round)
+        assert r.sent_id % 2 or r.labels == [-100]
+    assert len(rounds) == 3 and all(len(x) == 1 for x in rounds.values()) and max(max(x) for x in rounds.values()) > batching.ROUNDS
+    assert all(any(r.labels != [-100] for r in rows if r.batch_id == b) for b in rounds)
+    with pytest.raises(ValueError, match="probability 0"):
+        batching.mask_tokens(batching.chunked(df, 20), 4, [0, 1, 2, 3, 4], probability=0.0)
+
+
 def test_upsampling(spark):
     base = spark.createDataFrame([(i, "train") for i in range(40)] + [(100, "dev")], "sent_id bigint, split string")
     gold = spark.createDataFrame([(200, "train"), (201, "train"), (300, "dev"), (400, "test")], "sent_id bigint, split string")
@@ -82,13 +96,16 @@ def test_upsampling(spark):
         assemble.upsample(base, gold, per_labelled=40).collect()
 
 
-def test_label_codes_both_ways(spark):
-    df = spark.createDataFrame([(1, "train", ["b", "a"]), (2, "dev", ["b", "é"]), (3, "dev", [])], "sent_id bigint, split string, deprel array<string>")
-    codes = assemble.label_inventory(df, fields=("deprel",))
-    assert {(r.label, r.code) for r in codes.collect()} == {("a", 0), ("b", 1), ("é", 2)}
-    for limit in (10, 1):
-        rows = {r.sent_id: r.deprel for r in assemble.encode_labels(df, codes, "deprel", max_inline=limit).collect() if r.deprel}
-        assert rows == {1: [1, 0], 2: [1, 2]}
+def test_label_codes(spark):
+    rows = [(1, "train", ["b", "a", None], ["x", None, "x"]), (2, "dev", ["b", "é", "b"], ["y", "x", "y"]), (3, "dev", [], []), (4, "dev", [None], [None])]
+    df = spark.createDataFrame(rows, "sent_id bigint, split string, deprel array<string>, xpos array<string>")
+    codes = assemble.label_inventory(df)
+    assert {tuple(r) for r in codes.collect()} == {("deprel", "a", 0), ("deprel", "b", 1), ("deprel", "é", 2), ("xpos", "x", 0), ("xpos", "y", 1)}
+    fields = {"deprel": "deprel", "xpos": "xpos"}
+    coded = {r.sent_id: (r.deprel, r.xpos) for r in assemble.encode_labels(df, codes, fields).collect()}
+    assert coded == {1: ([1, 0, None], [0, None, 0]), 2: ([1, 2, 1], [1, 0, 1]), 3: ([], []), 4: ([None], [None])}
+    with pytest.raises(Exception, match="unknown label: é"):
+        assemble.encode_labels(df, codes.where("label <> 'é'"), fields).collect()
 
 
 def test_pooling_example(spark):

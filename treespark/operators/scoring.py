@@ -156,8 +156,7 @@ def info_nce(positive: Column, negatives: Column, temperature: float = 0.1) -> C
 def layer_choice(df: DataFrame, value: str, last_layer_only: bool, *keys: str) -> DataFrame:
     """Mean loss of the last layer, or over all layers."""
     if last_layer_only:
-        last = df.agg(F.max("layer").alias("layer"))
-        df = df.join(last, "layer", "left_semi")
+        df = df.where(F.col("layer") == df.agg(F.max("layer")).scalar())
     return df.groupBy(*keys).agg(F.avg(value).alias(value))
 
 

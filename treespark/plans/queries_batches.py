@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from dataclasses import replace
 
 from pyspark.sql import functions as F
@@ -66,25 +67,34 @@ def _(spark, sf):
     )
 
 
+# Small batches and a low probability, so that many batches are drawn again.
+MASK_BATCH, MASK_PROBABILITY = 3, 0.05
+MASK_BELOW = math.ceil(MASK_PROBABILITY * 2**32)
+
+
 def mask_ctes(size: int) -> dict[str, str]:
+    """Round 0 for all batches, further rounds one by one for those that have had no label."""
+    drawn = f"{sql_draw(repr('mask'), 'r', 'sent_id', 'pos')} < {MASK_BELOW}"
     return {
         "b": batch_cte(size),
-        "hits": f"""SELECT sent_id, pos, token_id, r FROM (SELECT sent_id, pos, token_id, unnest(range(0, 40)) AS r FROM ids WHERE token_id >= 5)
-WHERE {sql_draw("'mask'", 'r', 'sent_id', 'pos')} < 644245095""",
-        "rounds": """SELECT b.split, b.batch_id, coalesce(min(h.r), 0) AS r FROM b LEFT JOIN hits h ON h.sent_id = b.sent_id GROUP BY b.split, b.batch_id""",
-        "labelled": """SELECT h.sent_id, h.pos, h.token_id AS label, o.r AS round FROM b JOIN rounds o ON o.split = b.split AND o.batch_id = b.batch_id
-JOIN hits h ON h.sent_id = b.sent_id AND h.r = o.r""",
+        "maskable": "SELECT b.split, b.batch_id, i.sent_id, i.pos, i.token_id FROM ids i JOIN b ON b.sent_id = i.sent_id WHERE i.token_id >= 5",
+        "tries": f"""SELECT split, batch_id, CAST(0 AS BIGINT) AS r, bool_or({drawn}) AS hit FROM (SELECT *, CAST(0 AS BIGINT) AS r FROM maskable) GROUP BY split, batch_id
+UNION ALL
+SELECT split, batch_id, r, bool_or({drawn}) AS hit FROM (SELECT m.*, t.r + 1 AS r FROM maskable m JOIN tries t ON t.split = m.split AND t.batch_id = m.batch_id WHERE NOT t.hit)
+GROUP BY split, batch_id, r""",
+        "rounds": "SELECT split, batch_id, r FROM tries WHERE hit",
+        "labelled": f"""SELECT sent_id, pos, token_id AS label, r AS round FROM (SELECT m.*, o.r FROM maskable m JOIN rounds o ON o.split = m.split AND o.batch_id = m.batch_id) WHERE {drawn}""",
     }
 
 
 def _masked(spark, sf, vocab_size=None):
-    rows = batching.chunked(derived.id_rows(spark, sf), 1)
-    out = batching.mask_tokens(rows, 4, SPECIAL_IDS, vocab_size=vocab_size)
+    rows = batching.chunked(derived.id_rows(spark, sf), MASK_BATCH)
+    out = batching.mask_tokens(rows, 4, SPECIAL_IDS, probability=MASK_PROBABILITY, vocab_size=vocab_size)
     zipped = out.select("sent_id", F.col("mask_round").alias("round"), posexploded(F.arrays_zip("labels", "input_ids")).alias("pos", "x"))
     return zipped.where("x.labels <> -100").select("sent_id", "pos", "round", F.col("x.labels").alias("label"), F.col("x.input_ids").alias("token_id"))
 
 
-@query("h13_masked_tokens", sql("SELECT sent_id, pos, round, label, CAST(4 AS BIGINT) AS token_id FROM labelled", "tb", "ids", **mask_ctes(1)))
+@query("h13_masked_tokens", sql("SELECT sent_id, pos, round, label, CAST(4 AS BIGINT) AS token_id FROM labelled", "tb", "ids", **mask_ctes(MASK_BATCH)))
 def _(spark, sf):
     return _masked(spark, sf)
 
@@ -95,7 +105,7 @@ def _(spark, sf):
         f"""SELECT sent_id, pos, round, label, CASE WHEN {sql_draw("'mask 80'", 'round', 'sent_id', 'pos')} < 3435973837 THEN 4
 WHEN {sql_draw("'random 50'", 'round', 'sent_id', 'pos')} < 2147483648
 THEN CAST(floor({sql_draw("'random id'", 'round', 'sent_id', 'pos')} * 1000 / 4294967296.0::DOUBLE) AS BIGINT) ELSE label END AS token_id FROM labelled""",
-        "tb", "ids", **mask_ctes(1),
+        "tb", "ids", **mask_ctes(MASK_BATCH),
     ),
 )
 def _(spark, sf):

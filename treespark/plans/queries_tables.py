@@ -515,21 +515,14 @@ CODED = sql(
 )
 
 
-def _coded(spark, sf, max_inline):
-    base, gold = _split_gold(spark, sf)
-    codes = assemble.label_inventory(base, gold)
-    known = derived.sentences(spark, sf).where("is_gold = 1 or split in ('train', 'dev')")
-    return tokens.token_rows(assemble.encode_labels(known, codes, "deprel", max_inline=max_inline), ["deprel"]).withColumnRenamed("deprel", "code")
-
-
 @query("c3_label_codes", CODED)
-def _(spark, sf):
-    return _coded(spark, sf, assemble.MAX_INLINE_LABELS)
-
-
 @query("c3_label_codes_joined", CODED)
 def _(spark, sf):
-    return _coded(spark, sf, 0)
+    base, gold = _split_gold(spark, sf)
+    codes = assemble.label_inventory(base, gold)
+    known = derived.sentences(spark, sf).where("is_gold = 1 or split in ('train', 'dev')")
+    coded = assemble.encode_labels(known, codes, {"deprel": "deprel"})
+    return tokens.token_rows(coded, ["deprel"]).withColumnRenamed("deprel", "code")
 
 
 @query(
