@@ -37,6 +37,7 @@ LOOKS = str.maketrans("013457@$!|", "oieastasii")
 SENTENCE_END = re.compile(r"[.!?\n]+(?=\s|$)")
 SPELT = re.compile(r"(?<!\S)(?:[^\W\d_][^\S\n]){2,}[^\W\d_](?!\S)")
 SCHEMA = "doc_id bigint, score double, predicted int"
+MODEL = "table binary, bias double, slope double, offset double"
 
 
 def letters_of(word: str) -> str:
@@ -243,9 +244,18 @@ def fitted(docs: DataFrame, labels: DataFrame) -> Model | None:
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").alias("text")).where(
         F.length("text") <= SAMPLE_CHARS)
     found = texts.join(F.broadcast(picked), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
-    once = found.groupBy("text").agg(F.max("toxic").alias("toxic"))
-    rows = sorted((r.text, r.toxic) for r in once.collect())  # at most 2 * SAMPLE rows
-    return fit([r[0] for r in rows], [r[1] for r in rows])
+    once = found.groupBy("text").agg(F.max("toxic").alias("toxic"))  # at most 2 * SAMPLE rows
+    rows = once.repartition(1).mapInArrow(fit_batches, MODEL).collect()
+    return Model(np.frombuffer(rows[0].table, np.float32), *rows[0][1:]) if rows else None
+
+
+def fit_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The sample is fitted in one task, and only the weights reach the driver."""
+    rows = sorted((text, toxic) for batch in batches for text, toxic in zip(*[c.to_pylist() for c in batch.columns]))
+    model = fit([r[0] for r in rows], [r[1] for r in rows])
+    if model is not None:
+        values = [model.table.tobytes(), model.bias, model.slope, model.offset]
+        yield pa.RecordBatch.from_arrays([pa.array([v]) for v in values], names=["table", "bias", "slope", "offset"])
 
 
 def probabilities(texts: list, model: Model | None, known: dict[str, float]) -> list[float]:
