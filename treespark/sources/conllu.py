@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from urllib.parse import unquote
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -61,11 +63,27 @@ def blocks(lines: DataFrame, column: str = "value") -> DataFrame:
     return parts.where(F.col("block").rlike(r"(?m)^[^#\s]"))
 
 
-def _read_blocks(spark: SparkSession, path: str, glob: str | None = None) -> DataFrame:
-    reader = spark.read.option("lineSep", "\n\n")
-    if glob is not None:
-        reader = reader.option("recursiveFileLookup", "true").option("pathGlobFilter", glob)
-    return blocks(reader.text(path)).select(F.monotonically_increasing_id().alias("sent_id"), "block")
+def _read_blocks(spark: SparkSession, paths: str | list[str], glob: str | None = None) -> DataFrame:
+    """(sent_id, path, block); ids are distinct over all files of the read, whatever their line ends.
+
+    Files are split at empty lines, those with carriage returns at theirs, so that no file is read as one row.
+    """
+
+    def lines(separator: str, found: str | list[str], glob: str | None = None) -> DataFrame:
+        reader = spark.read.option("lineSep", separator)
+        if glob is not None:
+            reader = reader.option("recursiveFileLookup", "true").option("pathGlobFilter", glob)
+        return reader.text(found).select("value", F.col("_metadata.file_path").alias("path"))
+
+    names = lines("\n", paths, glob).groupBy("path").agg(F.max(F.col("value").endswith("\r")).alias("carriage")).collect()
+    returned = [unquote(r["path"]) for r in names if r["carriage"]]
+    if not returned:
+        rows = lines("\n\n", paths, glob)
+    else:
+        rows = lines("\r\n\r\n", returned)
+        if others := [unquote(r["path"]) for r in names if not r["carriage"]]:
+            rows = rows.unionByName(lines("\n\n", others))
+    return blocks(rows).select(F.monotonically_increasing_id().alias("sent_id"), "path", "block")
 
 
 def parse_blocks(df: DataFrame, plain_ids_only: bool = True) -> DataFrame:
@@ -86,17 +104,21 @@ def read_conllu(
 ) -> DataFrame:
     """(sent_id, split, tokens, xpos, head, deprel, keys…) of plain words; ``keys`` are comments to keep.
 
-    With ``glob`` the path is searched recursively for matching files. Ids follow the order of blocks within
-    a file part; store the result to keep them across sessions.
+    With ``glob`` the path is searched recursively for matching files. Ids are distinct within a read and follow the
+    order of blocks within a file part; store the result to keep them across sessions, and read files together
+    rather than one by one to unite them.
     """
-    rows = _read_blocks(spark, path, glob).withColumn("split", F.lit(split))
+    return _parsed(_read_blocks(spark, path, glob).drop("path").withColumn("split", F.lit(split)), keys)
+
+
+def _parsed(rows: DataFrame, keys: tuple[str, ...]) -> DataFrame:
     rows = rows.withColumns({f"meta_{k}": comment(F.col("block"), k) for k in keys}) if keys else rows
     return parse_blocks(rows)
 
 
 def read_conllu_forms(spark: SparkSession, path: str, split: str = "train", glob: str | None = "*.conllu") -> DataFrame:
     """(sent_id, split, tokens) of all lines, ranges and empty nodes included, from a file or a folder tree."""
-    rows = _read_blocks(spark, path, None if path.endswith(".conllu") else glob)
+    rows = _read_blocks(spark, path, None if path.endswith(".conllu") else glob).drop("path")
     return parse_blocks(rows.withColumn("split", F.lit(split)), plain_ids_only=False).select("sent_id", "split", "tokens")
 
 
@@ -128,8 +150,8 @@ def treebank_files(spark: SparkSession, folder: str) -> dict[str, str]:
 
 
 def read_treebank(spark: SparkSession, folder: str, keys: tuple[str, ...] = ()) -> DataFrame:
-    """The three splits of a treebank folder as one table."""
-    parts = [read_conllu(spark, path, split, keys) for split, path in treebank_files(spark, folder).items()]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2])
-
-
+    """The three splits of a treebank folder as one table with distinct ids."""
+    files = treebank_files(spark, folder)
+    rows = _read_blocks(spark, list(files.values()))
+    split = F.coalesce(*[F.when(F.contains("path", F.lit(f"{s}.conllu")), s) for s in SPLITS])
+    return _parsed(rows.withColumn("split", split).drop("path"), keys)
