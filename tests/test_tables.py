@@ -17,7 +17,7 @@ def test_running_folds_with_one_hot_partition(spark):
     rows = [("hot" if i % 3 else "cold", i, rng.randint(-9, 9)) for i in rng.sample(range(5000), 900)]
     df = spark.createDataFrame(rows, "g string, k bigint, v int").repartition(6)
     folds = {"n": ("count", F.lit(1)), "s": ("sum", F.col("v")), "lo": ("min", F.col("v")), "hi": ("max", F.col("v"))}
-    got = {(r.g, r.k): (r.n, r.s, r.lo, r.hi) for r in prefix.running(df, ["g"], ["k"], folds, buckets=5).collect()}
+    got = {(r.g, r.k): (r.n, r.s, r.lo, r.hi) for r in prefix.running(df, ["g"], ["k"], folds).collect()}
     for g in ("hot", "cold"):
         seen = []
         for _, k, v in sorted(r for r in rows if r[0] == g):
@@ -184,7 +184,7 @@ def test_learnt_pieces_rebuild_words(spark):
 def test_wordpiece_encoding(spark):
     vocab = spark.createDataFrame([(p, i) for i, p in enumerate(["[PAD]", "[CLS]", "[SEP]", "[UNK]", "un", "##aff", "##able", "##a"])], "piece string, id int")
     words = spark.createDataFrame([("unaffable",), ("unab",), ("una",), ("u" * 101,), ("unaffable",)], "word string")
-    got = {r.word: r.ids for r in vocabulary.encode_distinct(words, vocab).collect()}
+    got = {r.word: r.ids for r in vocabulary.encode_distinct(words, vocab, max_word=100).collect()}
     assert got == {"unaffable": [4, 5, 6], "unab": [3], "una": [4, 7], "u" * 101: [3]}
 
 

@@ -1,8 +1,8 @@
 """Running folds and ranks over a whole table without putting a partition's rows into one task.
 
-Folds: rows are cut into ordered buckets, each bucket is folded first (map-side), the bucket totals -- a
-small table -- are folded in order, and only then does a window run inside each bucket. Ranks: rows are
-laid out by range, numbered per task, and the tasks' sizes added up.
+Rows are laid out in as many ranges as there are tasks. Folds: each range is folded first (map-side), the totals -- a
+small table -- are folded in order, and only then does a window run inside each range. Ranks: rows are
+numbered per range, and the sizes of the ranges added up.
 """
 
 from __future__ import annotations
@@ -13,8 +13,6 @@ from pyspark.sql import Window
 
 from treespark.session import cut_lineage
 
-MAX_BUCKETS = 1_000
-
 _FOLDS = {
     "count": (F.count, F.sum, lambda carry, own: F.coalesce(carry, F.lit(0)) + own),
     "sum": (F.sum, F.sum, lambda carry, own: F.coalesce(carry, F.lit(0)) + own),
@@ -23,33 +21,21 @@ _FOLDS = {
 }
 
 
-def with_quantile_bucket(df: DataFrame, key: str, buckets: int | None = None, name: str = "_bucket") -> DataFrame:
-    """Add an order-preserving bucket number for a numeric key, from approximate quantiles of the table.
-
-    The quantiles only steer the load; ranks are exact whatever they are.
-    """
-    count = buckets or min(4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), MAX_BUCKETS)
-    steps = [i / count for i in range(1, count)] or [0.5]
-    cuts = df.agg(F.percentile_approx(key, steps, 10_000)).scalar()
-    above = F.aggregate("_cuts", F.lit(0), lambda n, cut: n + (F.col(key) > cut).cast("int"))
-    return df.withColumn("_cuts", cuts).withColumn(name, above).drop("_cuts")
+def _laid_out(df: DataFrame, keys: list[str], **extra: Column) -> DataFrame:
+    """``df`` in ranges of ``keys``, stored with the number of each row's range, so that a lost executor cannot change it."""
+    laid = df.repartitionByRange(*keys).sortWithinPartitions(*keys)
+    return cut_lineage(laid.withColumns({"_task": F.spark_partition_id(), **extra}))
 
 
-def running(
-    df: DataFrame,
-    partition: list[str],
-    order: list[str],
-    folds: dict[str, tuple[str, Column]],
-    buckets: int | None = None,
-) -> DataFrame:
+def running(df: DataFrame, partition: list[str], order: list[str], folds: dict[str, tuple[str, Column]]) -> DataFrame:
     """Add running counts, sums, minima or maxima (current row included), per ``partition`` in ``order``.
 
-    ``folds`` maps an output column to (fold, expression). The first order column must be numeric.
+    ``folds`` maps an output column to (fold, expression). There are as many ranges as tasks, at any size.
     """
-    bucketed = with_quantile_bucket(df, order[0], buckets)
-    keys = [*partition, "_bucket"]
-    totals = bucketed.groupBy(*keys).agg(*[_FOLDS[f][0](e).alias(n) for n, (f, e) in folds.items()])
-    before = Window.partitionBy(*partition).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    laid = _laid_out(df, [*partition, *order])
+    keys = [*partition, "_task"]
+    totals = laid.groupBy(*keys).agg(*[_FOLDS[f][0](e).alias(n) for n, (f, e) in folds.items()])
+    before = Window.partitionBy(*partition).orderBy("_task").rowsBetween(Window.unboundedPreceding, -1)
     carries = totals.select(
         *[F.col(k).alias(f"_k_{k}") for k in keys],
         *[_FOLDS[f][1](F.col(n)).over(before).alias(f"_c_{n}") for n, (f, _) in folds.items()],
@@ -59,9 +45,9 @@ def running(
     for condition in match[1:]:
         on = on & condition
     within = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    joined = bucketed.join(carries, on)
+    joined = laid.join(carries, on)
     out = {n: _FOLDS[f][2](F.col(f"_c_{n}"), _FOLDS[f][0](e).over(within)) for n, (f, e) in folds.items()}
-    return joined.withColumns(out).drop("_bucket", *[c for c in carries.columns])
+    return joined.withColumns(out).drop("_task", *carries.columns)
 
 
 def ranked(df: DataFrame, partition: list[str], order: list[str], name: str = "rank") -> DataFrame:
@@ -72,9 +58,8 @@ def ranked(df: DataFrame, partition: list[str], order: list[str], name: str = "r
     before: a small table, whose real size lets Spark decide whether to broadcast it.
     """
     keys = [*partition, *order]
-    laid = df.repartitionByRange(*keys).sortWithinPartitions(*keys)
     place = F.monotonically_increasing_id().bitwiseAND(F.lit(2**33 - 1))
-    stored = cut_lineage(laid.withColumns({"_task": F.spark_partition_id(), "_place": place}))
+    stored = _laid_out(df, keys, _place=place)
     sizes = stored.groupBy("_task", *partition).agg(F.count("*").alias("_n"), F.min("_place").alias("_first"))
     earlier = Window.partitionBy(*partition).orderBy("_task").rowsBetween(Window.unboundedPreceding, -1)
     before = F.coalesce(F.sum("_n").over(earlier), F.lit(0)) - F.col("_first")

@@ -42,10 +42,7 @@ def _decomposed(texts: pd.Series) -> pd.Series:
 
 
 def normalised(text: Column, decompose: bool = True, lowercase: bool = True) -> Column:
-    """Canonical decomposition, then lower case. Callers pass ASCII texts around the decomposition (see K1)."""
+    """Canonical decomposition, then lower case."""
     out = _decomposed(text) if decompose else text
     return F.lower(out) if lowercase else out
 
-
-def is_ascii(text: Column) -> Column:
-    return ~text.rlike(r"[^\x00-\x7f]")

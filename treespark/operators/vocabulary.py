@@ -18,8 +18,8 @@ SPECIALS = ("[PAD]", "[CLS]", "[SEP]", "[UNK]", "[MASK]")
 CASED_SPECIALS = ("[PAD]", "[UNK]", "[CLS]", "[SEP]", "[MASK]")
 # The vocabulary size grows by 6,000 over 450,000 word types, from 8,000 at 15,000 types.
 BASE_SIZE, BASE_TYPES, GROWTH = 8_000, 15_000, 6_000 / 450_000
-# Mark of a piece inside a word; longest word that is cut into pieces.
-PREFIX, MAX_WORD = "##", 100
+# Fixed value: mark of a piece inside a word.
+PREFIX = "##"
 
 
 @dataclass(frozen=True)
@@ -195,15 +195,15 @@ def check_vocabulary(vocab: DataFrame) -> DataFrame:
     )
 
 
-def encode_distinct(words: DataFrame, vocab: DataFrame, unk: int = 3) -> DataFrame:
+def encode_distinct(words: DataFrame, vocab: DataFrame, unk: int = 3, max_word: int | None = None) -> DataFrame:
     """(word, ids): greedy longest match of every distinct word, by an equi join with the vocabulary.
 
     Every substring of a word is looked up; the walk from left to right then happens inside the row. A word
-    with an uncovered character, or of more than ``MAX_WORD`` characters, is unknown as a whole.
+    with an uncovered character, or of more than ``max_word`` characters, is unknown as a whole.
     """
     distinct = words.select("word").distinct()
     longest = vocab.agg(F.max(F.length("piece")).alias("n")).scalar()
-    short = distinct.where(F.length("word") <= MAX_WORD)
+    short = distinct if max_word is None else distinct.where(F.length("word") <= max_word)
     starts = short.select("word", F.explode(F.sequence(F.lit(1), F.length("word"))).alias("start"))
     room = F.least(F.length("word") - F.col("start") + 1, longest)
     parts = starts.where("word <> ''").select("word", "start", F.explode(F.sequence(F.lit(1), room)).alias("len"))
