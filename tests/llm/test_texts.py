@@ -80,8 +80,9 @@ def test_base_spans_against_the_patterns():
         assert row[5] == plain_base(text), text
         assert row[6] == hashlib.sha256(row[5].encode()).hexdigest()
         assert list(row[1:5]) == [row[5].count(k + ":") for k in pii.KINDS]
-    for long in ("a" * 200_000 + "@", "1" * 200_000, "1." * 100_000, "+1" + " " * 200_000, "1 " * 100_000):
-        assert pii.scan(long.encode())[5] == ("" if "1." not in long else pii.scan(long.encode())[5])
+    for long in ("a" * 200_000 + "@", "1" * 200_000, "+1" + " " * 200_000, "1 " * 100_000):
+        assert pii.scan(long.encode())[5] == ""
+    assert pii.scan(b"1." * 100_000)[2] == 25_000
 
 
 def plain_terms(rows, support, threshold):

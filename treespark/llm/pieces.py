@@ -32,8 +32,8 @@ UNKNOWN_PENALTY = 10.0
 WORD = re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
 #: Words that are kept between batches, rows encoded together, letters up to which a word is not cut further; size of
 #: the fields that tell most look-ups apart, in bits.
-CACHED, TOGETHER, SHORT = 500_000, 500, 12
-FIELD_BITS = 22
+CACHED, TOGETHER, SHORT = 500_000, 1500, 12
+FIELD_BITS, SEEN_BITS = 22, 20
 SCHEMA = "doc_id bigint, n_pieces bigint, ids array<int>, round_trip boolean"
 
 
@@ -134,8 +134,23 @@ def merges_of(index: dict[str, int], scores: dict[str, float]) -> Merges:
     return Merges(time, left, right, keys, when, field_of(keys), times)
 
 
-def lasting(m: Merges, first: np.ndarray, second: np.ndarray) -> np.ndarray:
-    """Whether merging two pieces' letters leaves these two pieces.
+def lasting(voc: Vocabulary, first: np.ndarray, second: np.ndarray) -> np.ndarray:
+    """Whether merging two pieces' letters leaves these two pieces; pairs seen lately are remembered."""
+    keys = first << 32 | second
+    if voc.name not in SEEN:
+        SEEN[voc.name] = np.full(1 << SEEN_BITS, -1, np.int64), np.zeros(1 << SEEN_BITS, bool)
+    seen, told = SEEN[voc.name]
+    slot = spot(keys) >> np.uint64(FIELD_BITS - SEEN_BITS)
+    out = told[slot]
+    new = np.flatnonzero(seen[slot] != keys)
+    if len(new):
+        out[new] = undone(voc.merges, first[new], second[new])
+        seen[slot[new]], told[slot[new]] = keys[new], out[new]
+    return out
+
+
+def undone(m: Merges, first: np.ndarray, second: np.ndarray) -> np.ndarray:
+    """``lasting`` for pairs that were not seen.
 
     Merges are undone from the latest on. The pieces then beside the border must not merge earlier than the merge
     undone; of equal merges the left one comes first.
@@ -250,7 +265,7 @@ def best_merges(voc: Vocabulary, index: np.ndarray) -> np.ndarray:
             piece = found[rows]
             fits = m.time[piece] < 1 << 40
             if start:
-                fits &= lasting(m, last[rows, start], piece)
+                fits &= lasting(voc, last[rows, start], piece)
             rows, piece = rows[fits], piece[fits]
             last[rows, end], back[rows, end] = piece, length
             open_[rows] = False
@@ -364,8 +379,9 @@ class Known:
         return ends[np.concatenate([[0], np.cumsum(list(map(len, words)))]).astype(np.int64)], self.flat[at]
 
 
-#: By vocabulary; a worker process keeps them from task to task.
+#: Words, and pairs of pieces, by vocabulary; a worker process keeps them from task to task.
 KNOWN: dict[str, Known] = {}
+SEEN: dict[str, tuple[np.ndarray, np.ndarray]] = {}
 
 
 def encode_batches(batches: Iterator[pa.RecordBatch], voc: Vocabulary) -> Iterator[pa.RecordBatch]:
