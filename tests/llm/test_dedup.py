@@ -101,7 +101,7 @@ def test_links_of_large_buckets(spark):
         prints.add(p)
     prints = sorted(prints)
     signed = [(p - 2**64 if p >= 2**63 else p, i) for i, p in enumerate(prints)]
-    df = spark.createDataFrame(signed, "fp long, v long")
+    df = spark.createDataFrame(signed, "fp long, v long").withColumn("k", F.lit(0))
     reach = {r.v: r.component for r in common.components(simhash.links(df)).collect()}
     assert [reach.get(i, i) for i in range(len(prints))] == plain_components(prints)
 

@@ -16,7 +16,7 @@ import hashlib
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import partial
+from functools import lru_cache, partial
 from itertools import chain
 
 import numpy as np
@@ -172,9 +172,18 @@ def undone(m: Merges, first: np.ndarray, second: np.ndarray) -> np.ndarray:
 
 
 def load(path: str = MODEL) -> Vocabulary:
-    """The vocabulary of a SentencePiece model file, on the driver; tasks get it with their code."""
+    """The vocabulary of a SentencePiece model file."""
+    return vocabulary(content_of(path))
+
+
+def content_of(path: str) -> bytes:
+    """The model file, read on the driver; tasks get it with their code."""
     with open(path, "rb") as file:
-        content = file.read()
+        return file.read()
+
+
+@lru_cache(maxsize=4)
+def vocabulary(content: bytes) -> Vocabulary:
     model, name = sentencepiece_model_pb2.ModelProto.FromString(content), hashlib.sha256(content).hexdigest()
     kinds = sentencepiece_model_pb2.ModelProto.SentencePiece
     if model.normalizer_spec.precompiled_charsmap or model.normalizer_spec.remove_extra_whitespaces:
@@ -384,7 +393,8 @@ KNOWN: dict[str, Known] = {}
 SEEN: dict[str, tuple[np.ndarray, np.ndarray]] = {}
 
 
-def encode_batches(batches: Iterator[pa.RecordBatch], voc: Vocabulary) -> Iterator[pa.RecordBatch]:
+def encode_batches(batches: Iterator[pa.RecordBatch], content: bytes) -> Iterator[pa.RecordBatch]:
+    voc = vocabulary(content)
     for batch in batches:
         for start in range(0, batch.num_rows, TOGETHER):
             part = batch.slice(start, TOGETHER)
@@ -409,14 +419,15 @@ def encode(docs: DataFrame, model: str = MODEL) -> DataFrame:
     as empty and has no pieces. Repeated rows give a row each. Other columns are not read.
     """
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").alias("text"))
-    return rows.mapInArrow(partial(encode_batches, voc=load(model)), SCHEMA)
+    return rows.mapInArrow(partial(encode_batches, content=content_of(model)), SCHEMA)
 
 
 def decode_rows(encoded: DataFrame, model: str = MODEL) -> DataFrame:
     """(doc_id, text) of rows (doc_id, ids); null or empty ids are an empty text."""
-    raw = load(model).raw
+    content = content_of(model)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        raw = vocabulary(content).raw
         for batch in batches:
             texts = [decode(raw, ids.as_py() or []) for ids in batch.column("ids")]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(texts, pa.string())], names=["doc_id", "text"])

@@ -109,26 +109,28 @@ def fingerprints(docs: DataFrame, shingle: int = 3, seeds: tuple[int, ...] = (42
 
 
 def links(prints: DataFrame) -> DataFrame:
-    """(a, b): links that connect the same distinct fingerprints (fp, v) as all pairs at two or fewer differing bits do.
+    """(a, b): links between distinct fingerprints (k, fp, v) of equal k that connect the same as all pairs at two or
+    fewer differing bits do.
 
     Buckets of up to ``PAIRED`` fingerprints compare their pairs. In larger ones each fingerprint names itself and
     its 64 neighbours at one bit: two fingerprints are within two bits exactly if they name a common point, and
     no point is named by more than 65. Members of a point are linked to its smallest, so links stay linear.
     """
-    tables = F.array(*[F.xxhash64(F.lit(t), F.col("fp").bitwiseAND(F.lit(m))) for t, m in enumerate(masks())])
-    keyed = prints.select("fp", "v", F.explode(tables).alias("bucket"))
+    tables = F.array(*[F.xxhash64("k", F.lit(t), F.col("fp").bitwiseAND(F.lit(m))) for t, m in enumerate(masks())])
+    keyed = prints.select("k", "fp", "v", F.explode(tables).alias("bucket"))
     buckets = stored(keyed.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1"))
     members = stored(attach(keyed, buckets, "bucket", "size", F.col("fp"), "inner"))
-    close = lambda x, y: F.bit_count(x["fp"].bitwiseXOR(y["fp"])) <= RADIUS
-    grouped = members.where(F.col("size") <= PAIRED).groupBy("bucket").agg(F.sort_array(F.collect_set(F.struct("fp", "v"))).alias("m"))
+    close = lambda x, y: (x["k"] == y["k"]) & (F.bit_count(x["fp"].bitwiseXOR(y["fp"])) <= RADIUS)
+    grouped = members.where(F.col("size") <= PAIRED).groupBy("bucket").agg(
+        F.sort_array(F.collect_set(F.struct("k", "fp", "v"))).alias("m"))
     pairs = F.flatten(F.transform("m", lambda x, i: F.transform(
         F.filter(F.slice("m", i + 2, F.size("m")), lambda y: close(x, y)), lambda y: F.struct(x["v"].alias("a"), y["v"].alias("b")))))
     small = grouped.select(F.explode(pairs).alias("p")).select("p.a", "p.b")
     points = F.transform(
         F.sequence(F.lit(-1), F.lit(BITS - 1)),
         lambda k: F.when(k < 0, F.col("fp")).otherwise(F.col("fp").bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("bigint"), k))))
-    large = members.where(F.col("size") > PAIRED).select("fp", "v").distinct().select("v", F.explode(points).alias("point"))
-    stars = large.groupBy("point").agg(F.sort_array(F.collect_set("v")).alias("m")).select(
+    large = members.where(F.col("size") > PAIRED).select("k", "fp", "v").distinct().select("k", "v", F.explode(points).alias("point"))
+    stars = large.groupBy("k", "point").agg(F.sort_array(F.collect_set("v")).alias("m")).select(
         F.col("m")[0].alias("a"), F.explode(F.slice("m", 2, BITS)).alias("b"))
     return small.unionByName(stars).distinct()
 
@@ -147,10 +149,7 @@ def near_dedup(docs: DataFrame, shingle: int = 3, seeds: tuple[int, ...] = (42,)
         "doc_id", F.col("prints")[0].alias("first"), F.posexplode("prints").alias("k", "fp")))
     classes = stored(narrow.groupBy("k", "fp").agg(F.min("doc_id").alias("v"), F.count("*").alias("n")))
     known = classes.where("v is not null")
-    edges = None
-    for k in range(len(seeds)):
-        found = links(known.where(F.col("k") == k).select("fp", "v"))
-        edges = found if edges is None else edges.unionByName(found)
+    edges = links(known.select("k", "fp", "v"))
     named = classes.select(F.xxhash64("k", "fp").alias("class"), "k", "fp", "v", "n")
     if len(seeds) > 1:  # a document ties its classes together
         keyed = narrow.withColumn("class", F.xxhash64("k", "fp"))
