@@ -139,6 +139,36 @@ def test_without_near_copies(docs):
     assert sorted(r.doc_id for r in kept.collect()) == [5, 7, 8, 9]
 
 
+def jaccard(x, y, k=5):
+    a, b = ({tuple(w[i : i + k]) for i in range(max(1, len(w) - k + 1))} for w in (x.lower().split(), y.lower().split()))
+    return len(a & b) / len(a | b)
+
+
+def test_near_copies_are_those_of_brute_force(docs):
+    """Edited copies on both sides of 0.8, and texts of the same words in another order, which are no copies."""
+    rng = random.Random(12)
+    words = [f"word{i}" for i in range(3000)]
+    rows = []
+    for k in range(90):
+        text = rng.choices(words, k=rng.choice([30, 100, 300, 1000]))
+        copy = list(text)
+        for at in rng.sample(range(len(copy)), max(1, int(len(copy) * rng.uniform(0.005, 0.035)))):
+            copy[at] = rng.choice(words)
+        if k % 9 == 0:
+            copy = [w for i in range(0, len(text), 10) for w in reversed(text[i : i + 10])]
+        rows += [(2 * k, " ".join(text)), (2 * k + 1, " ".join(copy))]
+    base = rng.choices(words, k=200)  # a group larger than the buckets that are paired
+    for i in range(80):
+        copy = list(base)
+        copy[2 * i] = "other"
+        rows.append((1000 + i, " ".join(copy)))
+    same = {2 * k + 1: jaccard(rows[2 * k][1], rows[2 * k + 1][1]) for k in range(90)}
+    assert sum(0.8 <= x < 0.85 for x in same.values()) > 8 and sum(0.7 < x < 0.8 for x in same.values()) > 8
+    kept = {r.doc_id for r in simhash.without_near_copies(docs(*rows), seeds=tuple(range(42, 50))).collect()}
+    assert {i for i, x in same.items() if i not in kept} == {i for i, x in same.items() if x >= 0.8}
+    assert {i for i in kept if i >= 1000} == {1000} and all(2 * k in kept for k in range(90))
+
+
 def plain_substrings(rows):
     """What substring_dedup returns, by a dictionary of all runs."""
     rows = sorted(set(rows), key=lambda r: r[0])

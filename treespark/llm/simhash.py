@@ -21,6 +21,11 @@ from treespark.llm.common import attach, components, pieces_of, stored
 BITS, RADIUS = 64, 2
 #: Fingerprints of a bucket up to which its pairs are compared; larger buckets are linked over midpoints.
 PAIRED = 32
+#: Words of a shingle of near copies; tables of least shingle hashes, and hashes of each: at a similarity of 0.8 a pair
+#: meets in one with a chance of 1 - (1 - 0.8**4)**16 = 0.9998.
+WIDE, TABLES, LEAST = 5, 16, 4
+#: Documents of a large bucket that are compared with each other, about.
+DEALT = 8
 #: Hashes up to which bits are counted one by one.
 FEW = 4096
 BYTE_BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
@@ -108,6 +113,45 @@ def fingerprints(docs: DataFrame, shingle: int = 3, seeds: tuple[int, ...] = (42
     return rows.mapInArrow(work, "doc_id bigint, prints array<bigint>")
 
 
+def shingles(raw: bytes) -> np.ndarray:
+    """Hashes of the distinct runs of ``WIDE`` words of a lower-cased text; a shorter text is one run."""
+    return np.unique(np.concatenate([np.zeros(0, np.uint64), *hashes_of(raw, WIDE, 0)]))
+
+
+FACTORS = stirred(np.arange(TABLES * LEAST, dtype=np.uint64), 1) | np.uint64(1)
+
+
+def least_keys(found: np.ndarray) -> list[int]:
+    """One key per table: the least of the shingle hashes, as ``LEAST`` permutations order them."""
+    if not len(found):
+        return []
+    lows = np.array([(found * c).min() for c in FACTORS], "<u8").reshape(TABLES, LEAST)
+    keys = [xxhash.xxh64_intdigest(row.tobytes(), k) for k, row in enumerate(lows)]
+    return [k - 2**64 if k >= 2**63 else k for k in keys]
+
+
+def near_batches(batches: Iterator[pa.RecordBatch], seeds: tuple[int, ...]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        prints, keys = [], []
+        for text in batch.column("text").cast(pa.binary()):
+            raw = (text.as_py() or b"").lower()
+            words = word_hashes(raw)
+            prints.append([fingerprint([stirred(words, seed)]) for seed in seeds])
+            keys.append(least_keys(shingles(raw)))
+        longs = pa.list_(pa.int64())
+        yield pa.RecordBatch.from_arrays(
+            [batch.column("doc_id"), pa.array(prints, longs), pa.array(keys, longs)], names=["doc_id", "prints", "keys"])
+
+
+def shingle_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        found = [shingles((text.as_py() or b"").lower()).view(np.int64) for text in batch.column("text").cast(pa.binary())]
+        offsets = pa.array(np.cumsum([0, *map(len, found)]), pa.int32())
+        values = pa.array(np.concatenate([np.zeros(0, np.int64), *found]), pa.int64())
+        yield pa.RecordBatch.from_arrays(
+            [batch.column("doc_id"), pa.ListArray.from_arrays(offsets, values)], names=["doc_id", "grams"])
+
+
 def links(prints: DataFrame) -> DataFrame:
     """(a, b): links between distinct fingerprints (k, fp, v) of equal k that connect the same as all pairs at two or
     fewer differing bits do.
@@ -135,6 +179,14 @@ def links(prints: DataFrame) -> DataFrame:
     return small.unionByName(stars).distinct()
 
 
+def ties(narrow: DataFrame, classes: DataFrame) -> DataFrame:
+    """(a, b): every document with the smallest one of the same fingerprint, for each seed."""
+    keyed = narrow.withColumn("class", F.xxhash64("k", "fp"))
+    named = stored(classes.select(F.xxhash64("k", "fp").alias("class"), "v", "n"))
+    tied = attach(keyed, named, "class", "n", F.col("doc_id"))
+    return tied.where("v <> doc_id").select(F.col("doc_id").alias("a"), F.col("v").alias("b"))
+
+
 def near_dedup(docs: DataFrame, shingle: int = 3, seeds: tuple[int, ...] = (42,), distinct_words: bool = False) -> DataFrame:
     """(doc_id, fingerprint, component_id), one row per row of ``docs``.
 
@@ -152,9 +204,7 @@ def near_dedup(docs: DataFrame, shingle: int = 3, seeds: tuple[int, ...] = (42,)
     edges = links(known.select("k", "fp", "v"))
     named = classes.select(F.xxhash64("k", "fp").alias("class"), "k", "fp", "v", "n")
     if len(seeds) > 1:  # a document ties its classes together
-        keyed = narrow.withColumn("class", F.xxhash64("k", "fp"))
-        tied = attach(keyed, stored(named.select("class", "v", "n")), "class", "n", F.col("doc_id"))
-        edges = edges.unionByName(tied.where("v <> doc_id").select(F.col("doc_id").alias("a"), F.col("v").alias("b")))
+        edges = edges.unionByName(ties(narrow, classes))
     else:  # an id on several rows may have several fingerprints
         several = narrow.groupBy("doc_id").agg(F.min("fp").alias("lo"), F.max("fp").alias("hi")).where("lo <> hi")
         rows = narrow.join(several.select("doc_id"), "doc_id").select("doc_id", "fp").distinct()
@@ -168,12 +218,61 @@ def near_dedup(docs: DataFrame, shingle: int = 3, seeds: tuple[int, ...] = (42,)
         "doc_id", F.lpad(F.lower(F.hex("first")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def alike(docs: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The pairs (a, b) of ids whose texts share at least 0.8 of their five-word shingles, counted over the whole texts.
+
+    Two texts without words are alike. Of an id with several texts, one has to be alike.
+    """
+    once = stored(pairs.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    held = once.select(F.col("a").alias("_id")).unionByName(once.select(F.col("b").alias("_id"))).distinct()
+    texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").alias("text")).join(
+        held.hint("merge"), F.col("doc_id") == F.col("_id"), "left_semi")
+    grams = stored(texts.mapInArrow(shingle_batches, "doc_id bigint, grams array<bigint>"))
+    side = lambda n: grams.select(F.col("doc_id").alias(n), F.col("grams").alias(f"g{n}"), F.size("grams").alias(f"n{n}")).hint("merge")
+    both = once.join(side("a"), "a").join(side("b"), "b").where("5 * least(na, nb) >= 4 * greatest(na, nb)")
+    shared = F.size(F.array_intersect("ga", "gb"))
+    return stored(both.where(5 * shared >= 4 * (F.col("na") + F.col("nb") - shared)).select("a", "b").distinct())
+
+
+def near_links(docs: DataFrame, seeds: tuple[int, ...]) -> DataFrame:
+    """(a, b): links between ids of near copies, each of them counted out by ``alike``.
+
+    Candidates meet in a fingerprint of the set of words, at two bits in some seed, or in a table of least shingle
+    hashes. First each document is compared with one of its bucket, chosen anew per bucket; then the pairs of
+    buckets that are still in different components. Buckets of over ``PAIRED`` documents are dealt for that into parts
+    of about ``DEALT``, other parts in every table, so that comparisons stay linear in the size of a group.
+    """
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").alias("text")).where("doc_id is not null")
+    seen = stored(rows.mapInArrow(partial(near_batches, seeds=seeds), "doc_id bigint, prints array<bigint>, keys array<bigint>"))
+    narrow = seen.select("doc_id", F.posexplode("prints").alias("k", "fp"))
+    classes = stored(narrow.groupBy("k", "fp").agg(F.min("doc_id").alias("v"), F.count("*").alias("n")))
+    close = links(classes.select("k", "fp", "v")).unionByName(ties(narrow, classes))
+    keyed = seen.select("doc_id", F.explode("keys").alias("key"))
+    buckets = stored(keyed.groupBy("key").agg(
+        F.min(F.struct(F.xxhash64("doc_id", "key").alias("h"), "doc_id")).alias("low"), F.count("*").alias("size")).where("size > 1").select(
+            "key", F.col("low.doc_id").alias("leader"), "size"))
+    members = stored(attach(keyed, buckets, "key", "size", F.col("doc_id"), "inner"))
+    first = alike(docs, close.unionByName(members.select(F.col("leader").alias("a"), F.col("doc_id").alias("b"))))
+    reach = components(first)
+    part = F.when(F.col("size") > PAIRED, F.pmod(F.xxhash64("doc_id", "key", F.lit(1)), F.ceil(F.col("size") / DEALT))).otherwise(0)
+    placed = members.join(reach.hint("merge"), F.col("doc_id") == F.col("v"), "left").select(
+        F.xxhash64("key", part).alias("part"), F.coalesce("component", "doc_id").alias("c"), "doc_id")
+    apart = placed.groupBy("part").agg(F.sort_array(F.collect_set(F.struct("c", "doc_id"))).alias("m")).where(
+        F.col("m")[0]["c"] < F.element_at("m", -1)["c"])
+    pairs = F.flatten(F.transform("m", lambda x, i: F.transform(
+        F.filter(F.slice("m", i + 2, F.size("m")), lambda y: x["c"] < y["c"]),
+        lambda y: F.struct(x["doc_id"].alias("a"), y["doc_id"].alias("b")))))
+    second = alike(docs, apart.select(F.explode(pairs).alias("p")).select("p.a", "p.b"))
+    return reach.where("v <> component").select(F.col("v").alias("a"), F.col("component").alias("b")).unionByName(second)
+
+
 def without_near_copies(docs: DataFrame, seeds: tuple[int, ...]) -> DataFrame:
     """``docs`` with one row of each group of near copies, all columns as they were: that with the smallest id.
 
-    Fingerprints are of the set of words, where near copies differ in few bits; several seeds find those that one
-    misses. Rows without an id stay. An id that stands on several rows is one document, whose rows stay or go together.
+    Near copies share at least 0.8 of their distinct five-word shingles; a group is what links of near copies reach.
+    Fingerprints and least hashes only propose links. Rows without an id stay. An id that stands on several rows is one
+    document, whose rows stay or go together.
     """
-    told = near_dedup(docs, seeds=seeds, distinct_words=True)
-    gone = stored(told.where("component_id <> doc_id").select(F.col("doc_id").alias("_gone")).distinct())
+    reach = components(near_links(docs, seeds))
+    gone = stored(reach.where("component <> v").select(F.col("v").alias("_gone")).distinct())
     return docs.join(gone.hint("merge"), docs["doc_id"] == gone["_gone"], "left_anti")
