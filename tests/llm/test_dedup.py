@@ -229,6 +229,20 @@ def test_repeats_within_a_text_and_spans(docs):
     assert (run + "Between. " + run)[start:end] == run and row.first_doc_ids == [1]
 
 
+def test_short_sentences_are_in_runs(docs):
+    """Lists and menus of one to three words a line, with a last line that only a run to the end covers."""
+    rng = random.Random(14)
+    words = [f"w{i}" for i in range(500)]
+    line = lambda n: " ".join(rng.choices(words, k=n))
+    menu = "\n".join([*(line(rng.randint(1, 3)) for _ in range(60)), line(10), "end", "of", "menu"]) + "\n"
+    shouts = "".join(line(1) + " " + line(1) + "!! " for _ in range(40))
+    rows = [(i, line(9) + ".\n" + (menu if i % 2 else shouts) + line(20) + ".") for i in range(6)]
+    got = {r.doc_id: r.text for r in substrings.substring_dedup(docs(*rows)).collect()}
+    assert set(got) == {2, 3, 4, 5} and all(menu not in t and shouts not in t for t in got.values())
+    assert [got[i] for i in (2, 3, 4, 5)] == [t.replace(menu, "").replace(shouts, "") for _, t in rows[2:]]
+    assert substrings.reaches([10, 1, 1, 1]) == [(0, 3), (0, 4)] and substrings.reaches([1, 2]) == []
+
+
 def test_attach_spreads_a_hot_key(spark):
     left = spark.range(3000).select("id", F.when(F.col("id") < 1000, "hot").otherwise(F.col("id").cast("string")).alias("k"))
     groups = common.stored(left.groupBy("k").agg(F.count("*").alias("n"), F.max("id").alias("top")))

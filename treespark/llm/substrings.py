@@ -1,6 +1,7 @@
 """Substring dedup over sliding runs of sentences.
 
-Every run of ``RUN`` consecutive sentences is hashed and all runs of the corpus are joined by hash. The first place of a run,
+Every run of ``RUN`` consecutive sentences, or of as many more as have ``LEAST_WORDS`` words, is hashed and all runs of the
+corpus are joined by hash. The first place of a run,
 by document and position, stays; sentences that any later place covers are removed.
 """
 
@@ -22,7 +23,7 @@ RUN, LEAST_WORDS = 3, 12
 LONG, CUT = 24, 12
 END = re.compile(rb"[.!?]+(?=[\x20\x09-\x0D])[\x20\x09-\x0D]*|[\n\r]+[\x20\x09-\x0D]*")
 TOKEN = re.compile(rb"[^\x20\x09-\x0D]+[\x20\x09-\x0D]*")
-RUNS = "doc_id bigint, key bigint, runs array<struct<at:int,hi:bigint,lo:bigint>>"
+RUNS = "doc_id bigint, key bigint, runs array<struct<at:int,till:int,hi:bigint,lo:bigint>>"
 CHANGED = (
     "doc_id bigint, n_sentences bigint, n_removed bigint, spans string, first_doc_ids array<bigint>, text string")
 
@@ -54,31 +55,57 @@ def sentences(raw: bytes) -> Iterator[tuple[int, int, bytes, int]]:
     yield from whole(at, len(raw))
 
 
-def runs_of(raw: bytes) -> list[tuple[int, int, int]]:
-    """(position, two halves of a 128-bit hash) of the runs with enough words; a short text is one run."""
+def reaches(sizes: list[int]) -> list[tuple[int, int]]:
+    """(start, end) of the least runs of ``RUN`` sentences and ``LEAST_WORDS`` words from each start and to each end.
+
+    Together they cover all of any stretch that has as many. A text of fewer sentences is one run.
+    """
+    run, n = min(RUN, len(sizes)), len(sizes)
+    found: set[tuple[int, int]] = set()
+    till = held = 0
+    for start in range(n):
+        while till < n and (till - start < run or held < LEAST_WORDS):
+            held += sizes[till]
+            till += 1
+        if till - start < run or held < LEAST_WORDS:
+            break
+        found.add((start, till))
+        held -= sizes[start]
+    start = held = 0
+    for till in range(1, n + 1):
+        held += sizes[till - 1]
+        while till - start > run and held - sizes[start] >= LEAST_WORDS:
+            held -= sizes[start]
+            start += 1
+        if till - start >= run and held >= LEAST_WORDS:
+            found.add((start, till))
+    return sorted(found)
+
+
+def runs_of(raw: bytes) -> list[tuple[int, int, int, int]]:
+    """(first, end, two halves of a 128-bit hash) of the runs of a text."""
     hashes, sizes = [], []
     for _, _, words, n in sentences(raw):
         hashes.append(xxhash.xxh3_128_digest(words))
         sizes.append(n)
-    run = min(RUN, len(hashes))
     out = []
-    for i in range(len(hashes) - run + 1 if run else 0):
-        if sum(sizes[i : i + run]) >= LEAST_WORDS:
-            digest = xxhash.xxh3_128_digest(b"".join(hashes[i : i + run]))
-            out.append((i, int.from_bytes(digest[:8], "big", signed=True), int.from_bytes(digest[8:], "big", signed=True)))
+    for start, till in reaches(sizes):
+        digest = xxhash.xxh3_128_digest(b"".join(hashes[start:till]))
+        out.append((start, till, int.from_bytes(digest[:8], "big", signed=True), int.from_bytes(digest[8:], "big", signed=True)))
     return out
 
 
 def run_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    names = ["at", "till", "hi", "lo"]
+    types = [pa.int32(), pa.int32(), pa.int64(), pa.int64()]
     for batch in batches:
-        offsets, at, hi, lo = [0], [], [], []
+        offsets, columns = [0], [[] for _ in names]
         for text in batch.column("text").cast(pa.binary()):
-            for i, a, b in runs_of(text.as_py() or b""):
-                at.append(i)
-                hi.append(a)
-                lo.append(b)
-            offsets.append(len(at))
-        fields = pa.StructArray.from_arrays([pa.array(at, pa.int32()), pa.array(hi, pa.int64()), pa.array(lo, pa.int64())], ["at", "hi", "lo"])
+            for run in runs_of(text.as_py() or b""):
+                for column, value in zip(columns, run):
+                    column.append(value)
+            offsets.append(len(columns[0]))
+        fields = pa.StructArray.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names)
         runs = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), fields)
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("key"), runs], names=["doc_id", "key", "runs"])
 
@@ -93,8 +120,7 @@ def change_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
             doc_id, text, places, firsts = [c[i].as_py() for c in columns]
             raw = text.encode()
             n, n_gone, spans, kept, at = 0, 0, [], [], 0
-            size = sum(1 for _ in sentences(raw))
-            gone = {p + k for p in places for k in range(min(RUN, size))}
+            gone = {k for p in places for k in range(p["at"], p["till"])}
             for start, end, _, _ in sentences(raw):
                 if n in gone:
                     n_gone += 1
@@ -114,24 +140,24 @@ def change_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 
 
 def repeated_runs(docs: DataFrame) -> DataFrame:
-    """(key, places, firsts): per document the positions of runs that an earlier place has too, and whose those are."""
+    """(key, places, firsts): per document the stretches of runs that an earlier place has too, and whose those are."""
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64("doc_id", "text").alias("key"), F.col("text").alias("text"))
     arrays = stored(rows.mapInArrow(run_batches, RUNS))
     runs = arrays.select("doc_id", "key", F.explode("runs").alias("r")).select(
-        F.struct("doc_id", "key", "r.at").alias("place"), F.struct("r.hi", "r.lo").alias("run"))
+        F.struct("doc_id", "key", "r.at", "r.till").alias("place"), F.struct("r.hi", "r.lo").alias("run"))
     groups = stored(runs.groupBy("run").agg(F.min("place").alias("first"), F.max("place").alias("last"), F.count("*").alias("n"))
                     .where("first <> last").select("run", "first", "n"))
     placed = attach(runs, groups, "run", "n", F.col("place"), "inner").where("place <> first")
     return placed.groupBy("place.key").agg(
-        F.collect_set("place.at").alias("places"), F.collect_set("first.doc_id").alias("firsts"))
+        F.collect_set(F.struct("place.at", "place.till")).alias("places"), F.collect_set("first.doc_id").alias("firsts"))
 
 
 def substring_dedup(docs: DataFrame) -> DataFrame:
     """One row per row of ``docs`` that loses sentences: what goes, whose sentences it repeats, and the text that stays.
 
     Sentences end at . ! or ? before white space, or at a line end; long ones are cut by their words. They are equal if
-    their words are, A-Z lowered. A run counts from ``LEAST_WORDS`` words; a text of fewer than ``RUN``
-    sentences is one run. ``spans`` are start:end of removed stretches in code points, ``first_doc_ids`` the
+    their words are, A-Z lowered. A run has ``RUN`` sentences and ``LEAST_WORDS`` words at least; a text of fewer than
+    ``RUN`` sentences is one run. ``spans`` are start:end of removed stretches in code points, ``first_doc_ids`` the
     documents in which their runs stand first: by id, then text, then position, so a repeat within a text
     goes too. A document is told by id and text; rows that repeat both are one document, changed alike. A null id
     comes first. Null and empty texts have no sentences. An empty table gives no rows.
