@@ -243,6 +243,25 @@ def test_short_sentences_are_in_runs(docs):
     assert substrings.reaches([10, 1, 1, 1]) == [(0, 3), (0, 4)] and substrings.reaches([1, 2]) == []
 
 
+def test_passages_of_51_words_at_any_offset(docs):
+    """Unpunctuated, in one or two long sentences, or starting inside a sentence."""
+    rng = random.Random(15)
+    words = [f"w{i}" for i in range(4000)]
+    rows, planted = [], []
+    for k in range(400):
+        passage = rng.choices(words, k=51)
+        if k % 3:
+            passage[rng.randrange(10, 40)] += "."
+        planted.append(set(passage))
+        for side in range(2):
+            before, after = (rng.choices(words, k=rng.randint(0, 60)) for _ in range(2))
+            rows.append((2 * k + side, " ".join(before + passage + after)))
+    got = {r.doc_id: r for r in substrings.substring_dedup(docs(*rows)).collect()}
+    assert set(got) == {2 * k + 1 for k in range(400)}
+    cut = [len(planted[k] - set(got[2 * k + 1].text.split())) / len(planted[k]) for k in range(400)]
+    assert sum(cut) / len(cut) > 0.7
+
+
 def test_attach_spreads_a_hot_key(spark):
     left = spark.range(3000).select("id", F.when(F.col("id") < 1000, "hot").otherwise(F.col("id").cast("string")).alias("k"))
     groups = common.stored(left.groupBy("k").agg(F.count("*").alias("n"), F.max("id").alias("top")))

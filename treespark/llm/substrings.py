@@ -19,8 +19,9 @@ from treespark.llm.bits import maybe_among
 from treespark.llm.common import attach, stored
 
 RUN, LEAST_WORDS = 3, 12
-#: A sentence of more words is cut after some of them, chosen by their hash: on average after every CUT-th.
-LONG, CUT = 24, 12
+#: A sentence of more words is cut after some of them, chosen by their hash: one in CUT words from the third on, about
+#: every fifth in all, and after MOST words if none is chosen.
+LONG, CUT, MOST = 12, 3, 15
 END = re.compile(rb"[.!?]+(?=[\x20\x09-\x0D])[\x20\x09-\x0D]*|[\n\r]+[\x20\x09-\x0D]*")
 TOKEN = re.compile(rb"[^\x20\x09-\x0D]+[\x20\x09-\x0D]*")
 RUNS = "doc_id bigint, key bigint, runs array<struct<at:int,till:int,hi:bigint,lo:bigint>>"
@@ -42,7 +43,7 @@ def sentences(raw: bytes) -> Iterator[tuple[int, int, bytes, int]]:
         held: list[bytes] = []
         for m in TOKEN.finditer(raw, start, end):
             held.append(m[0].rstrip().lower())
-            if xxhash.xxh32_intdigest(held[-1]) % CUT == 0 and len(held) > 2 or len(held) >= 4 * LONG:
+            if xxhash.xxh32_intdigest(held[-1]) % CUT == 0 and len(held) > 2 or len(held) >= MOST:
                 yield start, m.end(), b" ".join(held), len(held)
                 start, held = m.end(), []
         if held:
