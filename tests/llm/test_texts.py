@@ -130,6 +130,21 @@ def test_disclosing_terms(docs):
     assert pii.find_pii(made.where("false")).count() == 0
 
 
+def test_rare_terms_disclose_at_every_size(docs):
+    """A name that stands twice, both times beside a mention; not a word that stands there once in many places."""
+    rng = random.Random(16)
+    common = [f"word{c}{d}" for c in "abcdefgh" for d in "abcdefgh"]
+    for size in (100, 800):
+        rows = [(i, " ".join(rng.choices(common, k=50))) for i in range(size)]
+        for i in range(0, size, 20):
+            rows[i] = (i, rows[i][1] + f" name{chr(97 + i // 40 % 26)}{chr(97 + i // 1040)} u{i}@example.com")
+        made = docs(*rows)
+        got = {r.term for r in pii.disclosing(made, pii.scanned(made)).collect() if r.kind == 0}
+        pairs = size // 40
+        assert {f"name{chr(97 + k % 26)}{chr(97 + k // 26)}" for k in range(pairs)} <= got
+        assert not got & set(common)
+
+
 def library(model_type=None):
     with open(pieces.MODEL, "rb") as file:
         model = sentencepiece_model_pb2.ModelProto.FromString(file.read())

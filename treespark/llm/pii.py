@@ -9,6 +9,7 @@ higher one are removed.
 from __future__ import annotations
 
 import hashlib
+import math
 import re
 from bisect import bisect_left
 from collections.abc import Iterator
@@ -23,7 +24,9 @@ from treespark.llm.common import ascii_lower, attach, stored
 
 KINDS = ("email", "ip", "card", "phone")
 #: Words on each side of a mention; least mentions of a term near a kind; parts of information that count as disclosure.
-NEAR, SUPPORT, GENERALISE, REMOVE = 3, 10, 0.6, 0.9
+NEAR, SUPPORT, GENERALISE, REMOVE = 3, 1, 0.6, 0.9
+#: A term discloses nothing if as many of its places would be near a mention by chance with a greater probability.
+CHANCE = 0.001
 LOCAL = frozenset(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 DOMAIN = re.compile(rb"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 DOTTED = re.compile(rb"[0-9][0-9.]*")
@@ -144,8 +147,10 @@ def scanned(docs: DataFrame) -> DataFrame:
 def disclosing(docs: DataFrame, scans: DataFrame, support: int = SUPPORT, threshold: float = GENERALISE) -> DataFrame:
     """(pair, kind, term, n_near, disclosure): terms that disclose a kind, with counts over the whole corpus.
 
-    Only terms with ``support`` mentions near a kind are counted in the corpus, and a filter of fixed size keeps
-    the others out of the exchange; counts are summed before it.
+    All terms near a kind are counted in the corpus, ``support`` is a floor for who wants one; a filter of fixed size
+    keeps other words out of the exchange, and counts are summed before it. A term counts if so many of its places are
+    hardly near a mention by chance: the Chernoff bound of the binomial tail is ``CHANCE`` at most. It depends on shares
+    and the term's own places, not on the size of the corpus.
     """
     near = scans.select(F.explode("near").alias("x")).select("x.kind", "x.term")
     together = stored(near.groupBy("kind", "term").agg(F.count("*").alias("n_near")))
@@ -158,9 +163,12 @@ def disclosing(docs: DataFrame, scans: DataFrame, support: int = SUPPORT, thresh
     total = F.lit(float(max(words, 1)))
     mutual = F.log2(F.col("n_near") * total / (F.col("n_all") * per_kind))
     content = F.log2(total / per_kind)
+    share, usual_share = F.least(F.lit(1.0), F.col("n_near") / F.col("n_all")), F.least(F.lit(1.0), per_kind / total)
+    rest = F.when(share < 1, (1 - share) * F.log((1 - share) / (1 - usual_share))).otherwise(0.0)
+    surprise = F.when(share > usual_share, F.col("n_all") * (share * F.log(share / usual_share) + rest)).otherwise(0.0)
     told = usual.join(counts, F.col("term") == F.col("word")).withColumn(
         "disclosure", F.when(content > 0, mutual / content).otherwise(0.0))
-    return stored(told.where(F.col("disclosure") >= threshold).select(
+    return stored(told.where((F.col("disclosure") >= threshold) & (surprise >= -math.log(CHANCE))).select(
         F.xxhash64("kind", "term").alias("pair"), "kind", "term", "n_near", "disclosure"))
 
 
