@@ -145,6 +145,17 @@ def test_rare_terms_disclose_at_every_size(docs):
         assert not got & set(common)
 
 
+def test_every_place_of_a_disclosing_term_goes(docs):
+    """Far from the mention, in a text without one, in another case; not inside a mention."""
+    filler = "one two three four five six seven eight nine ten "
+    rows = [(i, filler * 3 + f"mailbox user{i}@mailbox.org") for i in range(12)]
+    rows += [(20, "Über MAILBOX " + filler + "x@example.com"), (21, filler + "mailbox"), (22, filler), (23, None)]
+    rows += [(100 + i, filler * 4) for i in range(60)]
+    found = {r.doc_id: r.spans for r in pii.find_pii(docs(*rows)).collect()}
+    assert "email-term:5:12" in found[20] and found[21] == f"email-term:{len(filler)}:{len(filler) + 7}"
+    assert found[22] == "" and found[23] == "" and all(found[i].count("-term") == 1 for i in range(12))
+
+
 def library(model_type=None):
     with open(pieces.MODEL, "rb") as file:
         model = sentencepiece_model_pb2.ModelProto.FromString(file.read())

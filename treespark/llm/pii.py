@@ -13,13 +13,14 @@ import math
 import re
 from bisect import bisect_left
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from treespark.llm.bits import maybe_among
+from treespark.llm.bits import bit_field, bit_of, maybe_among
 from treespark.llm.common import ascii_lower, attach, stored
 
 KINDS = ("email", "ip", "card", "phone")
@@ -32,6 +33,9 @@ DOMAIN = re.compile(rb"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 DOTTED = re.compile(rb"[0-9][0-9.]*")
 CARD = re.compile(rb"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(rb"\+[0-9][\x20().0-9-]+[0-9]")
+#: Words of which a task remembers whether they may be terms.
+CACHED = 500_000
+PLACES = "key bigint, term string, places array<struct<start:bigint,stop:bigint>>"
 NO_LETTER = r"[\x00-\x40\x5B-\x60\x7B-\x7F]+"
 IS_LETTER = np.array([65 <= b <= 90 or 97 <= b <= 122 or b >= 128 for b in range(256)])
 SCHEMA = (
@@ -145,7 +149,7 @@ def scanned(docs: DataFrame) -> DataFrame:
 
 
 def disclosing(docs: DataFrame, scans: DataFrame, support: int = SUPPORT, threshold: float = GENERALISE) -> DataFrame:
-    """(pair, kind, term, n_near, disclosure): terms that disclose a kind, with counts over the whole corpus.
+    """(pair, kind, term, n_near, n_all, disclosure): terms that disclose a kind, with counts over the whole corpus.
 
     All terms near a kind are counted in the corpus, ``support`` is a floor for who wants one; a filter of fixed size
     keeps other words out of the exchange, and counts are summed before it. A term counts if so many of its places are
@@ -169,23 +173,65 @@ def disclosing(docs: DataFrame, scans: DataFrame, support: int = SUPPORT, thresh
     told = usual.join(counts, F.col("term") == F.col("word")).withColumn(
         "disclosure", F.when(content > 0, mutual / content).otherwise(0.0))
     return stored(told.where((F.col("disclosure") >= threshold) & (surprise >= -math.log(CHANCE))).select(
-        F.xxhash64("kind", "term").alias("pair"), "kind", "term", "n_near", "disclosure"))
+        F.xxhash64("kind", "term").alias("pair"), "kind", "term", "n_near", "n_all", "disclosure"))
+
+
+def place_batches(batches: Iterator[pa.RecordBatch], field: list[int]) -> Iterator[pa.RecordBatch]:
+    """The places, outside mentions, of words that may be among the terms whose bits are set in ``field``."""
+    bits = np.unpackbits(np.array(field, np.int64).view(np.uint8), bitorder="little").tobytes()
+    known: dict[bytes, int] = {}
+    place = pa.struct([("start", pa.int64()), ("stop", pa.int64())])
+    for batch in batches:
+        keys, terms, places = [], [], []
+        for key, text in zip(batch.column("key").to_pylist(), batch.column("text").cast(pa.binary())):
+            raw = text.as_py()
+            low = raw.lower()
+            starts, ends = letters(raw)
+            told: dict[bytes, list[tuple[int, int]]] = {}
+            for s, e in zip(starts.tolist(), ends.tolist()):
+                word = low[s:e]
+                hit = known.get(word)
+                if hit is None:
+                    if len(known) > CACHED:
+                        known.clear()
+                    hit = known[word] = bits[bit_of(word)]
+                if hit:
+                    told.setdefault(word, []).append((s, e))
+            if not told:
+                continue
+            covered = sorted(span for find in (emails, addresses, cards, phones) for span in find(raw))
+            begin = [s for s, _ in covered]
+            reach = np.maximum.accumulate([e for _, e in covered]).tolist()
+            lead = np.concatenate([[0], np.cumsum((np.frombuffer(raw, np.uint8) & 0xC0) != 0x80)])
+            for word, spans in told.items():
+                free = [(s, e) for s, e in spans if not (before := bisect_left(begin, e)) or reach[before - 1] <= s]
+                if free:
+                    keys.append(key)
+                    terms.append(word.decode("utf-8", "replace"))
+                    places.append([{"start": int(lead[s]), "stop": int(lead[e])} for s, e in free])
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(keys, pa.int64()), pa.array(terms, pa.string()), pa.array(places, pa.list_(place))], names=["key", "term", "places"])
 
 
 def find_pii(docs: DataFrame, support: int = SUPPORT, generalise: float = GENERALISE, remove: float = REMOVE) -> DataFrame:
     """One row per row of ``docs``: counts and digest of the base spans, and all spans with those of disclosing terms.
 
     Base spans are e-mail addresses, IP addresses, card and phone numbers, leftmost and non-overlapping per kind.
-    Spans are kind:start:end in code points, end exclusive, base kinds first; a term near a mention that
-    discloses its kind is ``email-term:…``, or ``email-drop:…`` if it is to be removed.
+    Spans are kind:start:end in code points, end exclusive, base kinds first; a term that discloses a kind is
+    ``email-term:…``, or ``email-drop:…`` if it is to be removed, at each of its places in the whole corpus but inside
+    mentions.
     A null text counts as empty. Repeated rows give a row each, with the same spans. Places where a word is cut
     by a mention are no words near it. An empty table gives no rows. Other columns are not read.
     """
     scans = scanned(docs)
     terms = disclosing(docs, scans, support, generalise)
-    near = scans.where(F.size("near") > 0).select("key", "near").dropDuplicates(["key"]).select("key", F.explode("near").alias("x"))
-    keyed = near.select("key", F.xxhash64("x.kind", "x.term").alias("pair"), "x.start", "x.stop", F.col("x.term").alias("word"))
-    hits = attach(keyed, terms, "pair", "n_near", F.struct("key", "start"), "inner").where("word = term")
+    by_term = stored(terms.groupBy("term").agg(
+        F.max("n_all").alias("n_all"), F.collect_list(F.struct("kind", "disclosure")).alias("kinds")))
+    rows = docs.select(F.xxhash64(F.col("doc_id").cast("bigint"), "text").alias("key"), F.col("text").alias("text")).where("text is not null")
+    places = rows.mapInArrow(partial(place_batches, field=bit_field(by_term, "term")), PLACES)
+    found = attach(places, by_term, "term", "n_all", F.col("key"), "inner")
+    hits = found.select("key", "kinds", F.explode("places").alias("p")).select("key", "p.start", "p.stop", F.explode("kinds").alias("k")).select(
+        "key", "start", "stop", "k.kind", "k.disclosure")
     grouped = hits.groupBy("key").agg(F.sort_array(F.collect_set(F.struct(
         "kind", (F.col("disclosure") >= remove).alias("gone"), "start", "stop"))).alias("t"))
     name = lambda x: F.element_at(F.array(*[F.lit(k) for k in KINDS]), x["kind"] + 1)
