@@ -226,3 +226,24 @@ def test_toxicity_learns_and_tolerates(docs, spark):
     assert {r.doc_id for r in kept.collect()} == {i for i, r in got.items() if not r.predicted}
     none = toxicity.toxicity(docs(*rows), table.where("toxic = 0"))
     assert none.where("score > 0").count() == 0
+
+
+def test_toxicity_learns_from_noisy_labels():
+    """Every insult stands in a document labelled clean as well, and is still learnt."""
+    rng = random.Random(21)
+    plain = ["".join(rng.choices(["ba", "do", "fi", "ku", "lem", "no", "pra", "ti"], k=rng.randint(2, 4))) for _ in range(300)]
+    insults = ["grumbold", "zwackel", "vexnarr"]
+    texts, toxic = [], []
+    for i in range(400):
+        words = rng.choices(plain, k=40)
+        if i % 4 == 0:
+            words[5:7] = rng.choices(insults, k=2)
+        elif i in (1, 2, 3):
+            words[5] = insults[i - 1]
+        texts.append(" ".join(words))
+        toxic.append(int(i % 4 == 0))
+    model = toxicity.fit(texts, toxic)
+    score = dict(zip(insults, toxicity.table_scores(insults, model.table) + model.bias))
+    assert all(x > 0.5 for x in score.values()), score
+    new = [" ".join(rng.choices(plain, k=30) + [a, b]) for a in insults for b in insults] + [" ".join(rng.choices(plain, k=30)) for _ in range(9)]
+    assert [x >= 0.5 for x in toxicity.probabilities(new, model, {})] == [True] * 9 + [False] * 9
