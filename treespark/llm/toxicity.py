@@ -5,9 +5,10 @@ letters it spans, and is divided by what words of these lengths have at most: a
 weight and no more. Nyström landmarks make the kernel a finite map; a linear machine over it is one weight per
 three-letter subsequence, so that scoring a word is a sum of look-ups.
 
-A sentence scores as its worst word and a document as its worst sentences. Labels stand on documents, so sentences are labelled
-through them: all sentences of clean documents are clean, and in a toxic document the sentences with its worst words
-are toxic, found by turns of fitting and choosing.
+Words stand in for sentences: a document scores as its two worst words. Labels stand on documents, so words are labelled
+through them: words of clean documents are clean but for telling ones, and in a toxic document its worst words are toxic,
+found by turns of fitting and choosing. Insults made of several clean words, or with a gap across a space that is
+not spelt letter by letter, are not found.
 """
 
 from __future__ import annotations
@@ -37,7 +38,6 @@ CACHED = 500_000
 TOGETHER, FIRST = 500, 0.7
 #: Letters that digits and signs stand for.
 LOOKS = str.maketrans("013457@$!|", "oieastasii")
-SENTENCE_END = re.compile(r"[.!?\n]+(?=\s|$)")
 SPELT = re.compile(r"(?<!\S)(?:[^\W\d_][^\S\n]){2,}[^\W\d_](?!\S)")
 SCHEMA = "doc_id bigint, score double, predicted int"
 MODEL = "table binary, bias double, slope double, offset double"
