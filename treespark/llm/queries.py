@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from treespark.llm import exact_dedup, licenses, mixing, pieces, pii, simhash, substrings, topk, toxicity, warc
+from treespark.llm import exact_dedup, licenses, merkle, mixing, pieces, pii, simhash, substrings, topk, toxicity, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -127,6 +127,67 @@ SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score
 FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 10
 """
 
+
+
+def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.lowered_text_manifest(table(spark, sf_dir, "documents"))
+
+
+OP11_SQL = """
+WITH RECURSIVE b AS (
+  SELECT row_number() OVER () AS r, doc_id, source, lang, n_chars, text, list_reduce(
+           list_concat([4294967295], flatten([[CAST(ascii(c) AS BIGINT), -1, -1, -1, -1, -1, -1, -1, -1] FOR c IN string_split(CAST(doc_id AS VARCHAR), '')])),
+           lambda c, x: CASE WHEN x >= 0 THEN xor(c, x) WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END) AS crc
+  FROM documents),
+f AS (
+  SELECT r, doc_id, source, coalesce(strlen(CAST(doc_id AS VARCHAR)) || ':' || doc_id, '-') || coalesce(strlen(source) || ':' || source, '-')
+           || coalesce(strlen(lang) || ':' || lang, '-') || coalesce(strlen(CAST(n_chars AS VARCHAR)) || ':' || n_chars, '-') AS head,
+         text, xor(crc, 4294967295) % 5 = 0 AS tampered,
+         translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS low
+  FROM b),
+l AS (
+  SELECT r, doc_id, source, sha256(head || coalesce(strlen(text) || ':' || text, '-')) AS leaf,
+         CASE WHEN tampered THEN sha256(head || coalesce(strlen(low) || ':' || low, '-')) END AS other
+  FROM f),
+p AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos FROM l),
+n AS (
+  SELECT 0 AS lvl, source, pos, leaf AS digest FROM p
+  UNION ALL
+  SELECT lvl + 1, source, pos // 16, sha256(string_agg(digest, '' ORDER BY pos))
+  FROM (SELECT *, count(*) OVER (PARTITION BY source) AS size FROM n) WHERE size > 1 GROUP BY lvl, source, pos // 16),
+s AS (
+  SELECT source, digest AS subroot, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS place, lvl AS height
+  FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY lvl DESC) AS k FROM n) WHERE k = 1),
+t AS (
+  SELECT 0 AS lvl, place AS pos, subroot AS digest FROM s
+  UNION ALL
+  SELECT lvl + 1, pos // 16, sha256(string_agg(digest, '' ORDER BY pos))
+  FROM (SELECT *, count(*) OVER () AS size FROM t) WHERE size > 1 GROUP BY lvl, pos // 16),
+top AS (SELECT digest AS root, lvl AS height FROM t ORDER BY lvl DESC LIMIT 1),
+a AS (
+  SELECT 'low' AS part, source, lvl, pos, digest FROM n
+  UNION ALL
+  SELECT 'top', NULL, lvl, pos, digest FROM t),
+g AS (
+  SELECT part, source, lvl, pos, coalesce(string_agg(digest, '') OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS before,
+         coalesce(string_agg(digest, '') OVER (w ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS after
+  FROM a WINDOW w AS (PARTITION BY part, source, lvl, pos // 16 ORDER BY pos)),
+v AS (
+  SELECT p.r, p.source, 'low' AS part, 0 AS lvl, p.pos, coalesce(other, leaf) AS digest, '' AS beside, s.height, s.place, top.height AS higher
+  FROM p JOIN s ON p.source IS NOT DISTINCT FROM s.source, top
+  UNION ALL
+  SELECT v.r, v.source, CASE WHEN v.lvl = v.height THEN 'top' ELSE v.part END, CASE WHEN v.lvl = v.height THEN 0 ELSE v.lvl + 1 END,
+         CASE WHEN v.lvl = v.height THEN v.place ELSE v.pos // 16 END,
+         CASE WHEN v.lvl = v.height THEN v.digest ELSE sha256(g.before || v.digest || g.after) END,
+         CASE WHEN v.lvl = v.height THEN v.beside ELSE v.beside || g.before || g.after END,
+         CASE WHEN v.lvl = v.height THEN v.higher ELSE v.height END, v.place, CASE WHEN v.lvl = v.height THEN -1 ELSE v.higher END
+  FROM v JOIN g ON v.part = g.part AND v.lvl = g.lvl AND v.pos = g.pos AND (v.part = 'top' OR v.source IS NOT DISTINCT FROM g.source)
+  WHERE NOT (v.part = 'top' AND v.lvl = v.height))
+SELECT p.doc_id, p.leaf, s.subroot, top.root, sha256(v.beside) AS proof_sha256, v.digest AS folded_root, v.digest = top.root AS verified
+FROM v JOIN p ON p.r = v.r JOIN s ON p.source IS NOT DISTINCT FROM s.source, top
+WHERE v.part = 'top' AND v.lvl = v.height
+"""
+
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_warc": op2_warc,
@@ -138,10 +199,12 @@ QUERIES = {
     "op8_pii": op8_pii,
     "op9_toxicity": op9_toxicity,
     "op10_top_k": op10_top_k,
+    "op11_merkle": op11_merkle,
 }
 ORACLES = {
     "op2_warc": OP2_SQL,
     "op3_mixing": OP3_SQL,
     "op5_exact_dedup": OP5_SQL,
     "op10_top_k": OP10_SQL,
+    "op11_merkle": OP11_SQL,
 }
