@@ -1,11 +1,11 @@
-"""The registered queries of the ten operators and of the pipeline, with DuckDB SQL where SQL can express them."""
+"""The registered queries of the operators and of the pipeline, with DuckDB SQL where SQL can express them."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from treespark.llm import exact_dedup, licenses, merkle, mixing, pieces, pii, simhash, substrings, topk, toxicity, warc
+from treespark.llm import exact_dedup, lexical, licenses, merkle, mixing, pieces, pii, simhash, substrings, topk, toxicity, vectors, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -188,6 +188,36 @@ FROM v JOIN p ON p.r = v.r JOIN s ON p.source IS NOT DISTINCT FROM s.source, top
 WHERE v.part = 'top' AND v.lvl = v.height
 """
 
+
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+OP12_SQL = r"""
+WITH d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+           '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS terms FROM documents),
+c AS (SELECT CAST(count(*) AS BIGINT) AS n_docs, CAST(sum(len(terms)) AS BIGINT) AS n_words FROM d WHERE len(terms) > 0),
+p AS (SELECT doc_id, len(terms) AS n, unnest(terms) AS term FROM d),
+f AS (SELECT doc_id, n, term, count(*) AS tf FROM p GROUP BY ALL),
+w AS (
+  SELECT term, CAST(floor(1000 * ln((2 * n_docs + 2) / (2 * count(*) + 1))) AS BIGINT) AS w FROM f, c GROUP BY term, n_docs),
+q AS (
+  SELECT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+           '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark),
+m AS (SELECT item_id, term, count(*) AS repeats FROM q GROUP BY ALL),
+s AS (
+  SELECT item_id, doc_id, CAST(sum(repeats * w * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * n * n_docs) // n_words)))) AS BIGINT) AS score
+  FROM m JOIN w USING (term) JOIN f USING (term), c GROUP BY item_id, doc_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM s WHERE score > 0)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM r WHERE rank <= 20
+"""
+
+
+def op13_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.near_dedup(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_warc": op2_warc,
@@ -200,6 +230,8 @@ QUERIES = {
     "op9_toxicity": op9_toxicity,
     "op10_top_k": op10_top_k,
     "op11_merkle": op11_merkle,
+    "op12_lexical_search": op12_lexical_search,
+    "op13_embedding_dedup": op13_embedding_dedup,
 }
 ORACLES = {
     "op2_warc": OP2_SQL,
@@ -207,4 +239,5 @@ ORACLES = {
     "op5_exact_dedup": OP5_SQL,
     "op10_top_k": OP10_SQL,
     "op11_merkle": OP11_SQL,
+    "op12_lexical_search": OP12_SQL,
 }
