@@ -218,6 +218,21 @@ def op13_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.near_dedup(table(spark, sf_dir, "embeddings"))
 
 
+OP13_SQL = """
+WITH RECURSIVE e AS (SELECT row_number() OVER () AS r, vec_id, CAST(embedding AS DOUBLE[]) AS x FROM embeddings),
+v AS (
+  SELECT r, x FROM e
+  WHERE x IS NOT NULL AND len(list_filter(x, lambda y: y IS NULL OR NOT isfinite(y))) = 0 AND len(list_filter(x, lambda y: y <> 0)) > 0),
+l AS (
+  SELECT a.r AS a, b.r AS b FROM v a JOIN v b ON a.r <> b.r AND len(a.x) = len(b.x)
+  WHERE CASE WHEN len(a.x) = len(b.x) THEN list_cosine_similarity(a.x, b.x) END >= 0.95),
+c AS (SELECT r AS a, r AS b FROM e UNION SELECT c.a, l.b FROM c JOIN l ON c.b = l.a),
+n AS (SELECT a, count(*) AS n FROM l GROUP BY a),
+m AS (SELECT c.a, min(e.vec_id) AS low FROM c JOIN e ON c.b = e.r GROUP BY c.a)
+SELECT e.vec_id, coalesce(n.n, 0) AS n_links, m.low AS component_id, coalesce(e.vec_id = m.low, false) AS kept
+FROM e JOIN m ON m.a = e.r LEFT JOIN n ON n.a = e.r
+"""
+
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_warc": op2_warc,
@@ -240,4 +255,5 @@ ORACLES = {
     "op10_top_k": OP10_SQL,
     "op11_merkle": OP11_SQL,
     "op12_lexical_search": OP12_SQL,
+    "op13_embedding_dedup": OP13_SQL,
 }
