@@ -217,8 +217,8 @@ def near_dedup(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     placed = stored(classes.select("v", "class", "n", "low").join(counts.hint("merge"), F.col("v") == F.col("_c"), "left").join(
         reach.withColumnRenamed("v", "_r").hint("merge"), F.col("v") == F.col("_r"), "left").select(
             "class", "n", "low", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("component", "v").alias("component")))
-    names = placed.groupBy(F.col("component").alias("_component")).agg(F.min("low").alias("component_id"))
-    named = stored(placed.join(names.hint("merge"), F.col("component") == F.col("_component")).select("class", "n", "n_links", "component_id"))
+    names = stored(placed.groupBy("component").agg(F.min("low").alias("component_id"), F.count("*").alias("size")))
+    named = stored(attach(placed, names, "component", "size", F.col("class")).select("class", "n", "n_links", "component_id"))
     return attach(rows.select("vec_id", "class"), named, "class", "n", F.col("vec_id")).select(
         "vec_id", F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"),
         F.when(F.col("class").isNull(), F.col("vec_id")).otherwise(F.col("component_id")).alias("component_id"),
