@@ -18,6 +18,11 @@ WHITESPACE = (
 WORD_PATTERN = r"(?U)\w+|[^\w\s]+"
 
 
+# A mark is any punctuation, or one of the ASCII signs that are counted as such.
+MARKS = r"\p{P}$+<=>^`|~"
+MARKED_PATTERN = rf"(?U)[{MARKS}]|[^\s{MARKS}]+"
+
+
 def stripped(text: Column) -> Column:
     """Text without leading and trailing white space of any kind; ``trim`` knows blanks only."""
     return F.regexp_replace(text, f"^[{WHITESPACE}]+|[{WHITESPACE}]+$", "")
@@ -36,6 +41,11 @@ def pre_tokens(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(WORD_PATTERN), F.lit(0))
 
 
+def marked_tokens(text: Column) -> Column:
+    """Words between white space and marks; every mark is a word of its own."""
+    return F.regexp_extract_all(text, F.lit(MARKED_PATTERN), F.lit(0))
+
+
 @F.pandas_udf(StringType())
 def _decomposed(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: unicodedata.normalize("NFD", t), na_action="ignore")

@@ -10,7 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from treespark.functions.arrays import exploded, let, upto
-from treespark.functions.text import WHITESPACE, normalised, pre_tokens
+from treespark.functions.text import WHITESPACE, marked_tokens, normalised, pre_tokens
+from treespark.operators.merges import joined, learnt_merges, replay
 from treespark.session import cut_lineage
 
 # Special pieces, first in the vocabulary, in id order.
@@ -24,7 +25,11 @@ PREFIX = "##"
 
 @dataclass(frozen=True)
 class VocabularySettings:
-    """``model`` is wordpiece or bpe; ``vocab_size`` None means the size rule."""
+    """``model`` is wordpiece or bpe; ``vocab_size`` None means the size rule.
+
+    ``single_marks`` makes every punctuation mark a word of its own. ``round_pairs`` and ``round_symbols`` bound what
+    one round of learning takes to the driver; the result does not depend on them.
+    """
 
     model: str = "wordpiece"
     vocab_size: int | None = None
@@ -33,7 +38,9 @@ class VocabularySettings:
     lowercase: bool = True
     decompose: bool = True
     special_tokens: tuple[str, ...] = SPECIALS
-    merges_per_round: int = 256
+    single_marks: bool = False
+    round_pairs: int = 1 << 16
+    round_symbols: int = 1 << 20
 
     def __post_init__(self):
         if self.model not in ("wordpiece", "bpe"):
@@ -42,11 +49,11 @@ class VocabularySettings:
 
 CASED = VocabularySettings(
     vocab_size=10_000, min_frequency=2, alphabet_limit=500, lowercase=False, decompose=False,
-    special_tokens=CASED_SPECIALS,
+    special_tokens=CASED_SPECIALS, single_marks=True,
 )
 # Settings of the cased tokenizer that a vocabulary is learnt anew for.
 PRETRAINED_CASED = VocabularySettings(
-    vocab_size=10_000, lowercase=False, decompose=False, special_tokens=CASED_SPECIALS
+    vocab_size=10_000, lowercase=False, decompose=False, special_tokens=CASED_SPECIALS, single_marks=True
 )
 
 
@@ -65,18 +72,27 @@ def word_types(texts: DataFrame, column: str, approximate: bool = False) -> Data
 
 
 def word_frequencies(
-    texts: DataFrame, column: str, lowercase: bool = True, decompose: bool = True
+    texts: DataFrame, column: str, lowercase: bool = True, decompose: bool = True, single_marks: bool = False
 ) -> DataFrame:
     """(word, freq) after normalising and pre-tokenising.
 
-    White-space chunks are counted first, so normalising (the only Python step) and the word pattern run on
-    distinct chunks. Neither reaches across white space, so the counts are the same.
+    White-space chunks are counted first, so normalising and the word pattern run on distinct chunks. Neither
+    reaches across white space, so the counts are the same. ASCII chunks are decomposed as they are; only the others
+    pass through Python.
     """
     chunks = texts.select(F.explode(F.split(column, f"[{WHITESPACE}]+")).alias("chunk"))
     counted = chunks.where("chunk <> ''").groupBy("chunk").count()
-    words = counted.select(
-        F.explode(pre_tokens(normalised(F.col("chunk"), decompose, lowercase))).alias("word"), "count"
-    )
+
+    def words_of(rows: DataFrame, python: bool) -> DataFrame:
+        chunk = normalised(F.col("chunk"), python, lowercase)
+        return rows.select(F.explode(marked_tokens(chunk) if single_marks else pre_tokens(chunk)).alias("word"), "count")
+
+    if decompose:
+        counted = cut_lineage(counted)
+        beyond = F.col("chunk").rlike(r"[^\x00-\x7F]")
+        words = words_of(counted.where(~beyond), False).unionByName(words_of(counted.where(beyond), True))
+    else:
+        words = words_of(counted, False)
     return words.groupBy("word").agg(F.sum("count").alias("freq"))
 
 
@@ -97,59 +113,13 @@ def _alphabet(words: DataFrame, limit: int | None) -> list[str]:
     return sorted(r["c"] for r in counts.select("c").collect())
 
 
-def _best_pairs(table: DataFrame, count: int) -> list[tuple[str, str, int]]:
-    pair = lambda i: F.struct(F.get("symbols", i - 1).alias("a"), F.get("symbols", i).alias("b"))
-    pairs = table.select(F.explode(F.transform(upto(F.size("symbols") - 1), pair)).alias("p"), "freq")
-    best = pairs.groupBy("p").agg(F.sum("freq").alias("n")).orderBy(F.desc("n"), "p").limit(count)
-    return [(r["p"]["a"], r["p"]["b"], r["n"]) for r in best.collect()]
-
-
-def _independent(pairs: list[tuple[str, str, int]], limit: int) -> list[tuple[str, str]]:
-    """The most frequent pairs that cannot overlap in a word, at least half as frequent as the first.
-
-    Two pairs overlap only where one's second symbol is the other's first, so no symbol may be both.
-    """
-    firsts: set[str] = set()
-    seconds: set[str] = set()
-    chosen = []
-    for a, b, n in pairs:
-        if len(chosen) == limit or 2 * n < pairs[0][2]:
-            break
-        alone = a == b and (a in firsts or a in seconds)
-        if a not in seconds and b not in firsts and not alone:
-            chosen.append((a, b))
-            firsts.add(a)
-            seconds.add(b)
-    return chosen
-
-
-def _joined(a: str, b: str, prefix: str) -> str:
-    return a + (b[len(prefix):] if prefix and b.startswith(prefix) else b)
-
-
-def _merge(values: Column, merges: list[tuple[str, str]], prefix: str) -> Column:
-    """Symbols after one left-to-right pass; merges cannot overlap, so one pass applies them all."""
-    pairs = F.array(*[F.lit(f"{a}\x00{b}") for a, b in merges])
-    merged = F.array(*[F.lit(_joined(a, b, prefix)) for a, b in merges])
-
-    def step(done: Column, x: Column) -> Column:
-        place = F.array_position(pairs, F.concat(F.element_at(done, -1), F.lit("\x00"), x)).cast("int")
-        return F.when(
-            (F.size(done) > 0) & (place > 0),
-            F.concat(F.slice(done, 1, F.size(done) - 1), F.array(F.get(merged, place - 1))),
-        ).otherwise(F.concat(done, F.array(x)))
-
-    start = F.slice(values, 1, 1)
-    return F.aggregate(F.slice(values, 2, F.size(values)), start, step)
-
-
 def learn(words: DataFrame, settings: VocabularySettings = VocabularySettings()) -> tuple[DataFrame, list[tuple[str, str]]]:
     """Vocabulary (piece, id) and merges, in order, from a (word, freq) table.
 
-    Every round counts symbol pairs over the word table and merges the most frequent ones that cannot
-    overlap. Only the round's pair list and the vocabulary -- bounded by its size -- come to the driver.
+    Merges are those of one-by-one learning: always the most frequent pair, of equal ones the smaller by code points.
+    Distinct merges may make the same piece, which then has one id. The vocabulary, bounded by its size, and a round's
+    table of fragments, bounded by the settings, are all that reaches the driver; see ``merges``.
     """
-    spark = words.sparkSession
     prefix = PREFIX if settings.model == "wordpiece" else ""
     words = cut_lineage(words.select("word", "freq"))
     size = settings.vocab_size
@@ -163,25 +133,12 @@ def learn(words: DataFrame, settings: VocabularySettings = VocabularySettings())
     table = words.select(cut.alias("symbols"), "freq").where(F.size("symbols") > 0)
     # At most two symbols per character of the script, so the list is short whatever the corpus.
     first = sorted(r["s"] for r in table.select(F.explode("symbols").alias("s")).distinct().collect())
-    pieces = list(dict.fromkeys([*settings.special_tokens, *alphabet, *first]))
-    known_pieces = set(pieces)
-    merges: list[tuple[str, str]] = []
-    while len(pieces) < size:
-        room = size - len(pieces)
-        best = [p for p in _best_pairs(table, 4 * settings.merges_per_round) if p[2] >= max(1, settings.min_frequency)]
-        chosen = _independent(best, min(settings.merges_per_round, room))
-        if not chosen:
-            break
-        for a, b in chosen:
-            merges.append((a, b))
-            piece = _joined(a, b, prefix)
-            if piece not in known_pieces:
-                known_pieces.add(piece)
-                pieces.append(piece)
-        table = table.select(_merge(F.col("symbols"), chosen, prefix).alias("symbols"), "freq")
-        table = cut_lineage(table)
-    vocab = spark.createDataFrame([(p, i) for i, p in enumerate(pieces)], "piece string, id int")
-    return vocab, merges
+    pieces = dict.fromkeys([*settings.special_tokens, *alphabet, *first])
+    learnt = [pair for pair, _ in learnt_merges(
+        table, prefix, set(pieces), size - len(pieces), max(1, settings.min_frequency), settings.round_pairs, settings.round_symbols)]
+    pieces |= dict.fromkeys(joined(a, b, prefix) for a, b in learnt)
+    vocab = words.sparkSession.createDataFrame([(p, i) for i, p in enumerate(pieces)], "piece string, id int")
+    return vocab, learnt
 
 
 def check_vocabulary(vocab: DataFrame) -> DataFrame:
@@ -247,17 +204,8 @@ def encode_distinct_bpe(
     ranks = {pair: i for i, pair in enumerate(merges)}
 
     def segment(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        def cut(word: str) -> list[str]:
-            parts = list(word)
-            while len(parts) > 1:
-                rank, at = min((ranks.get(pair, len(ranks)), i) for i, pair in enumerate(zip(parts, parts[1:])))
-                if rank == len(ranks):
-                    break
-                parts[at : at + 2] = [parts[at] + parts[at + 1]]
-            return parts
-
         for batch in batches:
-            yield batch.map(cut)
+            yield batch.map(lambda word: replay(list(word), ranks, ""))
 
     distinct = words.select("word").distinct()
     cut_words = distinct.select("word", F.pandas_udf(segment, "array<string>")("word").alias("pieces"))

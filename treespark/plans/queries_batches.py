@@ -244,35 +244,36 @@ def _(spark, sf):
 
 def _learnt(spark, sf, settings):
     words = vocabulary.word_frequencies(
-        derived.table(spark, sf, "documents").select("text"), "text", settings.lowercase, settings.decompose
+        derived.table(spark, sf, "documents").select("text"), "text", settings.lowercase, settings.decompose,
+        settings.single_marks,
     )
     return words, *vocabulary.learn(words, settings)
 
 
 @query("k2_wordpiece_vocabulary")
 def _(spark, sf):
-    return _learnt(spark, sf, vocabulary.VocabularySettings(vocab_size=400))[1]
+    return _learnt(spark, sf, vocabulary.VocabularySettings())[1]
 
 
 @query("k2_bpe_vocabulary")
 def _(spark, sf):
-    return _learnt(spark, sf, vocabulary.VocabularySettings(model="bpe", vocab_size=250))[1]
+    return _learnt(spark, sf, vocabulary.VocabularySettings(model="bpe"))[1]
 
 
 @query("k3_cased_vocabulary")
 def _(spark, sf):
-    return _learnt(spark, sf, replace(vocabulary.CASED, vocab_size=300))[1]
+    return _learnt(spark, sf, vocabulary.CASED)[1]
 
 
 @query("k4_relearnt_vocabulary")
 def _(spark, sf):
-    return _learnt(spark, sf, replace(vocabulary.PRETRAINED_CASED, vocab_size=300))[1]
+    return _learnt(spark, sf, vocabulary.PRETRAINED_CASED)[1]
 
 
 @query("k7_vocabulary_from_sentences")
 def _(spark, sf):
-    texts = derived.sentences(spark, sf).where("split = 'train'").select(F.array_join("tokens", " ").alias("text"))
-    return vocabulary.learn(vocabulary.word_frequencies(texts, "text"), vocabulary.VocabularySettings(vocab_size=300))[0]
+    texts = derived.sentences(spark, sf).select(F.array_join("tokens", " ").alias("text"))
+    return vocabulary.learn(vocabulary.word_frequencies(texts, "text"), vocabulary.VocabularySettings())[0]
 
 
 GREEDY = {
@@ -301,7 +302,7 @@ def _(spark, sf):
 
 @query("k5_encoded_words_bpe")
 def _(spark, sf):
-    words, vocab, merges = _learnt(spark, sf, vocabulary.VocabularySettings(model="bpe", vocab_size=250))
+    words, vocab, merges = _learnt(spark, sf, vocabulary.VocabularySettings(model="bpe"))
     return vocabulary.encode_distinct_bpe(words, vocab, merges).select("word", joined("ids").alias("ids"))
 
 
