@@ -24,11 +24,11 @@ def item(values: Column, position: Column) -> Column:
     return F.get(values, position - 1)
 
 
-def running_sum(values: Column) -> Column:
+def running_sum(values: Column, kind: str = "int") -> Column:
     """Sums of the prefixes, starting with 0: one element more than ``values``."""
     return F.aggregate(
         values,
-        F.array(F.lit(0)),
+        F.array(F.lit(0).cast(kind)),
         lambda sums, x: F.concat(sums, F.array(F.element_at(sums, -1) + x)),
     )
 

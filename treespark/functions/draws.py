@@ -7,6 +7,8 @@ import math
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from treespark.functions.arrays import let
+
 SEED = 42
 RANGE = 2**32
 
@@ -30,3 +32,19 @@ def uniform(*keys, seed: int = SEED) -> Column:
 def happens(probability: float, *keys, seed: int = SEED) -> Column:
     """A Bernoulli draw, compared as integers."""
     return draw(*keys, seed=seed) < F.lit(math.ceil(probability * RANGE)).cast("bigint")
+
+
+def drawn_ranks(total: Column, count: int, *keys, seed: int = SEED) -> Column:
+    """``count`` distinct ranks from 0 to ``total`` - 1, or all of them if fewer: every set is as likely.
+
+    Floyd's draws: one hash a rank drawn, whatever ``total`` is, so nothing that is not drawn needs a key.
+    """
+    total = total.cast("bigint")
+    none = F.array().cast("array<bigint>")
+    last = F.when(total > 0, F.sequence(F.greatest(total - count, F.lit(0).cast("bigint")), total - 1)).otherwise(none)
+
+    def step(drawn: Column, j: Column) -> Column:
+        add = lambda r: F.concat(drawn, F.array(F.when(F.array_contains(drawn, r), j).otherwise(r)))
+        return let(draw(*keys, j, seed=seed) % (j + 1), add)
+
+    return F.aggregate(last, none, step)

@@ -8,9 +8,9 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from treespark.functions.arrays import computed, item, let, smallest, upto
-from treespark.functions.draws import SEED, draw_key
-from treespark.functions.trees import Tree, with_tree
+from treespark.functions.arrays import computed, item, let, running_sum, smallest
+from treespark.functions.draws import SEED, draw, draw_key, drawn_ranks
+from treespark.functions.trees import Tree, numbers, with_tree
 from treespark.operators.trees import SubtreeLimits, eligible
 
 # (sentence id, array of subtree structs) -> the chosen ones
@@ -59,17 +59,16 @@ def random_subtrees(max_number: int, seed: int = SEED) -> Sampler:
 
 
 def combinations(items: Column, tree: Tree, most: Column) -> Column:
-    """Ascending combinations of one to three items, but of no more than ``most``, each with the size of all
-    it governs and how many items follow its last one."""
+    """Ascending combinations of one to three items, but of no more than ``most``: how many they are (k), the size of
+    all they govern, ids, and how many items follow the last one (left), in the order of these."""
 
     def grow(items: Column, shorter: Column) -> Column:
         later = lambda c: F.filter(items, lambda x: x > F.element_at(c, -1))
         return F.flatten(F.transform(shorter, lambda c: F.transform(later(c), lambda x: F.concat(c, F.array(x)))))
 
     def describe(items: Column, c: Column) -> Column:
-        size = tree.union_size(c)
         left = F.size(items) - F.array_position(items, F.element_at(c, -1)).cast("int")
-        return F.struct(c.alias("ids"), size.alias("size"), left.alias("left"))
+        return F.struct(F.size(c).alias("k"), tree.union_size(c).alias("size"), c.alias("ids"), left.alias("left"))
 
     def combined_items(items: Column) -> Column:
         ones = F.transform(items, lambda x: F.array(x))
@@ -77,65 +76,83 @@ def combinations(items: Column, tree: Tree, most: Column) -> Column:
             grow(items, ones), lambda twos: F.when(most > 2, F.concat(twos, grow(items, twos))).otherwise(twos)
         )
         combined = F.when(most > 1, F.concat(ones, longer)).otherwise(ones)
-        return F.transform(combined, lambda c: describe(items, c))
+        return F.sort_array(F.transform(combined, lambda c: describe(items, c)))
 
     return let(items, combined_items)
 
 
-def _repeats(k: Column, targets_left: Column, values_left: Column) -> Column:
-    """How many pairings of target and value combinations come down to one plan of k replacements.
+def _longer(c: Column) -> Column:
+    """In how many ways a combination can be lengthened by later items, up to three items.
 
-    Pairing combinations of unequal size uses the first k of the longer one, so a plan recurs once per
-    way to lengthen either side by later items, up to three.
+    Pairing combinations of unequal size uses the first k of the longer one, so a plan of k replacements recurs once
+    per way to lengthen either side.
     """
-    pairs = lambda n: (n * (n - 1) / 2).cast("int")
-    longer = lambda n: (
-        F.when(k == 1, n + pairs(n)).when(k == 2, n).otherwise(0)
-    )
-    return 1 + longer(values_left) + longer(targets_left)
+    n = c["left"].cast("bigint")
+    return F.when(c["k"] == 1, n + (n * (n - 1) / 2).cast("bigint")).when(c["k"] == 2, n).otherwise(0)
 
 
-def plan_structs(sent_id: Column, subtree: Column, tree: Tree, settings: TreeSettings) -> Column:
-    """For one subtree: how many negatives there are (with repeats) and the sampled plans.
+def side_structs(subtree: Column, tree: Tree, settings: TreeSettings) -> Column:
+    """The combinations of one subtree's members and of its neighbours, and where in the second each size begins.
 
-    A plan replaces 1-3 non-root members, with all they govern, by as many neighbours with all they govern.
-    Targets are folded one by one and only the best plans kept, so memory stays small.
+    A plan replaces 1-3 non-root members, with all they govern, by as many neighbours with all they govern, of about
+    the same size. Values are listed by number and size, so what fits a target is one slice of them.
     """
     targets = F.array_remove(subtree["members"], subtree["root"])
-    start = F.struct(
-        F.lit(0).cast("bigint").alias("found"),
-        F.array().cast("array<struct<key:string,targets:array<int>,values:array<int>>>").alias("best"),
-    )
+    # A plan pairs as many targets as values, so longer combinations than the shorter side has are not needed.
+    most = F.least(F.size(targets), F.size(subtree["neighbours"]))
+    width = F.size(targets) + settings.max_size_difference + 2  # sizes of values that are told apart, for each number of items
+    place = lambda v: v["k"] * width + F.least(v["size"], width - 1)
+
+    def with_bounds(values: Column) -> Column:
+        """A mark before each place, sorted among the values: what stands before it, less the marks, is its bound."""
+        marks = F.transform(F.sequence(F.lit(0), 3 * width), lambda x: F.struct((x + width).alias("place"), F.lit(0).alias("value")))
+        places = F.transform(values, lambda v: F.struct(place(v).alias("place"), F.lit(1).alias("value")))
+        spots = F.array_compact(F.transform(
+            F.sort_array(F.concat(marks, places)), lambda e, i: F.when(e["value"] == 0, i)))
+        return F.struct(
+            subtree["root"].alias("root"), combinations(targets, tree, most).alias("targets"), values.alias("values"),
+            F.transform(spots, lambda i, x: i - x).alias("bounds"), width.alias("width"))
 
-    def fold(values: Column, state: Column, t: Column) -> Column:
-        k = F.size(t["ids"])
+    return let(combinations(subtree["neighbours"], tree, most), with_bounds)
 
-        def plan(v: Column) -> Column:
-            text = F.concat(F.array_join(t["ids"], ","), F.lit(">"), F.array_join(v["ids"], ","))
-            return F.struct(
-                draw_key("negative", sent_id, subtree["root"], text, seed=settings.seed).alias("key"),
-                t["ids"].alias("targets"),
-                v["ids"].alias("values"),
-            )
 
-        def add(fitting: Column) -> Column:
-            count = F.aggregate(fitting, state["found"], lambda s, v: s + _repeats(k, t["left"], v["left"]))
-            merged = F.sort_array(F.concat(state["best"], F.transform(fitting, plan)))
-            return F.struct(count.alias("found"), F.slice(merged, 1, settings.max_negatives).alias("best"))
+def slice_structs(side: Column, settings: TreeSettings) -> Column:
+    """The targets with the begin and end of what fits them; running counts of plans, and of what values are lengthened by."""
+    reach = settings.max_size_difference
+    at = lambda t, size: F.get(side["bounds"], (t["k"] - 1) * side["width"] + size)
+    cut = F.transform(side["targets"], lambda t: F.struct(
+        t["ids"].alias("ids"), _longer(t).alias("longer"),
+        at(t, F.greatest(t["size"] - reach, F.lit(0))).alias("begin"), at(t, t["size"] + reach + 1).alias("end")))
+    return F.struct(
+        side["root"].alias("root"), side["values"].alias("values"), cut.alias("targets"),
+        running_sum(F.transform(side["values"], _longer), "bigint").alias("sums"))
 
-        fits = lambda v: (
-            (F.size(v["ids"]) == k) & (F.abs(v["size"] - t["size"]) <= settings.max_size_difference)
-        )
-        return let(F.filter(values, fits), add)
 
-    # A plan pairs as many targets as values, so longer combinations than the shorter side has are not needed.
-    most = F.least(F.size(targets), F.size(subtree["neighbours"]))
-    return let(
-        combinations(subtree["neighbours"], tree, most),
-        lambda values: F.aggregate(
-            combinations(targets, tree, most), start, lambda state, t: fold(values, state, t)
-        ),
-    )
+def plan_structs(sent_id: Column, cut: Column, settings: TreeSettings) -> Column:
+    """For one subtree: how many negatives there are with repeats (found) and without (total), and the sampled plans.
+
+    Plans are counted slice by slice, and only those drawn are built, from their ranks.
+    """
+    size = lambda t: t["end"] - t["begin"]
+
+    def repeats(t: Column) -> Column:
+        return size(t) * (t["longer"] + 1) + F.get(cut["sums"], t["end"]) - F.get(cut["sums"], t["begin"])
+
+    def sampled(ends: Column) -> Column:
+        total = F.element_at(ends, -1)
+        ranks = drawn_ranks(total, settings.max_negatives, "negative", sent_id, cut["root"], seed=settings.seed)
+
+        def plan(rank: Column) -> Column:
+            place = F.size(F.filter(ends, lambda e: e <= rank))
+            return let(F.struct(item(cut["targets"], place).alias("t"), F.get(ends, place - 1).alias("before")), lambda x: F.struct(
+                x["t"]["ids"].alias("targets"),
+                F.get(cut["values"], (x["t"]["begin"] + rank - x["before"]).cast("int"))["ids"].alias("values")))
+
+        return F.struct(
+            F.aggregate(cut["targets"], F.lit(0).cast("bigint"), lambda s, t: s + repeats(t)).alias("found"),
+            total.alias("total"), F.transform(ranks, plan).alias("best"))
+
+    return let(running_sum(F.transform(cut["targets"], size)), sampled)
 
 
 def negative_tree(subtree: Column, targets: Column, values: Column, tree: Tree) -> Column:
@@ -161,10 +178,18 @@ def negative_tree(subtree: Column, targets: Column, values: Column, tree: Tree)
     return F.map_from_arrays(ids, F.transform(ids, new_head))
 
 
-def tree_set_structs(
-    sent_id: Column, head: Column, settings: TreeSettings = TreeSettings(), sampler: Sampler = all_subtrees
-) -> Column:
-    """Tree sets of one sentence, see ``tree_sets``."""
+def tree_sets(
+    df: DataFrame, settings: TreeSettings = TreeSettings(), sampler: Sampler = all_subtrees
+) -> DataFrame:
+    """Add ``tree_sets``: root_id, positive map and negative maps of each subtree with more than one negative.
+
+    Each step is a column of its own, computed once a row.
+    """
+    sent_id = F.col("sent_id")
+
+    def of_tree(body: Callable[[Tree], Column]) -> Column:
+        """``body`` of the numbers as one value: the optimizer must not take them apart across the steps."""
+        return let(F.col("_tree"), lambda numbered: body(Tree(numbered)))
 
     def build(tree: Tree, s: Column, plans: Column) -> Column:
         own_head = lambda m: F.when(m != s["root"], tree.head(m))
@@ -173,24 +198,18 @@ def tree_set_structs(
             F.map_from_arrays(s["members"], F.transform(s["members"], own_head)).alias("positive"),
             F.transform(plans["best"], lambda p: negative_tree(s, p["targets"], p["values"], tree)).alias("negatives"),
             plans["found"].alias("found"),
+            plans["total"].alias("total"),
             plans["best"].alias("plans"),
         )
 
-    def build_all(tree: Tree) -> Column:
-        chosen = sampler(sent_id, eligible(tree, settings.limits))
-        return F.transform(
-            chosen, lambda s: let(plan_structs(sent_id, s, tree, settings), lambda plans: build(tree, s, plans))
-        )
-
-    built = with_tree(head, build_all)
-    return F.filter(built, lambda x: x["found"] > 1)
-
-
-def tree_sets(
-    df: DataFrame, settings: TreeSettings = TreeSettings(), sampler: Sampler = all_subtrees
-) -> DataFrame:
-    """Add ``tree_sets``: root_id, positive map and negative maps of each subtree with more than one negative."""
-    return computed(df, tree_sets=tree_set_structs(F.col("sent_id"), F.col("head"), settings, sampler))
+    rows = computed(df, _tree=numbers(F.col("head")))
+    rows = computed(rows, _chosen=of_tree(lambda tree: sampler(sent_id, eligible(tree, settings.limits))))
+    rows = computed(rows, _sides=of_tree(lambda tree: F.transform("_chosen", lambda s: side_structs(s, tree, settings))))
+    rows = computed(rows, _sides=F.transform("_sides", lambda x: slice_structs(x, settings)))
+    rows = computed(rows, _sides=F.transform("_sides", lambda x: plan_structs(sent_id, x, settings)))
+    several = F.filter(F.arrays_zip(F.col("_chosen").alias("s"), F.col("_sides").alias("p")), lambda x: x["p"]["found"] > 1)
+    sets = of_tree(lambda tree: F.transform(several, lambda x: build(tree, x["s"], x["p"])))
+    return computed(rows, tree_sets=sets).drop("_tree", "_chosen", "_sides")
 
 
 def first_pieces(spans: Column) -> Column:
@@ -202,25 +221,26 @@ def phrase_set_structs(
     sent_id: Column, head: Column, spans: Column, settings: PhraseSettings = PhraseSettings()
 ) -> Column:
     """Phrase sets of one sentence, see ``phrase_sets``."""
-    key = lambda kind, root: lambda x: draw_key(kind, sent_id, root, x, seed=settings.seed)
+    chance = lambda kind, s, below: draw(kind, sent_id, s["root"], seed=settings.seed) % below
 
-    def build(firsts: Column, s: Column) -> Column:
+    def build(firsts: Column, tree: Tree, s: Column) -> Column:
         first = lambda x: item(firsts, x)
-        positive = F.element_at(smallest(s["members"], key("positive", s["root"]), 1), 1)
-        outside = F.array_except(upto(F.size(firsts)), s["members"])
+        ranks = drawn_ranks(
+            tree.words() - s["size"], settings.max_negatives, "outside", sent_id, s["root"], seed=settings.seed)
 
-        def with_positive(chosen: Column) -> Column:
-            others = F.array_remove(s["members"], chosen)
-            query = F.element_at(smallest(others, key("query", s["root"]), 1), 1)
-            drawn = smallest(outside, key("outside", s["root"]), settings.max_negatives)
+        def with_places(places: Column) -> Column:
+            """``places`` are those of the positive and of the query among the members without it."""
+            shifted = F.when(places["query"] < places["positive"], places["query"]).otherwise(places["query"] + 1)
             return F.struct(
                 s["root"].alias("root"),
-                first(query).alias("query"),
-                first(chosen).alias("positive"),
-                F.transform(drawn, first).alias("negatives"),
+                first(F.get(s["members"], shifted.cast("int"))).alias("query"),
+                first(F.get(s["members"], places["positive"].cast("int"))).alias("positive"),
+                F.transform(ranks, lambda r: first(tree.outside(s["root"], r))).alias("negatives"),
             )
 
-        return let(positive, with_positive)
+        places = F.struct(
+            chance("positive", s, s["size"]).alias("positive"), chance("query", s, s["size"] - 1).alias("query"))
+        return let(places, with_places)
 
     def build_all(firsts: Column, tree: Tree) -> Column:
         fits = lambda size, height: (
@@ -228,7 +248,7 @@ def phrase_set_structs(
         )
         order = lambda s: draw_key("phrase", sent_id, s["root"], seed=settings.seed)
         chosen = smallest(tree.subtrees(fits), order, settings.max_sets_per_sentence)
-        return F.transform(chosen, lambda s: build(firsts, s))
+        return F.transform(chosen, lambda s: build(firsts, tree, s))
 
     return let(first_pieces(spans), lambda firsts: with_tree(head, lambda tree: build_all(firsts, tree)))
 

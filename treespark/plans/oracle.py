@@ -47,6 +47,16 @@ UNION ALL
 SELECT c.sent_id, c.id, t.head, c.dist + 1 FROM closure c
 JOIN tb t ON t.sent_id = c.sent_id AND t.id = c.anc WHERE t.head <> 0""",
     ),
+    "dfs": (
+        ("tb",),
+        """SELECT sent_id, id, [id] AS path FROM tb WHERE head = 0
+UNION ALL SELECT t.sent_id, t.id, list_append(d.path, t.id) FROM dfs d JOIN tb t ON t.sent_id = d.sent_id AND t.head = d.id""",
+    ),
+    "places": (
+        ("dfs",),
+        "SELECT sent_id, id, row_number() OVER (PARTITION BY sent_id ORDER BY path) - 1 AS place FROM dfs",
+    ),
+    "ups": (("closure",), "SELECT sent_id, id, list(anc) AS up FROM closure GROUP BY sent_id, id"),
     "sub": (
         ("closure",),
         """SELECT sent_id, anc AS root, count(*) AS size, max(dist) + 1 AS height,
@@ -113,6 +123,13 @@ def key(*keys: str) -> str:
     return "md5('42|' || " + " || '|' || ".join(keys) + ")"
 
 
+def ranks(total: str, count: int, *keys: str) -> str:
+    """A list of drawn ranks below ``total``, of up to ``count``."""
+    pairs = f"[[j, {draw(*keys, 'j')} % (j + 1)] FOR j IN range(greatest({total} - {count}, 0), {total})]"
+    return (f"list_reduce(list_concat([CAST([] AS BIGINT[])], {pairs}), "
+            "lambda s, x: list_append(s, CASE WHEN list_contains(s, x[2]) THEN x[1] ELSE x[2] END))")
+
+
 def sql(body: str, *names: str, **extra: str) -> str:
     """``body`` after the named common table expressions and all they need; ``extra`` ones come last."""
     done: dict[str, str] = {}

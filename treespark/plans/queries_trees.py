@@ -9,7 +9,7 @@ from treespark.functions.draws import draw_key
 from treespark.functions.trees import with_tree
 from treespark.operators import attention, contrast, scoring, subword, tokens, trees
 from treespark.plans import derived
-from treespark.plans.oracle import key, sql
+from treespark.plans.oracle import draw, key, ranks, sql
 from treespark.plans.registry import query
 
 
@@ -141,50 +141,67 @@ NEGATIVE_CTES = {
     "vals": _ranked("vals"),
     "tc": _combinations("targets"),
     "vc": _combinations("vals"),
-    "plans": f"""SELECT sent_id, root, k, array_to_string(t.ids, ',') AS targets, array_to_string(v.ids, ',') AS vals, t.gone, v.gone AS added,
-1 + {_longer('v.rest')} + {_longer('t.rest')} AS repeats
+    "plans": f"""SELECT sent_id, root, k, t.ids AS targets, v.ids AS vals, t.gone, v.gone AS added,
+1 + {_longer('v.rest')} + {_longer('t.rest')} AS repeats, count(*) OVER (PARTITION BY sent_id, root) AS total,
+row_number() OVER (PARTITION BY sent_id, root ORDER BY k, len(t.gone), t.ids, len(v.gone), v.ids) - 1 AS rank
 FROM tc t JOIN vc v USING (sent_id, root, k) WHERE abs(len(v.gone) - len(t.gone)) <= 1""",
-    "found": "SELECT sent_id, root, CAST(sum(repeats) AS BIGINT) AS found FROM plans GROUP BY sent_id, root HAVING sum(repeats) > 1",
-    "best": f"""SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY sent_id, root
-ORDER BY {key("'negative'", 'sent_id', 'root', "targets || '>' || vals")}) AS place FROM plans) WHERE place <= 10""",
-    "negatives": """SELECT b.sent_id, b.root, b.place, b.targets, b.vals,
+    "found": "SELECT sent_id, root, CAST(sum(repeats) AS BIGINT) AS found, max(total) AS total FROM plans GROUP BY sent_id, root HAVING sum(repeats) > 1",
+    "drawn": f"SELECT sent_id, root, unnest({ranks('total', 10, chr(39) + 'negative' + chr(39), 'sent_id', 'root')}) AS rank FROM found",
+    "negatives": """SELECT b.sent_id, b.root, b.rank, b.targets, b.vals,
 list_sort(list_concat(list_filter(e.members, lambda m: NOT list_contains(b.gone, m)), b.added)) AS ids
-FROM best b JOIN found f ON f.sent_id = b.sent_id AND f.root = b.root JOIN elig e ON e.sent_id = b.sent_id AND e.root = b.root""",
+FROM plans b JOIN drawn d USING (sent_id, root, rank) JOIN elig e ON e.sent_id = b.sent_id AND e.root = b.root""",
+    "hung": """SELECT n.sent_id, n.root, n.rank, n.id, CASE WHEN n.id = n.root THEN 0
+WHEN n.at > 0 AND NOT list_has_any(u.up, list_slice(n.vals, n.at + 1, len(n.vals))) THEN r.head ELSE o.head END AS head
+FROM (SELECT *, coalesce(list_position(vals, id), 0) AS at FROM (SELECT sent_id, root, rank, targets, vals, unnest(ids) AS id FROM negatives)) n
+JOIN tb o ON o.sent_id = n.sent_id AND o.id = n.id JOIN ups u ON u.sent_id = n.sent_id AND u.id = n.id
+LEFT JOIN tb r ON r.sent_id = n.sent_id AND n.at > 0 AND r.id = n.targets[n.at]""",
 }
-NEEDS = ("elig", "sub")
+NEEDS = ("elig", "sub", "ups", "tb")
 
 
 @query(
     "c9_combinations",
     sql(
-        """SELECT t.sent_id, t.root, t.n AS target_choices, v.n AS value_choices FROM
-(SELECT sent_id, root, count(*) AS n FROM tc GROUP BY sent_id, root) t JOIN (SELECT sent_id, root, count(*) AS n FROM vc GROUP BY sent_id, root) v USING (sent_id, root)""",
+        """SELECT t.sent_id, t.root, t.n AS target_choices, v.n AS value_choices, t.sizes AS target_sizes, v.sizes AS value_sizes, v.longest FROM
+(SELECT sent_id, root, count(*) AS n, CAST(sum(len(gone)) AS BIGINT) AS sizes FROM tc GROUP BY sent_id, root) t
+JOIN (SELECT sent_id, root, count(*) AS n, CAST(sum(len(gone)) AS BIGINT) AS sizes, array_to_string(max(ids), ',') AS longest FROM vc GROUP BY sent_id, root) v USING (sent_id, root)""",
         *NEEDS, **NEGATIVE_CTES,
     ),
 )
 def _(spark, sf):
 
     def counts(tree):
-        one = lambda s: F.struct(
-            s["root"].alias("root"),
-            F.size(contrast.combinations(F.array_remove(s["members"], s["root"]), tree, F.lit(3))).alias("target_choices"),
-            F.size(contrast.combinations(s["neighbours"], tree, F.lit(3))).alias("value_choices"),
-        )
+        total = lambda c: F.aggregate(c, F.lit(0), lambda n, x: n + x["size"])
+
+        def one(s):
+            choices = F.struct(
+                contrast.combinations(F.array_remove(s["members"], s["root"]), tree, F.lit(3)).alias("targets"),
+                contrast.combinations(s["neighbours"], tree, F.lit(3)).alias("values"))
+            return let(choices, lambda c: F.struct(
+                s["root"].alias("root"), F.size(c["targets"]).alias("target_choices"), F.size(c["values"]).alias("value_choices"),
+                total(c["targets"]).alias("target_sizes"), total(c["values"]).alias("value_sizes"),
+                joined(F.array_max(F.transform(c["values"], lambda v: v["ids"]))).alias("longest")))
+
         return F.transform(trees.eligible(tree), one)
 
     df = derived.sentences(spark, sf)
     return df.select("sent_id", F.explode(with_tree(F.col("head"), counts)).alias("x")).select("sent_id", "x.*")
 
 
-@query("b15_several_negatives", sql("SELECT sent_id, root, found FROM found", *NEEDS, **NEGATIVE_CTES))
+@query("b15_several_negatives", sql("SELECT sent_id, root, found, total FROM found", *NEEDS, **NEGATIVE_CTES))
 def _(spark, sf):
     df = contrast.tree_sets(derived.sentences(spark, sf))
-    return df.select("sent_id", exploded(F.col("tree_sets")).alias("s")).select("sent_id", F.col("s.root_id").alias("root"), "s.found")
+    return df.select("sent_id", exploded(F.col("tree_sets")).alias("s")).select("sent_id", F.col("s.root_id").alias("root"), "s.found", "s.total")
 
 
 @query(
     "h7_negative_trees",
-    sql("SELECT sent_id, root, targets, vals AS replacements, array_to_string(ids, ',') AS ids FROM negatives", *NEEDS, **NEGATIVE_CTES),
+    sql(
+        """SELECT n.sent_id, n.root, array_to_string(n.targets, ',') AS targets, array_to_string(n.vals, ',') AS replacements,
+array_to_string(n.ids, ',') AS ids, h.heads FROM negatives n JOIN (SELECT sent_id, root, rank, string_agg(head, ',' ORDER BY id) AS heads
+FROM hung GROUP BY sent_id, root, rank) h USING (sent_id, root, rank)""",
+        *NEEDS, **NEGATIVE_CTES,
+    ),
 )
 def _(spark, sf):
     df = contrast.tree_sets(derived.sentences(spark, sf))
@@ -194,35 +211,45 @@ def _(spark, sf):
         "sent_id", F.col("root_id").alias("root"),
         joined(F.col("x.plans.targets")).alias("targets"), joined(F.col("x.plans.values")).alias("replacements"),
         joined(F.map_keys("x.negatives")).alias("ids"),
+        joined(F.transform(F.map_values("x.negatives"), lambda h: F.coalesce(h, F.lit(0)))).alias("heads"),
     )
 
 
 @query(
     "h8_tree_sets",
     sql(
-        """SELECT sent_id, count(DISTINCT root) AS sets, count(*) AS negatives, CAST(sum(len(ids)) AS BIGINT) AS ids
-FROM negatives GROUP BY sent_id""",
+        """SELECT h.sent_id, h.root, f.found, count(DISTINCT h.rank) AS negatives, CAST(sum(h.id * (1 + h.head)) AS BIGINT) AS mass,
+array_to_string(any_value(e.members), ',') AS ids, any_value(e.heads) AS heads
+FROM hung h JOIN found f USING (sent_id, root) JOIN (SELECT e.sent_id, e.root, e.members, string_agg(CASE WHEN t.id = e.root THEN 0 ELSE t.head END, ',' ORDER BY t.id) AS heads
+FROM (SELECT sent_id, root, members, unnest(members) AS id FROM elig) e JOIN tb t ON t.sent_id = e.sent_id AND t.id = e.id GROUP BY e.sent_id, e.root, e.members) e
+ON e.sent_id = h.sent_id AND e.root = h.root GROUP BY h.sent_id, h.root, f.found""",
         *NEEDS, **NEGATIVE_CTES,
     ),
 )
 def _(spark, sf):
-    df = contrast.tree_sets(derived.sentences(spark, sf)).where(F.size("tree_sets") > 0)
-    total = lambda f: F.aggregate(F.transform("tree_sets", f), F.lit(0), lambda s, x: s + x)
-    sizes = lambda s: F.aggregate(F.transform(s["negatives"], lambda n: F.size(n)), F.lit(0), lambda a, b: a + b)
-    return df.select("sent_id", F.size("tree_sets").alias("sets"), total(lambda s: F.size(s["negatives"])).alias("negatives"), total(sizes).alias("ids"))
+    """Every set with its positive tree whole, and the sum of id x (head + 1) over its negatives."""
+    df = contrast.tree_sets(derived.sentences(spark, sf))
+    sets = df.select("sent_id", exploded(F.col("tree_sets")).alias("s")).select("sent_id", "s.*")
+    whole = lambda m: F.transform(F.map_values(m), lambda h: F.coalesce(h, F.lit(0)))
+    mass = lambda m: F.aggregate(
+        F.zip_with(F.map_keys(m), whole(m), lambda i, h: i * (h + 1)), F.lit(0), lambda a, b: a + b)
+    return sets.select(
+        "sent_id", F.col("root_id").alias("root"), "found", F.size("negatives").alias("negatives"),
+        F.aggregate(F.transform("negatives", mass), F.lit(0).cast("bigint"), lambda a, b: a + b).alias("mass"),
+        joined(F.map_keys("positive")).alias("ids"), joined(whole(F.col("positive"))).alias("heads"))
 
 
 # --- phrase sets --------------------------------------------------------------------------------------
 
 PHRASE_CTES = {
     "flat": "SELECT s.*, t.n FROM sub s JOIN (SELECT DISTINCT sent_id, n FROM tb) t USING (sent_id) WHERE height <= 2 AND size >= 2 AND size < n",
-    "fm": "SELECT sent_id, root, unnest(members) AS id FROM flat",
-    "pos": f"""SELECT sent_id, root, arg_min(id, {key("'positive'", 'sent_id', 'root', 'id')}) AS id FROM fm GROUP BY sent_id, root""",
-    "qry": f"""SELECT fm.sent_id, fm.root, arg_min(fm.id, {key("'query'", 'fm.sent_id', 'fm.root', 'fm.id')}) AS id
-FROM fm JOIN pos ON pos.sent_id = fm.sent_id AND pos.root = fm.root WHERE fm.id <> pos.id GROUP BY fm.sent_id, fm.root""",
-    "neg": f"""SELECT sent_id, root, place, id FROM (SELECT f.sent_id, f.root, t.id, row_number() OVER (PARTITION BY f.sent_id, f.root
-ORDER BY {key("'outside'", 'f.sent_id', 'f.root', 't.id')}) AS place
-FROM flat f JOIN tb t ON t.sent_id = f.sent_id WHERE NOT list_contains(f.members, t.id)) WHERE place <= 10""",
+    "two": f"""SELECT sent_id, root, size, members, {draw("'positive'", 'sent_id', 'root')} % size AS p, {draw("'query'", 'sent_id', 'root')} % (size - 1) AS q FROM flat""",
+    "pos": "SELECT sent_id, root, members[p + 1] AS id FROM two",
+    "qry": "SELECT sent_id, root, members[CASE WHEN q < p THEN q ELSE q + 1 END + 1] AS id FROM two",
+    "shut": f"""SELECT f.sent_id, f.root, f.size, p.place AS begin, {ranks('(f.n - f.size)', 10, chr(39) + 'outside' + chr(39), 'f.sent_id', 'f.root')} AS ranks
+FROM flat f JOIN places p ON p.sent_id = f.sent_id AND p.id = f.root""",
+    "neg": """SELECT s.sent_id, s.root, s.place, p.id FROM (SELECT sent_id, root, size, begin, unnest(ranks) AS r, unnest(range(1, len(ranks) + 1)) AS place FROM shut) s
+JOIN places p ON p.sent_id = s.sent_id AND p.place = CASE WHEN s.r < s.begin THEN s.r ELSE s.r + s.size END""",
     "phrases": """SELECT p.sent_id, p.root, wq.b AS query, wpos.b AS positive, string_agg(wn.b, ',' ORDER BY n.place) AS negatives
 FROM pos p JOIN qry q ON q.sent_id = p.sent_id AND q.root = p.root JOIN neg n ON n.sent_id = p.sent_id AND n.root = p.root
 JOIN wp wq ON wq.sent_id = p.sent_id AND wq.id = q.id JOIN wp wpos ON wpos.sent_id = p.sent_id AND wpos.id = p.id
@@ -230,7 +257,7 @@ JOIN wp wn ON wn.sent_id = p.sent_id AND wn.id = n.id GROUP BY p.sent_id, p.root
 }
 
 
-@query("h9_phrase_sets", sql("SELECT * FROM phrases", "sub", "tb", "wp", **PHRASE_CTES))
+@query("h9_phrase_sets", sql("SELECT * FROM phrases", "sub", "tb", "wp", "places", **PHRASE_CTES))
 def _(spark, sf):
     df = contrast.phrase_sets(derived.encoded(spark, sf), "token_spans")
     rows = df.select("sent_id", exploded(F.col("phrase_sets")).alias("s")).select("sent_id", "s.*")
