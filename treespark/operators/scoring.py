@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import partial
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, DoubleType
+from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StructType
 
 from treespark.functions import vectors
 from treespark.functions.arrays import computed, exploded, item, let
 from treespark.operators.batching import IGNORED
+from treespark.operators.contrast import PhraseSettings, TreeSettings
 
 # --- parses -----------------------------------------------------------------------------------------
 
@@ -191,34 +196,63 @@ def missing_positions(wanted: DataFrame, vecs: DataFrame) -> DataFrame:
     return wanted.join(vecs, ["sent_id", "pos"], "left_anti")
 
 
-@F.pandas_udf(ArrayType(ArrayType(DoubleType())))
-def _tree_cosines(flat: pd.Series, dims: pd.Series, roots: pd.Series, trees: pd.Series) -> pd.Series:
-    """Per set the cosines of the root with the attention-pooled members of each tree.
-
-    All come from the sentence's matrix of dot products.
-    """
-
-    def cosine(gram: np.ndarray, root: int, ids: np.ndarray) -> float:
-        if len(ids) == 0:
-            return 0.0
-        dots = gram[root, ids]
-        weights = np.exp(dots - dots.max())
-        weights /= weights.sum()
-        length = np.sqrt(max(weights @ gram[np.ix_(ids, ids)] @ weights, 0.0)) * np.sqrt(gram[root, root])
-        return float(weights @ dots) / max(length, 1e-8)
-
-    def sentence(values, dim, root_ids, sets):
-        matrix = np.asarray(values, dtype=np.float64).reshape(-1, int(dim))
-        gram = matrix @ matrix.T
-        return [[cosine(gram, int(r), np.asarray(ids, dtype=int)) for ids in ts] for r, ts in zip(root_ids, sets)]
-
-    return pd.Series([sentence(*row) for row in zip(flat, dims, roots, trees)])
+#: Sentences whose vectors and trees are gathered at once.
+GATHERED = 256
+
+
+def _segment_cosines(x: np.ndarray, ids: np.ndarray, lengths: np.ndarray, roots: np.ndarray) -> np.ndarray:
+    """Per segment of ``ids`` the cosine of its root's vector with its attention-pooled vectors; 0 for an empty one."""
+    out = np.zeros(len(lengths))
+    full = np.flatnonzero(lengths)
+    if not len(full):
+        return out
+    segment = np.repeat(np.arange(len(full)), lengths[full])
+    starts = np.cumsum(lengths[full]) - lengths[full]
+    members, own = x[ids], x[roots[full]]
+    dots = np.einsum("ij,ij->i", members, own[segment])
+    weights = np.exp(dots - np.maximum.reduceat(dots, starts)[segment])
+    weights /= np.add.reduceat(weights, starts)[segment]
+    pooled = np.add.reduceat(members * weights[:, None], starts, axis=0)
+    length = np.sqrt(np.einsum("ij,ij->i", pooled, pooled) * np.einsum("ij,ij->i", own, own))
+    out[full] = np.einsum("ij,ij->i", pooled, own) / np.maximum(length, 1e-8)
+    return out
+
+
+def _similarity_batches(batches: Iterator[pa.RecordBatch], keep: list[str]) -> Iterator[pa.RecordBatch]:
+    """A row per tree set; a batch's trees are flat arrays with lengths, so no tree is visited on its own."""
+    lengths = lambda lists: pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
+    for batch in batches:
+        for dim in np.unique(batch.column("_dim").to_numpy()).tolist():
+            alike = batch.filter(pc.equal(batch.column("_dim"), dim))
+            for at in range(0, alike.num_rows, GATHERED):
+                part = alike.slice(at, GATHERED)
+                flat, sets = part.column("_flat"), part.column("_trees")
+                x = flat.flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
+                first = np.cumsum(lengths(flat) // dim) - lengths(flat) // dim
+                row = np.repeat(np.arange(part.num_rows), lengths(sets))
+                trees = sets.flatten()
+                roots = part.column("_roots").flatten()
+                tree_set = np.repeat(np.arange(len(row)), lengths(trees))
+                ids = trees.flatten()
+                members = lengths(ids)
+                base = first[row]
+                cosines = _segment_cosines(
+                    x, ids.flatten().to_numpy() + np.repeat(base[tree_set], members), members, (roots.to_numpy() + base)[tree_set])
+                counts = lengths(trees)
+                heads = np.cumsum(counts) - counts
+                rest = np.delete(cosines, heads)
+                ends = pa.array(np.concatenate([[0], np.cumsum(counts - 1)]), pa.int32())
+                yield pa.RecordBatch.from_arrays(
+                    [*[part.column(c).take(pa.array(row)) for c in keep], roots, pa.array(cosines[heads]),
+                     pa.ListArray.from_arrays(ends, pa.array(rest))],
+                    names=[*keep, "root_id", "positive", "negatives"])
 
 
 def tree_similarities(df: DataFrame, vecs: str, include_root: bool = False) -> DataFrame:
     """(sent_id, …, root_id, positive, negatives): cosines of the trees of every tree set.
 
-    ``vecs`` holds one vector per position, position 0 being the first special token. Other columns are kept.
+    ``vecs`` holds one vector per position, position 0 being the first special token; vectors of a row have one
+    length. Other columns are kept, so a row may stand for one layer of a sentence.
     """
     keep = [c for c in df.columns if c not in ("tree_sets", vecs)]
 
@@ -229,21 +263,15 @@ def tree_similarities(df: DataFrame, vecs: str, include_root: bool = False) -> D
         return F.transform(F.concat(F.array(s["positive"]), s["negatives"]), lambda t: ids(t, s["root_id"]))
 
     prepared = computed(
-        df.where(F.size("tree_sets") > 0),
+        df.where(F.size("tree_sets") > 0).select(*keep, "tree_sets", vecs),
         _flat=F.flatten(F.transform(vecs, lambda v: v.cast("array<double>"))),
         _dim=F.size(F.get(vecs, F.lit(0))),
         _roots=F.transform("tree_sets", lambda s: s["root_id"]),
         _trees=F.transform("tree_sets", trees),
-    )
-    scored = prepared.select(*keep, "_roots", _tree_cosines("_flat", "_dim", "_roots", "_trees").alias("_cos"))
-    rows = scored.select(*keep, F.explode(F.arrays_zip("_roots", "_cos")).alias("x"))
-    cosines = F.col("x._cos")
-    return rows.select(
-        *keep,
-        F.col("x._roots").alias("root_id"),
-        F.get(cosines, F.lit(0)).alias("positive"),
-        F.slice(cosines, 2, F.size(cosines)).alias("negatives"),
-    )
+    ).select(*keep, "_flat", "_dim", "_roots", "_trees")
+    kept = StructType([prepared.schema[c] for c in keep])
+    scores = kept.add("root_id", IntegerType()).add("positive", DoubleType()).add("negatives", ArrayType(DoubleType()))
+    return prepared.mapInArrow(partial(_similarity_batches, keep=keep), scores)
 
 
 def tree_losses(similarities: DataFrame, k: int = 3, temperature: float = 0.1) -> DataFrame:
@@ -252,6 +280,14 @@ def tree_losses(similarities: DataFrame, k: int = 3, temperature: float = 0.1) -
     return similarities.withColumn("loss", info_nce(F.col("positive"), closest, temperature))
 
 
+def tree_loss(df: DataFrame, vecs: str, settings: TreeSettings, *keys: str) -> DataFrame:
+    """(keys, loss): the mean tree loss of the layers that the settings choose. Rows are layers of sentences with
+    ``tree_sets``; the settings also give the root's part, the negatives that count and the temperature."""
+    losses = tree_losses(
+        tree_similarities(df, vecs, settings.include_root), settings.max_negatives_in_loss, settings.temperature)
+    return layer_choice(losses, "loss", settings.last_layer_only, *keys)
+
+
 # --- distributions ----------------------------------------------------------------------------------
 
 
@@ -298,3 +334,9 @@ def phrase_losses(
     return df.select(*keep, F.explode(scored).alias("x")).select(*keep, "x.*")
 
 
+
+
+def phrase_loss(df: DataFrame, attention: str, settings: PhraseSettings, *keys: str, mask: str | None = None, sign: float = 1.0) -> DataFrame:
+    """(keys, loss): the mean phrase loss of the layers that the settings choose. Rows are layers of sentences."""
+    losses = phrase_losses(df, attention, mask, settings.temperature, sign)
+    return layer_choice(losses, "loss", settings.last_layer_only, *keys)

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from treespark.functions import trees
 from treespark.functions.arrays import computed, exploded, posexploded, upto
+from treespark.session import cut_lineage
 
 
 @dataclass(frozen=True)
@@ -53,6 +54,25 @@ def closure(df: DataFrame) -> DataFrame:
     return below.select("sent_id", "x.id", "anc", "x.dist")
 
 
+def closure_by_joins(arcs: DataFrame) -> DataFrame:
+    """(sent_id, id, anc, dist) from (sent_id, id, head) rows, for sentences of any length.
+
+    The path is doubled: each round joins the pairs known so far to the words 2^k arcs further down, so the number of
+    joins is the logarithm of the depth, a row holds one pair, and a long sentence is spread over tasks by its words.
+    Words that hang on a circle, whose paths never end, are left out by the caller; see ``off_tree``.
+    """
+    known = cut_lineage(arcs.select("sent_id", "id", F.col("id").alias("anc"), F.lit(0).alias("dist")))
+    jumps = cut_lineage(arcs.where("head > 0").select("sent_id", "id", F.col("head").alias("up")))
+    step = 1
+    while not jumps.isEmpty():
+        below = jumps.withColumnRenamed("id", "low").withColumnRenamed("up", "id")
+        further = known.join(below, ["sent_id", "id"]).select("sent_id", F.col("low").alias("id"), "anc", (F.col("dist") + step).alias("dist"))
+        known = cut_lineage(known.unionByName(further))
+        jumps = cut_lineage(jumps.join(below, ["sent_id", "id"]).select("sent_id", F.col("low").alias("id"), "up"))
+        step *= 2
+    return known
+
+
 def off_tree_report(df: DataFrame) -> DataFrame:
     """(sent_id, off_tree): sentences with words whose heads never lead to the root, and those words."""
     return df.select("sent_id", trees.off_tree(F.col("head")).alias("off_tree")).where(F.size("off_tree") > 0)

@@ -93,6 +93,18 @@ def sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def long_arcs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(sent_id, id, head): every line as one sentence of whatever length, its words hung as in ``sentences``."""
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
+    width = docs.agg(F.coalesce(F.max(F.length("text")), F.lit(0)) + 1).scalar()
+    rows = docs.withColumn("_width", width).select("doc_id", "_width", F.posexplode(F.split("text", "\n")).alias("ln", "line"))
+    words = computed(rows, words=F.filter(F.split("line", " "), lambda w: w != "")).select(
+        (F.col("doc_id") * F.col("_width") + F.col("ln")).alias("sent_id"), F.size("words").alias("n"), F.posexplode("words").alias("i", "word"))
+    id_, root, step = F.col("i") + 1, F.floor(F.col("n") / 2).cast("int") + 1, 1 + F.length("word") % 3
+    head = F.when(id_ == root, 0).when(id_ < root, F.least(root, id_ + step)).otherwise(F.greatest(root, id_ - step))
+    return words.select("sent_id", id_.alias("id"), head.cast("int").alias("head"))
+
+
 def piece_counts(tokens: Column, length: int = PIECE_LENGTH) -> Column:
     return F.transform(tokens, lambda w: F.ceil(F.length(w) / F.lit(float(length))).cast("int"))
 
@@ -210,12 +222,12 @@ def id_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut_lineage(computed(joined, input_ids=F.concat(F.array(F.lit(1)), inner, F.array(F.lit(2)))).drop("_ids"))
 
 
-def position_vectors(spark: SparkSession, sf_dir: str, count) -> DataFrame:
+def position_vectors(spark: SparkSession, sf_dir: str, count, shift: int = 0) -> DataFrame:
     """(sent_id, pos, vec) for positions 0..``count`` of every sentence, from the embedding table."""
     vecs = table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").alias("vec"))
     size = vecs.agg(F.count("*")).scalar()
     rows = sentences(spark, sf_dir).select("sent_id", F.explode(F.sequence(F.lit(0), count)).alias("pos"))
-    keyed = rows.withColumn("vec_id", (F.col("sent_id") * 31 + F.col("pos")) % size)
+    keyed = rows.withColumn("vec_id", (F.col("sent_id") * 31 + F.col("pos") + shift) % size)
     return keyed.join(vecs, "vec_id").select("sent_id", "pos", "vec")
 
 

@@ -13,6 +13,7 @@ from treespark.plans.oracle import draw as sql_draw
 from treespark.plans.oracle import sql
 from treespark.plans.queries_trees import NEEDS, NEGATIVE_CTES, PHRASE_CTES
 from treespark.plans.registry import query
+from treespark.session import cut_lineage
 
 r6 = lambda c: F.round(c, 6)
 
@@ -89,7 +90,7 @@ SIMILARITY_CTES = {
     **NEGATIVE_CTES,
     "tv": f"SELECT sent_id, pos, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM ({POSITION_VECS.format(TOKEN_POSITIONS)})",
     "treelist": """SELECT DISTINCT n.sent_id, n.root, 0 AS tree, e.members AS ids FROM negatives n JOIN elig e ON e.sent_id = n.sent_id AND e.root = n.root
-UNION ALL SELECT sent_id, root, place, ids FROM negatives""",
+UNION ALL SELECT sent_id, root, rank + 1, ids FROM negatives""",
     "members": """SELECT t.sent_id, t.root, t.tree, r.v AS rv, m.v AS mv, list_inner_product(r.v, m.v) AS d
 FROM (SELECT sent_id, root, tree, unnest(ids) AS id FROM treelist) t
 JOIN tv r ON r.sent_id = t.sent_id AND r.pos = t.root JOIN tv m ON m.sent_id = t.sent_id AND m.pos = t.id WHERE t.id <> t.root""",
@@ -104,13 +105,18 @@ FROM (SELECT sent_id, root, tree, any_value(rv) AS rv, list(mv) AS vs, list(a) A
 }
 
 
-def _similarities(spark, sf):
+def _with_vectors(spark, sf, shift=0):
+    """Sentences with tree sets and one vector per position; ``shift`` takes other vectors, for another layer."""
     sets = contrast.tree_sets(derived.sentences(spark, sf)).select("sent_id", "split", "tree_sets")
-    vecs = derived.position_vectors(spark, sf, F.size("head")).groupBy("sent_id").agg(
+    vecs = derived.position_vectors(spark, sf, F.size("head"), shift).groupBy("sent_id").agg(
         F.sort_array(F.collect_list(F.struct("pos", "vec"))).alias("v")
     )
     stored = vecs.select("sent_id", F.transform("v", lambda x: x["vec"]).alias("vecs"))
-    return scoring.tree_similarities(sets.join(stored, "sent_id"), "vecs")
+    return sets.join(stored, "sent_id")
+
+
+def _similarities(spark, sf):
+    return scoring.tree_similarities(_with_vectors(spark, sf), "vecs")
 
 
 @query(
@@ -140,6 +146,39 @@ def _(spark, sf):
     return losses.groupBy("split").agg(r6(F.avg("loss")).alias("loss"), F.count("*").alias("sets"))
 
 
+def _layered(body, root=""):
+    """The similarity steps for two layers: a sentence's key is 2 x sent_id + layer."""
+    steps = dict(SIMILARITY_CTES)
+    steps["layers"] = "SELECT unnest(range(0, 2)) AS layer"
+    steps["tv"] = f"""SELECT 2 * p.sent_id + y.layer AS sent_id, p.pos, list_transform(e.embedding, lambda x: CAST(x AS DOUBLE)) AS v
+FROM ({TOKEN_POSITIONS}) p, layers y JOIN embeddings e ON e.vec_id = (p.sent_id * 31 + p.pos + 7 * y.layer) % (SELECT count(*) FROM embeddings)"""
+    steps["treelist"] = f"SELECT 2 * sent_id + layer AS sent_id, root, tree, ids FROM ({SIMILARITY_CTES['treelist']}), layers"
+    if root:
+        steps["members"] = steps["members"].replace(" WHERE t.id <> t.root", "")
+    order = ["layers", *[k for k in SIMILARITY_CTES]]
+    return sql(body, *NEEDS, **{k: steps[k] for k in order})
+
+
+def _two_layers(spark, sf):
+    both = [_with_vectors(spark, sf, 7 * layer).withColumn("layer", F.lit(layer)) for layer in (0, 1)]
+    return cut_lineage(both[0].unionByName(both[1]))
+
+
+LAYERED = "SELECT t.split, round(avg(l.loss), 6) AS loss FROM losses l JOIN (SELECT DISTINCT sent_id, split FROM tb) t ON t.sent_id = l.sent_id // 2 {} GROUP BY t.split"
+
+
+@query("j5_tree_loss_last_layer", _layered(LAYERED.format("WHERE l.sent_id % 2 = 1")))
+def _(spark, sf):
+    return scoring.tree_loss(_two_layers(spark, sf), "vecs", contrast.TreeSettings(), "split").withColumn("loss", r6("loss"))
+
+
+@query("j5_tree_loss_all_layers", _layered(LAYERED.format(""), "with root"))
+def _(spark, sf):
+    """All layers, and the root among what is pooled."""
+    settings = contrast.TreeSettings(last_layer_only=False, include_root=True)
+    return scoring.tree_loss(_two_layers(spark, sf), "vecs", settings, "split").withColumn("loss", r6("loss"))
+
+
 @query(
     "g3_top_negatives",
     sql(
@@ -208,7 +247,7 @@ JOIN att y ON y.sent_id = k.sent_id AND y.i = k.o AND y.j = x.j GROUP BY k.sent_
     sql(
         """SELECT sent_id, root, round(ln(sum(exp(d / 0.1::DOUBLE))) - max(CASE WHEN place = 0 THEN d END) / 0.1::DOUBLE, 6) AS loss
 FROM scored GROUP BY sent_id, root""",
-        "sub", "tb", "wp", **{k: v for k, v in {**ATTENTION, **WORD_PHRASES}.items() if k != "phrases"},
+        "sub", "tb", "wp", "places", **{k: v for k, v in {**ATTENTION, **WORD_PHRASES}.items() if k != "phrases"},
     ),
 )
 def _(spark, sf):

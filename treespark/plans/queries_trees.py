@@ -26,6 +26,23 @@ def _(spark, sf):
     return trees.closure(derived.sentences(spark, sf))
 
 
+LONG = {
+    "whole": """SELECT doc_id * (SELECT max(length(text)) + 1 FROM documents) + ln AS sent_id, w, len(w) // 2 + 1 AS r
+FROM (SELECT doc_id, ln, list_filter(string_split(line, ' '), lambda x: x <> '') AS w FROM lines) WHERE len(w) > 0""",
+    "arcs": """SELECT sent_id, id, CASE WHEN id = r THEN 0 WHEN id < r THEN least(r, id + 1 + length(form) % 3) ELSE greatest(r, id - 1 - length(form) % 3) END AS head
+FROM (SELECT sent_id, r, unnest(range(1, len(w) + 1)) AS id, unnest(w) AS form FROM whole)""",
+    "paths": """SELECT sent_id, id, id AS anc, 0 AS dist FROM arcs
+UNION ALL SELECT p.sent_id, p.id, a.head, p.dist + 1 FROM paths p JOIN arcs a ON a.sent_id = p.sent_id AND a.id = p.anc WHERE a.head <> 0""",
+}
+
+
+@query("c6_long_closure", sql("SELECT sent_id, id, count(*) AS ancestors, CAST(sum(dist * anc) AS BIGINT) AS mass FROM paths GROUP BY sent_id, id", "lines", **LONG))
+def _(spark, sf):
+    """Lines as one sentence each, however long: the closure by joins of rows, summed up by word."""
+    paths = trees.closure_by_joins(derived.long_arcs(spark, sf))
+    return paths.groupBy("sent_id", "id").agg(F.count("*").alias("ancestors"), F.sum(F.col("dist") * F.col("anc")).alias("mass"))
+
+
 @query(
     "c7_adjacent_words",
     sql("SELECT t.sent_id, t.id, o.id AS other FROM tb t JOIN tb o ON o.sent_id = t.sent_id AND (o.id = t.id - 1 OR o.id = t.id + 1)", "tb"),
