@@ -128,6 +128,11 @@ def test_blocks_are_cut_and_joined(spark, monkeypatch):
     assert whole == best
 
 
+def five_words(text):
+    words = (text or "").encode().lower().split()
+    return {tuple(words[k : k + 5]) for k in range(max(1, len(words) - 4))}
+
+
 def test_pipeline(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     stages = dict(corpus_pipeline.STAGES)
@@ -150,8 +155,16 @@ def test_pipeline(spark):
         lowest[r.text.lower()] = min(r.doc_id, lowest.get(r.text.lower(), r.doc_id))
     assert sorted(r.doc_id for r in after.collect()) == sorted(lowest.values())
     before, after = rows["simhash_near_dedup"]
-    groups = simhash.near_dedup(before, seeds=corpus_pipeline.NEAR_SEEDS, distinct_words=True).collect()
-    assert {r.doc_id for r in after.collect()} == {r.component_id for r in groups}
+    grams = {r.doc_id: five_words(r.text) for r in before.collect()}
+    group = {i: i for i in grams}
+    for i in sorted(grams):  # the smallest id that links at 0.8 reach, by brute force
+        todo = [i] if group[i] == i else []
+        while todo:
+            a = todo.pop()
+            near = [b for b in grams if b > i and group[b] == b and 5 * len(grams[a] & grams[b]) >= 4 * len(grams[a] | grams[b])]
+            group |= dict.fromkeys(near, i)
+            todo += near
+    assert {r.doc_id for r in after.collect()} == set(group.values())
     before, after = rows["mixing"]
     times = {r.doc_id: r.n for r in mixing.mix(before).groupBy("doc_id").agg(F.count("*").alias("n")).collect()}
     assert {r.doc_id: r.n for r in after.groupBy("doc_id").agg(F.count("*").alias("n")).collect()} == times

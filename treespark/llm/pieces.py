@@ -366,26 +366,36 @@ def decode(raw: tuple[bytes, ...], ids: list[int]) -> str:
 
 
 class Known:
-    """Words whose ids are known: their ids stand one after another, found by the word's number."""
+    """Words whose ids are known: their ids stand one after another, found by the word's number.
+
+    Each word is decoded once, when it comes in. A text is its words, and decoding joins the bytes of pieces, so a text comes back
+    whole if its words do and no letter lies outside them.
+    """
 
     def __init__(self) -> None:
         self.number: dict[str, int] = {}
         self.begin, self.size, self.flat = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)
+        self.good = np.zeros(0, np.int64)
 
-    def add(self, encoded: dict[str, tuple[int, ...]]) -> None:
+    def add(self, encoded: dict[str, tuple[int, ...]], raw: tuple[bytes, ...]) -> None:
+        back = (b"".join(map(raw.__getitem__, ids)).decode("utf-8", "replace") for ids in encoded.values())
+        good = [len(w) if b == w.replace(SPACE, " ").replace(LITERAL, SPACE) else 0 for w, b in zip(encoded, back)]
+        self.good = np.concatenate([self.good, np.array(good, np.int64)])
         sizes = np.fromiter(map(len, encoded.values()), np.int64, len(encoded))
         begin = len(self.flat) + np.cumsum(sizes) - sizes
         self.number.update(zip(encoded, range(len(self.number), len(self.number) + len(encoded))))
         self.flat = np.concatenate([self.flat, np.fromiter(chain.from_iterable(encoded.values()), np.int32)])
         self.begin, self.size = np.concatenate([self.begin, begin]), np.concatenate([self.size, sizes])
 
-    def ids(self, words: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
-        """(offsets, ids) of texts of known words, as in a list column."""
+    def ids(self, words: list[list[str]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(offsets, ids) of texts of known words, as in a list column, and how many of a text's letters come back."""
         numbers = np.fromiter(map(self.number.__getitem__, chain.from_iterable(words)), np.int64)
         size = self.size[numbers]
         ends = np.concatenate([[0], np.cumsum(size)])
         at = np.arange(ends[-1]) + np.repeat(self.begin[numbers] - ends[:-1], size)
-        return ends[np.concatenate([[0], np.cumsum(list(map(len, words)))]).astype(np.int64)], self.flat[at]
+        borders = np.concatenate([[0], np.cumsum(list(map(len, words)))]).astype(np.int64)
+        good = np.concatenate([[0], np.cumsum(self.good[numbers])])[borders]
+        return ends[borders], self.flat[at], np.diff(good)
 
 
 #: Words, and pairs of pieces, by vocabulary; a worker process keeps them from task to task.
@@ -403,9 +413,9 @@ def encode_batches(batches: Iterator[pa.RecordBatch], content: bytes) -> Iterato
             known = KNOWN.setdefault(voc.name, Known())
             if len(known.number) > CACHED:
                 known = KNOWN[voc.name] = Known()
-            known.add(encode_words(voc, [w for w in set(chain.from_iterable(words)) if w not in known.number]))
-            offsets, flat = known.ids(words)
-            right = [decode(voc.raw, flat[a:b].tolist()) == t for a, b, t in zip(offsets[:-1], offsets[1:], texts)]
+            known.add(encode_words(voc, [w for w in set(chain.from_iterable(words)) if w not in known.number]), voc.raw)
+            offsets, flat, good = known.ids(words)
+            right = [n == (len(t) + 1 if t else 0) and LITERAL not in t for n, t in zip(good.tolist(), texts)]
             lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat, pa.int32()))
             yield pa.RecordBatch.from_arrays(
                 [part.column("doc_id"), pa.array(np.diff(offsets), pa.int64()), lists, pa.array(right, pa.bool_())],
