@@ -169,6 +169,30 @@ def test_near_copies_are_those_of_brute_force(docs):
     assert {i for i in kept if i >= 1000} == {1000} and all(2 * k in kept for k in range(90))
 
 
+def test_large_group_of_mixed_copies(docs):
+    """400 versions of a text, about a fifth of the pairs near copies, against brute force."""
+    rng = random.Random(21)
+    base = [f"w{i}" for i in range(300)]
+    rows = []
+    for i in range(400):
+        copy = list(base)
+        for at in rng.sample(range(300), rng.choice([3, 4, 5])):
+            copy[at] = f"x{rng.randrange(10**6)}"
+        rows.append((i, " ".join(copy)))
+    grams = [{tuple(w[k : k + 5]) for k in range(296)} for w in (t.split() for _, t in rows)]
+    group = list(range(400))
+    for i in range(400):
+        todo = [i] if group[i] == i else []
+        while todo:
+            a = todo.pop()
+            near = [b for b in range(i + 1, 400) if group[b] == b and 5 * len(grams[a] & grams[b]) >= 4 * len(grams[a] | grams[b])]
+            for b in near:
+                group[b] = i
+            todo += near
+    kept = {r.doc_id for r in simhash.without_near_copies(docs(*rows), seeds=tuple(range(42, 50))).collect()}
+    assert kept == set(group) and 1 < len(kept) < 15
+
+
 def plain_substrings(rows):
     """What substring_dedup returns, by a dictionary of all runs."""
     rows = sorted(set(rows), key=lambda r: r[0])

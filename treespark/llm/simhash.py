@@ -26,6 +26,8 @@ PAIRED = 32
 WIDE, TABLES, LEAST = 5, 16, 4
 #: Documents of a large bucket that are compared with each other, about.
 DEALT = 8
+#: Turns of dealing at most before what is left in a large bucket is compared in full; members of a part of that.
+TURNS, LEFT = 3, 256
 #: Hashes up to which bits are counted one by one.
 FEW = 4096
 BYTE_BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
@@ -234,13 +236,53 @@ def alike(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     return stored(both.where(5 * shared >= 4 * (F.col("na") + F.col("nb") - shared)).select("a", "b").distinct())
 
 
+def dealt_pairs(members: DataFrame, reach: DataFrame, turn: int) -> DataFrame:
+    """(a, b): pairs of members of a bucket that are in different components. Buckets of over ``PAIRED`` documents are dealt
+    into parts of about ``DEALT``, other parts in every turn, so that pairs stay linear in the size of a group."""
+    part = F.when(F.col("size") > PAIRED, F.pmod(F.xxhash64("doc_id", "key", F.lit(turn)), F.ceil(F.col("size") / DEALT))).otherwise(0)
+    placed = named(members, reach).select(F.xxhash64("key", part).alias("part"), "c", "doc_id")
+    apart = placed.groupBy("part").agg(F.sort_array(F.collect_set(F.struct("c", "doc_id"))).alias("m")).where(
+        F.col("m")[0]["c"] < F.element_at("m", -1)["c"])
+    pairs = F.flatten(F.transform("m", lambda x, i: F.transform(
+        F.filter(F.slice("m", i + 2, F.size("m")), lambda y: x["c"] < y["c"]),
+        lambda y: F.struct(x["doc_id"].alias("a"), y["doc_id"].alias("b")))))
+    return apart.select(F.explode(pairs).alias("p")).select("p.a", "p.b")
+
+
+def named(members: DataFrame, reach: DataFrame) -> DataFrame:
+    """``members`` with the component ``c`` of each."""
+    known = reach.select(F.col("v").alias("_v"), "component").hint("merge")
+    return members.join(known, F.col("doc_id") == F.col("_v"), "left").select("key", "size", F.coalesce("component", "doc_id").alias("c"), "doc_id")
+
+
+def left_pairs(members: DataFrame, reach: DataFrame) -> DataFrame:
+    """(a, b): every pair of a bucket's members in different components, of large buckets too.
+
+    Members outside the bucket's largest component meet all its members; two members of the largest are in one
+    component already. Both sides are dealt into parts, so a large bucket is spread.
+    """
+    placed = stored(named(members.where(F.col("size") > PAIRED), reach))
+    counts = placed.groupBy("key", "c").agg(F.count("*").alias("n"))
+    mixed = stored(counts.groupBy("key").agg(
+        F.max(F.struct("n", "c"))["c"].alias("main"), F.sum("n").alias("total"), F.count("*").alias("several")).where("several > 1").select(
+            "key", "main", "total"))
+    rows = stored(attach(placed, mixed, "key", "total", F.col("doc_id"), "inner"))
+    parts = F.ceil(F.col("size") / LEFT).cast("int")
+    ones = rows.where("c <> main").select(
+        "key", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"), F.col("doc_id").alias("a"), F.col("c").alias("ca"))
+    others = rows.select(
+        "key", F.pmod(F.xxhash64("doc_id"), parts.cast("bigint")).cast("int").alias("part"), F.col("doc_id").alias("b"), F.col("c").alias("cb"))
+    return ones.join(others.hint("merge"), ["key", "part"]).where("ca <> cb").select("a", "b")
+
+
 def near_links(docs: DataFrame, seeds: tuple[int, ...]) -> DataFrame:
-    """(a, b): links between ids of near copies, each of them counted out by ``alike``.
+    """(a, b): links between ids of near copies, each of them counted out by ``alike``; they connect all that meet.
 
     Candidates meet in a fingerprint of the set of words, at two bits in some seed, or in a table of least shingle
     hashes. First each document is compared with one of its bucket, chosen anew per bucket; then the pairs of
-    buckets that are still in different components. Buckets of over ``PAIRED`` documents are dealt for that into parts
-    of about ``DEALT``, other parts in every table, so that comparisons stay linear in the size of a group.
+    buckets that are still in different components, large buckets dealt into small parts, until a turn finds nothing. What
+    large buckets then hold in different components is compared in full: no pair that meets in a table stays
+    uncompared unless it is in one component already.
     """
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").alias("text")).where("doc_id is not null")
     seen = stored(rows.mapInArrow(partial(near_batches, seeds=seeds), "doc_id bigint, prints array<bigint>, keys array<bigint>"))
@@ -252,18 +294,19 @@ def near_links(docs: DataFrame, seeds: tuple[int, ...]) -> DataFrame:
         F.min(F.struct(F.xxhash64("doc_id", "key").alias("h"), "doc_id")).alias("low"), F.count("*").alias("size")).where("size > 1").select(
             "key", F.col("low.doc_id").alias("leader"), "size"))
     members = stored(attach(keyed, buckets, "key", "size", F.col("doc_id"), "inner"))
-    first = alike(docs, close.unionByName(members.select(F.col("leader").alias("a"), F.col("doc_id").alias("b"))))
-    reach = components(first)
-    part = F.when(F.col("size") > PAIRED, F.pmod(F.xxhash64("doc_id", "key", F.lit(1)), F.ceil(F.col("size") / DEALT))).otherwise(0)
-    placed = members.join(reach.hint("merge"), F.col("doc_id") == F.col("v"), "left").select(
-        F.xxhash64("key", part).alias("part"), F.coalesce("component", "doc_id").alias("c"), "doc_id")
-    apart = placed.groupBy("part").agg(F.sort_array(F.collect_set(F.struct("c", "doc_id"))).alias("m")).where(
-        F.col("m")[0]["c"] < F.element_at("m", -1)["c"])
-    pairs = F.flatten(F.transform("m", lambda x, i: F.transform(
-        F.filter(F.slice("m", i + 2, F.size("m")), lambda y: x["c"] < y["c"]),
-        lambda y: F.struct(x["doc_id"].alias("a"), y["doc_id"].alias("b")))))
-    second = alike(docs, apart.select(F.explode(pairs).alias("p")).select("p.a", "p.b"))
-    return reach.where("v <> component").select(F.col("v").alias("a"), F.col("component").alias("b")).unionByName(second)
+    found = alike(docs, close.unionByName(members.select(F.col("leader").alias("a"), F.col("doc_id").alias("b"))))
+    turn = 0
+    while True:
+        turn += 1
+        reach = components(found)
+        tree = reach.where("v <> component").select(F.col("v").alias("a"), F.col("component").alias("b"))
+        more = alike(docs, dealt_pairs(members, reach, turn))
+        found = stored(tree.unionByName(more))
+        if turn > 1 and more.isEmpty() or not turn % TURNS:
+            break
+    reach = components(found)
+    tree = reach.where("v <> component").select(F.col("v").alias("a"), F.col("component").alias("b"))
+    return tree.unionByName(alike(docs, left_pairs(members, reach)))
 
 
 def without_near_copies(docs: DataFrame, seeds: tuple[int, ...]) -> DataFrame:
