@@ -119,6 +119,21 @@ def test_top_k(spark, scale):
     assert topk.top_k(vectors.where("false"), vectors, 10).count() == 0
 
 
+def test_scores_beyond_64_bits_are_an_error(spark):
+    vectors = spark.createDataFrame([(0, [1e30, 1.0]), (1, [3.0, 3.0])], "vec_id long, embedding array<double>")
+    with pytest.raises(Exception, match="do not fit 64 bits"):
+        topk.top_k(vectors, vectors).collect()
+
+
+def test_repeated_rows_share_draws(spark):
+    rows = [(1, "a b c", "en", "s", None)] * 5 + [(k, "d e f g", "en", "t", None) for k in range(2, 9)]
+    made = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    for budget in (20.0, 33.0, 47.0):
+        times = {r.doc_id: r.n for r in mixing.mix(made, budget=budget).groupBy("doc_id").agg(F.count("*").alias("n")).collect()}
+        got = {r.doc_id: r.n for r in mixing.mixed(made, budget=budget).groupBy("doc_id").agg(F.count("*").alias("n")).collect()}
+        assert got == times
+
+
 def test_blocks_are_cut_and_joined(spark, monkeypatch):
     rng = np.random.default_rng(3)
     ids, x = np.arange(500), rng.integers(-500, 500, (500, 8))

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from treespark.functions.prefix import ranked
 from treespark.llm.common import attach, stored
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -148,7 +149,8 @@ def mix(
 def mixed(docs: DataFrame, **settings) -> DataFrame:
     """``docs`` with as many rows of each document as it is drawn, all columns as they were.
 
-    Documents are told by source, id and length; repeated rows share their draws evenly.
+    Documents are told by source, id and length; repeated rows share their draws evenly, and what is left over goes to
+    the first of them, one each, so that there are as many rows as draws.
     """
     key = F.xxhash64("source", "doc_id", "n_tokens")
     counts = mix(docs, **settings).groupBy("source", "doc_id", "n_tokens").agg(F.count("*").alias("times"))
@@ -161,5 +163,8 @@ def mixed(docs: DataFrame, **settings) -> DataFrame:
     same = stored(rows.groupBy("_key").agg(F.count("*").alias("_same")).where("_same > 1"))
     told = attach(rows, times.join(same, "_key", "left").select("_key", "_times", F.coalesce("_same", F.lit(1)).alias("_same")).transform(stored),
                   "_key", "_same", F.col("_row"), "inner")
-    share = F.ceil(F.col("_times") / F.col("_same")).cast("int")
-    return told.select(F.explode(F.array_repeat("_row", share)).alias("_row")).select("_row.*")
+    once = told.where("_same = 1").select("_row", F.col("_times").cast("int").alias("_share"))
+    repeated = ranked(stored(told.where("_same > 1").withColumn("_at", F.monotonically_increasing_id())), ["_key"], ["_at"], "_rank")
+    share = F.expr("_times div _same") + (F.col("_rank") <= F.col("_times") % F.col("_same")).cast("int")
+    shared = once.unionByName(repeated.select("_row", share.cast("int").alias("_share")))
+    return shared.select(F.explode(F.array_repeat("_row", F.col("_share"))).alias("_row")).select("_row.*")

@@ -32,7 +32,11 @@ def whole_components(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[p
 
     def block(dim: int) -> pa.RecordBatch:
         ids, vectors = held.pop(dim)
-        parts = np.floor(SCALE * np.array(vectors, np.float64).reshape(len(ids), dim)).astype("<i8")
+        scaled = np.floor(SCALE * np.array(vectors, np.float64).reshape(len(ids), dim))
+        largest = np.abs(scaled).max(initial=0)
+        if largest * largest * max(1, dim) >= 2**63:
+            raise OverflowError("scores of components this large do not fit 64 bits")
+        parts = scaled.astype("<i8")
         return pa.RecordBatch.from_arrays(
             [pa.array([dim], pa.int32()), pa.array([np.array(ids, "<i8").tobytes()], pa.binary()), pa.array([parts.tobytes()], pa.binary())],
             names=["dim", "ids", "parts"])
@@ -113,7 +117,8 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     Components are floor(1024 x) and scores their integer inner products; of equal scores the smaller id is
     first. Vectors that are null, or hold null or non-finite components, take no part, nor do null ids. Vectors of
     different lengths are never compared. Rows that repeat an id and vector are a candidate each, and one query. A
-    query with fewer candidates gets all of them, one without any has no row; empty tables give no rows.
+    query with fewer candidates gets all of them, one without any has no row; empty tables give no rows. Components so
+    large that a score could leave 64 bits (about a million times a million) raise an error.
 
     Query blocks go to every block of vectors, which is the work itself; vectors move once. A block has a
     bounded size, whatever ids or vectors repeat.
