@@ -32,6 +32,10 @@ def local_session(cpus: str = "*", name: str = "treespark", **conf: str) -> Spar
     return spark
 
 
+#: Temporary folders of local sessions without the setting, by application.
+_LOCAL_DIRS: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors see, from ``spark.checkpoint.dir``.
 
@@ -42,9 +46,10 @@ def shared_dir(spark: SparkSession) -> str:
         return configured
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder that every executor can reach")
-    folder = tempfile.mkdtemp(prefix="treespark-")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    application = spark.sparkContext.applicationId
+    if application not in _LOCAL_DIRS:  # the setting itself cannot be changed in a running session
+        _LOCAL_DIRS[application] = tempfile.mkdtemp(prefix="treespark-")
+    return _LOCAL_DIRS[application]
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
