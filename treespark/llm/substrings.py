@@ -9,7 +9,10 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import lru_cache
+from itertools import chain
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -29,6 +32,12 @@ CHANGED = (
     "doc_id bigint, n_sentences bigint, n_removed bigint, spans string, first_doc_ids array<bigint>, text string")
 
 
+@lru_cache(1 << 17)
+def cuts(word: bytes) -> bool:
+    """Whether a long sentence is cut after the word."""
+    return xxhash.xxh32_intdigest(word) % CUT == 0
+
+
 def sentences(raw: bytes) -> Iterator[tuple[int, int, bytes, int]]:
     """(start, end, words joined by a space, number of words) of each sentence, white space behind it included.
 
@@ -40,14 +49,14 @@ def sentences(raw: bytes) -> Iterator[tuple[int, int, bytes, int]]:
             if words:
                 yield start, end, b" ".join(words), len(words)
             return
-        held: list[bytes] = []
-        for m in TOKEN.finditer(raw, start, end):
-            held.append(m[0].rstrip().lower())
-            if xxhash.xxh32_intdigest(held[-1]) % CUT == 0 and len(held) > 2 or len(held) >= MOST:
-                yield start, m.end(), b" ".join(held), len(held)
-                start, held = m.end(), []
-        if held:
-            yield start, end, b" ".join(held), len(held)
+        ends = [m.end() for m in TOKEN.finditer(raw, start, end)]
+        first = 0
+        for k, word in enumerate(words):
+            if k - first > 1 and cuts(word) or k - first + 1 >= MOST:
+                yield start, ends[k], b" ".join(words[first : k + 1]), k - first + 1
+                start, first = ends[k], k + 1
+        if first < len(words):
+            yield start, end, b" ".join(words[first:]), len(words) - first
 
     at = 0
     for m in END.finditer(raw):
@@ -83,30 +92,25 @@ def reaches(sizes: list[int]) -> list[tuple[int, int]]:
     return sorted(found)
 
 
-def runs_of(raw: bytes) -> list[tuple[int, int, int, int]]:
-    """(first, end, two halves of a 128-bit hash) of the runs of a text."""
+def runs_of(raw: bytes) -> tuple[list[tuple[int, int]], bytes]:
+    """(first, end) of the runs of a text, and their 128-bit hashes one after another."""
     hashes, sizes = [], []
     for _, _, words, n in sentences(raw):
         hashes.append(xxhash.xxh3_128_digest(words))
         sizes.append(n)
-    out = []
-    for start, till in reaches(sizes):
-        digest = xxhash.xxh3_128_digest(b"".join(hashes[start:till]))
-        out.append((start, till, int.from_bytes(digest[:8], "big", signed=True), int.from_bytes(digest[8:], "big", signed=True)))
-    return out
+    spans = reaches(sizes)
+    joined, digest = b"".join(hashes), xxhash.xxh3_128_digest
+    return spans, b"".join([digest(joined[16 * start : 16 * till]) for start, till in spans])
 
 
 def run_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     names = ["at", "till", "hi", "lo"]
-    types = [pa.int32(), pa.int32(), pa.int64(), pa.int64()]
     for batch in batches:
-        offsets, columns = [0], [[] for _ in names]
-        for text in batch.column("text").cast(pa.binary()):
-            for run in runs_of(text.as_py() or b""):
-                for column, value in zip(columns, run):
-                    column.append(value)
-            offsets.append(len(columns[0]))
-        fields = pa.StructArray.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names)
+        found = [runs_of(text.as_py() or b"") for text in batch.column("text").cast(pa.binary())]
+        offsets = np.cumsum([0, *[len(spans) for spans, _ in found]])
+        span = np.array(list(chain.from_iterable(spans for spans, _ in found)), np.int32).reshape(-1, 2)
+        half = np.frombuffer(b"".join(hashes for _, hashes in found), ">i8").astype(np.int64).reshape(-1, 2)
+        fields = pa.StructArray.from_arrays([pa.array(c) for c in (span[:, 0], span[:, 1], half[:, 0], half[:, 1])], names)
         runs = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), fields)
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("key"), runs], names=["doc_id", "key", "runs"])
 
@@ -144,12 +148,18 @@ def repeated_runs(docs: DataFrame) -> DataFrame:
     """(key, places, firsts): per document the stretches of runs that an earlier place has too, and whose those are."""
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64("doc_id", "text").alias("key"), F.col("text").alias("text"))
     arrays = stored(rows.mapInArrow(run_batches, RUNS))
-    runs = arrays.select("doc_id", "key", F.explode("runs").alias("r")).select(
-        F.struct("doc_id", "key", "r.at", "r.till").alias("place"), F.struct("r.hi", "r.lo").alias("run"))
-    groups = stored(runs.groupBy("run").agg(F.min("place").alias("first"), F.max("place").alias("last"), F.count("*").alias("n"))
-                    .where("first <> last").select("run", "first", "n"))
-    placed = attach(runs, groups, "run", "n", F.col("place"), "inner").where("place <> first")
-    return placed.groupBy("place.key").agg(
+    runs = arrays.select("doc_id", "key", F.explode("runs").alias("r")).select("doc_id", "key", "r.*")
+    # Only hashes, counts and least ids move for all runs. A null id stands for the least there is.
+    low = F.coalesce("doc_id", F.lit(-(2**63)))
+    groups = stored(runs.groupBy("hi", "lo").agg(F.min(low).alias("low"), F.count("*").alias("n")).where("n > 1").select(
+        F.struct("hi", "lo").alias("run"), "low", "n"))
+    place = F.struct("doc_id", "key", "at", "till").alias("place")
+    placed = stored(attach(runs.select(place, F.struct("hi", "lo").alias("run")), groups, "run", "n", F.col("place"), "inner"))
+    # In the document with the least id the first place is left alone; all places in others go.
+    own = placed.where(F.coalesce("place.doc_id", F.lit(-(2**63))) == F.col("low"))
+    firsts = stored(own.groupBy("run").agg(F.min("place").alias("first"), F.max("n").alias("n")))
+    named = attach(placed.select("place", "run"), firsts, "run", "n", F.col("place"), "inner")
+    return named.where("place <> first").groupBy("place.key").agg(
         F.collect_set(F.struct("place.at", "place.till")).alias("places"), F.collect_set("first.doc_id").alias("firsts"))
 
 
