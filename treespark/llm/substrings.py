@@ -9,7 +9,6 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from functools import lru_cache
 from itertools import chain
 
 import numpy as np
@@ -25,44 +24,45 @@ RUN, LEAST_WORDS = 3, 12
 #: A sentence of more words is cut after some of them, chosen by their hash: one in CUT words from the third on, about
 #: every fifth in all, and after MOST words if none is chosen.
 LONG, CUT, MOST = 12, 3, 15
-END = re.compile(rb"[.!?]+(?=[\x20\x09-\x0D])[\x20\x09-\x0D]*|[\n\r]+[\x20\x09-\x0D]*")
-TOKEN = re.compile(rb"[^\x20\x09-\x0D]+[\x20\x09-\x0D]*")
+END = re.compile(rb"[.!?][.!?]*(?=[\x20\x09-\x0D])[\x20\x09-\x0D]*|[\n\r][\x20\x09-\x0D]*")
+IS_SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
 RUNS = "doc_id bigint, key bigint, runs array<struct<at:int,till:int,hi:bigint,lo:bigint>>"
 CHANGED = (
     "doc_id bigint, n_sentences bigint, n_removed bigint, spans string, first_doc_ids array<bigint>, text string")
 
 
-@lru_cache(1 << 17)
-def cuts(word: bytes) -> bool:
-    """Whether a long sentence is cut after the word."""
-    return xxhash.xxh32_intdigest(word) % CUT == 0
-
-
-def sentences(raw: bytes) -> Iterator[tuple[int, int, bytes, int]]:
+def sentences(raw: bytes) -> list[tuple[int, int, bytes, int]]:
     """(start, end, words joined by a space, number of words) of each sentence, white space behind it included.
 
-    Cuts of long sentences depend on the words alone, so a passage is cut alike wherever it stands.
+    Cuts of long sentences depend on the words alone; where no word is chosen among ``MOST``, on where the cut before is.
     """
-    def whole(start: int, end: int) -> Iterator[tuple[int, int, bytes, int]]:
-        words = raw[start:end].lower().split()
-        if len(words) <= LONG:
-            if words:
-                yield start, end, b" ".join(words), len(words)
-            return
-        ends = [m.end() for m in TOKEN.finditer(raw, start, end)]
-        first = 0
-        for k, word in enumerate(words):
-            if k - first > 1 and cuts(word) or k - first + 1 >= MOST:
-                yield start, ends[k], b" ".join(words[first : k + 1]), k - first + 1
-                start, first = ends[k], k + 1
-        if first < len(words):
-            yield start, end, b" ".join(words[first:]), len(words) - first
-
-    at = 0
-    for m in END.finditer(raw):
-        yield from whole(at, m.end())
-        at = m.end()
-    yield from whole(at, len(raw))
+    low = raw.lower()
+    spaces = IS_SPACE[np.frombuffer(raw, np.uint8)]
+    begins = np.flatnonzero(~spaces & np.concatenate([[True], spaces[:-1]])[: len(spaces)]).tolist() + [len(raw)]
+    out: list[tuple[int, int, bytes, int]] = []
+    start = seen = 0
+    for end in [m.end() for m in END.finditer(raw)] + [len(raw)]:
+        words = low[start:end].split()
+        n = len(words)
+        if n > LONG:
+            cut_long(start, end, words, begins[seen + 1 : seen + n], out)
+        elif n:
+            out.append((start, end, b" ".join(words), n))
+        start, seen = end, seen + n
+    return out
+
+
+def cut_long(start: int, end: int, words: list[bytes], begins: list[int], out: list[tuple[int, int, bytes, int]]) -> None:
+    """Add the parts of a long sentence to ``out``; ``begins`` are those of its words but the first."""
+    digest = xxhash.xxh32_intdigest
+    first = 0
+    for k, chosen in enumerate([digest(w) % CUT == 0 for w in words], 1):
+        if k - first > 2 and chosen or k - first >= MOST:
+            border = begins[k - 1] if k < len(words) else end
+            out.append((start, border, b" ".join(words[first:k]), k - first))
+            start, first = border, k
+    if first < len(words):
+        out.append((start, end, b" ".join(words[first:]), len(words) - first))
 
 
 def reaches(sizes: list[int]) -> list[tuple[int, int]]:
