@@ -26,6 +26,8 @@ RUN, LEAST_WORDS = 3, 12
 LONG, CUT, MOST = 12, 3, 15
 END = re.compile(rb"[.!?][.!?]*(?=[\x20\x09-\x0D])[\x20\x09-\x0D]*|[\n\r][\x20\x09-\x0D]*")
 IS_SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
+#: Stands for a null id, before all others.
+NO_ID = -(2**63)
 RUNS = "doc_id bigint, key bigint, runs array<struct<at:int,till:int,hi:bigint,lo:bigint>>"
 CHANGED = (
     "doc_id bigint, n_sentences bigint, n_removed bigint, spans string, first_doc_ids array<bigint>, text string")
@@ -150,17 +152,19 @@ def repeated_runs(docs: DataFrame) -> DataFrame:
     arrays = stored(rows.mapInArrow(run_batches, RUNS))
     runs = arrays.select("doc_id", "key", F.explode("runs").alias("r")).select("doc_id", "key", "r.*")
     # Only hashes, counts and least ids move for all runs. A null id stands for the least there is.
-    low = F.coalesce("doc_id", F.lit(-(2**63)))
-    groups = stored(runs.groupBy("hi", "lo").agg(F.min(low).alias("low"), F.count("*").alias("n")).where("n > 1").select(
+    runs = runs.withColumn("doc_id", F.coalesce("doc_id", F.lit(NO_ID)))
+    groups = stored(runs.groupBy("hi", "lo").agg(F.min("doc_id").alias("low"), F.count("*").alias("n")).where("n > 1").select(
         F.struct("hi", "lo").alias("run"), "low", "n"))
-    place = F.struct("doc_id", "key", "at", "till").alias("place")
-    placed = stored(attach(runs.select(place, F.struct("hi", "lo").alias("run")), groups, "run", "n", F.col("place"), "inner"))
-    # In the document with the least id the first place is left alone; all places in others go.
-    own = placed.where(F.coalesce("place.doc_id", F.lit(-(2**63))) == F.col("low"))
-    firsts = stored(own.groupBy("run").agg(F.min("place").alias("first"), F.max("n").alias("n")))
-    named = attach(placed.select("place", "run"), firsts, "run", "n", F.col("place"), "inner")
-    return named.where("place <> first").groupBy("place.key").agg(
-        F.collect_set(F.struct("place.at", "place.till")).alias("places"), F.collect_set("first.doc_id").alias("firsts"))
+    keyed = runs.select("doc_id", "key", "at", "till", F.struct("hi", "lo").alias("run"))
+    placed = stored(attach(keyed, groups, "run", "n", F.col("key"), "inner"))
+    # Places in later documents go. In the document with the least id the first place is left alone.
+    later = placed.where("doc_id > low").select("key", "at", "till", "low")
+    place = F.struct("key", "at")
+    firsts = stored(placed.where("doc_id = low").groupBy("run").agg(F.min(place).alias("first"), F.count("*").alias("own")).where("own > 1"))
+    own = attach(placed.where("doc_id = low").drop("n"), firsts, "run", "own", F.col("key"), "inner").where(place != F.col("first"))
+    gone = later.unionByName(own.select("key", "at", "till", "low"))
+    return gone.groupBy("key").agg(
+        F.collect_set(F.struct("at", "till")).alias("places"), F.collect_set(F.nullif("low", F.lit(NO_ID))).alias("firsts"))
 
 
 def substring_dedup(docs: DataFrame) -> DataFrame:
