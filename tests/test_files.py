@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from treespark.operators import tokens
 from treespark.operators.annotate import annotate, retokenize
 from treespark.sources import catalog, conllu, sinks, stages, text
-from treespark.streaming import drain, stream_metric_log, stream_text_lines
+from treespark.streaming import drain, drain_updates, stream_metric_log, stream_text_lines
 
 CONLLU = (
     "# sent_id = a\n# s_type = decl\n# text = Don't go = stay\n1-2\tDon't\t_\t_\t_\t_\t_\t_\t_\t_\n"
@@ -148,3 +148,15 @@ def test_streams(spark, tmp_path):
     )
     query.awaitTermination()
     assert [r.metric for r in spark.table("metric_means").collect()] == [2.0]
+
+
+def test_stream_updates(spark, tmp_path):
+    """A pass that goes on in a later micro-batch has one state, its last."""
+    schema = "run string, step bigint, val_step bigint, value double"
+    for k in range(5):
+        spark.createDataFrame([("r", 1, k, float(k)), ("r", k, 9, 1.0)], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "log"))
+    stream = stream_metric_log(spark, str(tmp_path / "log"), schema, files=1)
+    state = drain_updates(stream, ["run", "step"], str(tmp_path / "out"), str(tmp_path / "progress"))
+    got = {r.step: r.metric for r in state.collect()}
+    assert got == {0: 1.0, 1: 11 / 6, 2: 1.0, 3: 1.0, 4: 1.0}
+    assert len(list((tmp_path / "out").glob("batch=*"))) >= 5

@@ -261,3 +261,14 @@ def test_deep_closure(spark):
     depth = max(len(above(head, w)) for w in range(1, 2_001))
     assert max(r.height for r in rows) == depth
     assert trees.closure(df).count() == sum(r.size for r in rows)
+
+
+def test_expansion_faults_fail_the_job(spark):
+    rows = [(1, [0, 1], [9, 9, 9, 9]), (2, [2, 1], [9, 9, 9, 9]), (3, [0, 1], [9, 9, 9])]
+    df = spark.createDataFrame(rows, "sent_id bigint, head array<int>, input_ids array<int>")
+    faults = df.select("sent_id", subword.expansion_fault().alias("fault"))
+    assert {r.sent_id: r.fault for r in faults.collect()} == {1: None, 2: "cycle", 3: "length"}
+    assert [r["head"] for r in subword.sound(df.where("sent_id = 1")).collect()] == [[0, 1]]
+    for number, fault in ((2, "cycle"), (3, "length")):
+        with pytest.raises(Exception, match=f"sentence {number}: {fault}"):
+            subword.sound(df.where(f"sent_id = {number}")).collect()

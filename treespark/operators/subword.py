@@ -5,10 +5,11 @@ Spans are ``array<struct<b,e>>``, inclusive, with one pair for the special token
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from treespark.functions.arrays import computed, exploded, item, let, running_sum, upto
+from treespark.functions.trees import off_tree
 
 SUBWORD_LABEL = "subword"
 
@@ -118,12 +119,13 @@ def mismatched(spans: Column, head: Column) -> Column:
     return F.size(spans) != F.size(head) + 2
 
 
-def expand_subwords(df: DataFrame, spans: str = "token_spans") -> DataFrame:
+def expand_subwords(df: DataFrame, spans: str = "token_spans", observation: Observation | None = None) -> DataFrame:
     """Expand each tree over its pieces.
 
     A word's first piece carries its arc (ids shifted), its further pieces hang on the first with the label
     ``subword``. Adds dependency_token_spans and keeps orig_head and orig_deprel. Sentences whose word count
-    differs from the tree size are left out; ``mismatched`` counts them.
+    differs from the tree size are left out. Their number and that of all sentences are found in ``observation`` as
+    ``discarded`` and ``total`` once the first job over the result has run; ``expansion_counts`` gives them by split.
     """
 
     def arcs(new_id: Column, words: Column) -> Column:
@@ -137,6 +139,9 @@ def expand_subwords(df: DataFrame, spans: str = "token_spans") -> DataFrame:
 
         return F.flatten(F.transform(words, word))
 
+    if observation is not None:
+        lost = F.count_if(mismatched(F.col(spans), F.col("head")))
+        df = df.observe(observation, lost.alias("discarded"), F.count(F.lit(1)).alias("total"))
     fitting = df.where(~mismatched(F.col(spans), F.col("head")))
     inner = F.slice(spans, 2, F.size(spans) - 2)
     expanded = computed(fitting, _arcs=let(id_map(F.col(spans)), lambda m: let(inner, lambda words: arcs(m, words))))
@@ -164,6 +169,20 @@ def length_conflicts(df: DataFrame) -> DataFrame:
     return df.where(F.size("input_ids") - 2 != F.size("head")).select("sent_id", "input_ids", "head")
 
 
+def expansion_fault(head: str = "head", input_ids: str = "input_ids") -> Column:
+    """What is wrong with an expanded sentence: ``cycle`` (words that never meet the root), ``length`` (tree and input
+    ids disagree) or null. A cycle comes first."""
+    cyclic = F.size(off_tree(F.col(head))) > 0
+    return F.when(cyclic, "cycle").when(F.size(input_ids) - 2 != F.size(head), "length")
+
+
+def sound(df: DataFrame) -> DataFrame:
+    """``df`` as it is; the job that reads it fails at the first sentence with an ``expansion_fault``."""
+    fault = expansion_fault()
+    message = F.concat(F.lit("sentence "), F.col("sent_id").cast("string"), F.lit(": "), fault)
+    return df.withColumn("head", F.when(fault.isNull(), F.col("head")).otherwise(F.raise_error(message)))
+
+
 def trim_special(values: Column) -> Column:
     """Drop the first and the last position."""
     return F.slice(values, 2, F.size(values) - 2)

@@ -181,8 +181,8 @@ def treebank_folder(spark: SparkSession, sf_dir: str) -> str:
     """The treebank written as three CoNLL-U entries under the shared folder; returns the folder."""
     folder = scratch_path(spark, "treebank")
     rows = conllu_rows(sentences(spark, sf_dir))
-    for split in ("train", "dev", "test"):
-        rows.where(F.col("split") == split).select("value").write.text(f"{folder}/tb-{split}.conllu")
+    entry = F.concat(F.lit("tb-"), "split", F.lit(".conllu"))
+    rows.select("value", entry.alias("entry")).write.partitionBy("entry").text(folder)
     return folder
 
 

@@ -13,7 +13,8 @@ from treespark.plans.oracle import draw as sql_draw
 from treespark.plans.oracle import sql
 from treespark.plans.queries_trees import NEEDS, NEGATIVE_CTES, PHRASE_CTES
 from treespark.plans.registry import query
-from treespark.session import cut_lineage
+from treespark.session import cut_lineage, scratch_path
+from treespark.streaming import drain_updates, stream_metric_log
 
 r6 = lambda c: F.round(c, 6)
 
@@ -364,6 +365,17 @@ def _(spark, sf):
     return metriclog.validation_metric(derived.metric_log(spark, sf)).withColumn("metric", r6("metric"))
 
 
+@query("d15_stream", sql("SELECT run, step, round(avg(value), 6) AS metric FROM mlog GROUP BY run, step", "mlog"))
+def _(spark, sf):
+    """The log arrives in several micro-batches; passes that go on in a later one are updated."""
+    folder = scratch_path(spark, "log")
+    log = derived.metric_log(spark, sf).select("run", "step", "val_step", "value")
+    log.repartition(8, "val_step").write.parquet(f"{folder}/in")
+    stream = stream_metric_log(spark, f"{folder}/in", "run string, step bigint, val_step bigint, value double", files=3)
+    state = drain_updates(stream, ["run", "step"], f"{folder}/out", f"{folder}/progress")
+    return state.withColumn("metric", r6("metric"))
+
+
 @query("d15_validation_last", sql("SELECT run, step, arg_max(value, val_step) AS metric FROM mlog GROUP BY run, step", "mlog"))
 def _(spark, sf):
     return metriclog.validation_metric(derived.metric_log(spark, sf), aggregate=False)

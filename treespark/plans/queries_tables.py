@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
 from treespark.functions import text
@@ -67,10 +68,9 @@ def _(spark, sf):
     )
 
 
-@query("a2_conllu", sql("SELECT sent_id, id, form, xpos, CAST(head AS VARCHAR) AS head, deprel FROM tb WHERE split = 'train'", "tb"))
+@query("a2_conllu", sql("SELECT sent_id, id, form, xpos, CAST(head AS VARCHAR) AS head, deprel FROM tb", "tb"))
 def _(spark, sf):
-    folder = derived.treebank_folder(spark, sf)
-    df = conllu.read_conllu(spark, f"{folder}/tb-train.conllu", keys=("sent_id",))
+    df = conllu.read_conllu(spark, derived.treebank_folder(spark, sf), keys=("sent_id",))
     named = df.drop("sent_id").withColumnRenamed("meta_sent_id", "sent_id")
     rows = tokens.token_rows(named, ["tokens", "xpos", "head", "deprel"])
     return rows.withColumnRenamed("tokens", "form").withColumn("sent_id", F.col("sent_id").cast("bigint"))
@@ -79,23 +79,23 @@ def _(spark, sf):
 @query(
     "a3_conllu_forms",
     sql(
-        """SELECT form, count(*) AS n FROM (SELECT form FROM tb WHERE split = 'dev'
-UNION ALL SELECT 'x' FROM (SELECT DISTINCT sent_id FROM tb WHERE split = 'dev' AND is_gold = 1)
-UNION ALL SELECT 'x' FROM (SELECT DISTINCT sent_id FROM tb WHERE split = 'dev' AND is_gold = 1)) GROUP BY form""",
+        """SELECT form, count(*) AS n FROM (SELECT form FROM tb
+UNION ALL SELECT 'x' FROM (SELECT DISTINCT sent_id FROM tb WHERE is_gold = 1)
+UNION ALL SELECT 'x' FROM (SELECT DISTINCT sent_id FROM tb WHERE is_gold = 1)) GROUP BY form""",
         "tb",
     ),
 )
 def _(spark, sf):
-    df = conllu.read_conllu_forms(spark, f"{derived.treebank_folder(spark, sf)}/tb-dev.conllu")
+    df = conllu.read_conllu_forms(spark, derived.treebank_folder(spark, sf), glob=None)
     return df.select(exploded(F.col("tokens")).alias("form")).groupBy("form").agg(F.count("*").alias("n"))
 
 
 @query(
     "a4_conllu_meta",
-    sql(f"SELECT 's' || (n % 5) AS s_type, {JOINED} AS text FROM tb WHERE split = 'test' GROUP BY sent_id, n", "tb"),
+    sql(f"SELECT 's' || (n % 5) AS s_type, {JOINED} AS text FROM tb GROUP BY sent_id, n", "tb"),
 )
 def _(spark, sf):
-    df = conllu.read_conllu_meta(spark, f"{derived.treebank_folder(spark, sf)}/tb-test.conllu")
+    df = conllu.read_conllu_meta(spark, derived.treebank_folder(spark, sf))
     return df.select("s_type", "text")
 
 
@@ -122,7 +122,7 @@ FROM tb""",
     ),
 )
 def _(spark, sf):
-    df = conllu.read_conllu_forms(spark, derived.treebank_folder(spark, sf), glob="*.txt")
+    df = conllu.read_conllu_forms(spark, derived.treebank_folder(spark, sf))
     return df.agg(F.count("*").alias("sentences"), F.sum(F.size("tokens")).alias("words"))
 
 
@@ -454,6 +454,38 @@ def _(spark, sf):
     return subword.expansion_counts(_cut_heads(derived.encoded(spark, sf), 7))
 
 
+@query(
+    "d18_observed",
+    sql("SELECT count(*) FILTER (n % 7 = 0) AS discarded, count(*) AS total, CAST(sum(n) FILTER (n % 7 <> 0) AS BIGINT) AS words FROM (SELECT DISTINCT sent_id, n FROM tb)", "tb"),
+)
+def _(spark, sf):
+    """The expansion is written once, and its counters come from that same job."""
+    seen = Observation("expansion")
+    path = scratch_path(spark, "expanded")
+    subword.expand_subwords(_cut_heads(derived.encoded(spark, sf), 7), observation=seen).select("orig_head").write.parquet(path)
+    written = spark.read.schema("orig_head array<int>").parquet(path)
+    counters = [F.lit(seen.get[name]).alias(name) for name in ("discarded", "total")]
+    return written.agg(F.sum(F.size("orig_head")).alias("words"), *counters)
+
+
+@query(
+    "b13_expansion_faults",
+    sql(
+        """SELECT sent_id, CASE WHEN n % 6 = 0 THEN 'cycle' ELSE 'length' END AS fault
+FROM (SELECT DISTINCT sent_id, n FROM tb) WHERE n % 6 = 0 OR n % 11 = 0""",
+        "tb",
+    ),
+)
+def _(spark, sf):
+    """Planted: sentences without a root where six divides the words, input ids cut short where eleven does."""
+    root = F.array_position("head", 0).cast("int")
+    bent = F.transform("head", lambda h: F.when((h == 0) & (F.size("head") % 6 == 0), root + 1).otherwise(h))
+    full = F.col("token_spans")[F.size("token_spans") - 1]["e"]
+    ids = F.sequence(F.lit(0), full - F.when(F.size("head") % 11 == 0, 1).otherwise(0))
+    df = subword.expand_subwords(computed(derived.encoded(spark, sf), input_ids=ids, head=bent))
+    return df.select("sent_id", subword.expansion_fault().alias("fault")).where("fault IS NOT NULL")
+
+
 @query("b13_count_conflicts", sql("SELECT DISTINCT sent_id, n AS before, n - 1 AS after FROM tb WHERE n % 11 = 0", "tb"))
 def _(spark, sf):
     df = derived.sentences(spark, sf)

@@ -406,3 +406,11 @@ def _(spark, sf):
     scores = F.transform("head", lambda _, i: F.transform(F.sequence(F.lit(0), F.size("head")), score(i)))
     df = computed(derived.sentences(spark, sf), head=scoring.greedy_heads(scores))
     return trees.edges(df)
+
+
+@query("h19_heads_of_arcs", sql(f"SELECT sent_id, id, arg_max(head, score) AS head FROM ({ARCS}) GROUP BY sent_id, id", "tb"))
+def _(spark, sf):
+    """The same choice over rows of scored arcs, those of a word with itself included."""
+    words = derived.sentences(spark, sf).select("sent_id", F.size("head").alias("n"), posexploded(F.col("head")).alias("i", "_gold"))
+    arcs = words.select("sent_id", (F.col("i") + 1).alias("id"), exploded(F.sequence(F.lit(0), "n")).alias("head"))
+    return scoring.choose_heads(arcs.withColumn("score", draw_key(F.col("sent_id"), F.col("id"), F.col("head"))))

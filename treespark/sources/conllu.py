@@ -2,18 +2,19 @@
 
 from __future__ import annotations
 
-from urllib.parse import unquote
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from treespark.functions.arrays import computed
 from treespark.operators.tokens import is_integer_id
+from treespark.sources.records import read_records
 
 # Positions of the fields in a line, and the mark of an empty field.
 FIELDS = {"id": 0, "form": 1, "lemma": 2, "upos": 3, "xpos": 4, "feats": 5, "head": 6, "deprel": 7}
 EMPTY = "_"
 SPLITS = ("train", "dev", "test")
+#: The first ``.conllu`` entry on a path, a file or a folder of parts: the path up to it, and its name.
+ENTRY = r"^(.*?([^/]*\.conllu))(/|$)"
 
 
 def _words(block: Column) -> Column:
@@ -64,26 +65,11 @@ def blocks(lines: DataFrame, column: str = "value") -> DataFrame:
 
 
 def _read_blocks(spark: SparkSession, paths: str | list[str], glob: str | None = None) -> DataFrame:
-    """(sent_id, path, block); ids are distinct over all files of the read, whatever their line ends.
+    """(sent_id, path, block) of the sentences of files and folder trees, whatever their line ends and blank lines.
 
-    Files are split at empty lines, those with carriage returns at theirs, so that no file is read as one row.
+    Ids are byte offsets (``records.read_records``): distinct over all files of the read, and the same in every read.
     """
-
-    def lines(separator: str, found: str | list[str], glob: str | None = None) -> DataFrame:
-        reader = spark.read.option("lineSep", separator)
-        if glob is not None:
-            reader = reader.option("recursiveFileLookup", "true").option("pathGlobFilter", glob)
-        return reader.text(found).select("value", F.col("_metadata.file_path").alias("path"))
-
-    names = lines("\n", paths, glob).groupBy("path").agg(F.max(F.col("value").endswith("\r")).alias("carriage")).collect()
-    returned = [unquote(r["path"]) for r in names if r["carriage"]]
-    if not returned:
-        rows = lines("\n\n", paths, glob)
-    else:
-        rows = lines("\r\n\r\n", returned)
-        if others := [unquote(r["path"]) for r in names if not r["carriage"]]:
-            rows = rows.unionByName(lines("\n\n", others))
-    return blocks(rows).select(F.monotonically_increasing_id().alias("sent_id"), "path", "block")
+    return read_records(spark, paths, glob).where(F.col("block").rlike(r"(?m)^[^#\s]"))
 
 
 def parse_blocks(df: DataFrame, plain_ids_only: bool = True) -> DataFrame:
@@ -104,9 +90,9 @@ def read_conllu(
 ) -> DataFrame:
     """(sent_id, split, tokens, xpos, head, deprel, keys…) of plain words; ``keys`` are comments to keep.
 
-    With ``glob`` the path is searched recursively for matching files. Ids are distinct within a read and follow the
-    order of blocks within a file part; store the result to keep them across sessions, and read files together
-    rather than one by one to unite them.
+    With ``glob`` the path is searched recursively for matching files. Ids are distinct within a read, follow the
+    order of blocks within a file and stay the same in every read; read files together rather than one by one to unite
+    them.
     """
     return _parsed(_read_blocks(spark, path, glob).drop("path").withColumn("split", F.lit(split)), keys)
 
@@ -135,7 +121,7 @@ def treebank_files(spark: SparkSession, folder: str) -> dict[str, str]:
         spark.read.format("binaryFile")
         .option("recursiveFileLookup", "true")
         .load(folder)
-        .select(F.regexp_extract("path", r"^(.*?[^/]*\.conllu)(/|$)", 1).alias("path"))
+        .select(F.regexp_extract("path", ENTRY, 1).alias("path"))
         .where("path <> ''")
         .distinct()
         .limit(4)
@@ -143,7 +129,7 @@ def treebank_files(spark: SparkSession, folder: str) -> dict[str, str]:
     paths = [r["path"] for r in found.collect()]
     if len(paths) != 3:
         raise ValueError("a treebank needs exactly three .conllu files: train, dev and test")
-    by_split = {s: [p for p in paths if f"{s}.conllu" in p.rsplit("/", 1)[-1]] for s in SPLITS}
+    by_split = {s: [p for p in paths if p.endswith(f"{s}.conllu")] for s in SPLITS}
     if any(len(p) != 1 for p in by_split.values()):
         raise ValueError(f"cannot tell train, dev and test apart in {paths}")
     return {s: p[0] for s, p in by_split.items()}
@@ -153,5 +139,6 @@ def read_treebank(spark: SparkSession, folder: str, keys: tuple[str, ...] = ())
     """The three splits of a treebank folder as one table with distinct ids."""
     files = treebank_files(spark, folder)
     rows = _read_blocks(spark, list(files.values()))
-    split = F.coalesce(*[F.when(F.contains("path", F.lit(f"{s}.conllu")), s) for s in SPLITS])
+    entry = F.regexp_extract("path", ENTRY, 2)
+    split = F.coalesce(*[F.when(entry.endswith(f"{s}.conllu"), s) for s in SPLITS])
     return _parsed(rows.withColumn("split", split).drop("path"), keys)
