@@ -1,9 +1,12 @@
 """Licenses, personal data, pieces and toxicity against plain versions."""
 
 import hashlib
+import itertools
 import random
 import re
+from collections import Counter
 
+import pytest
 import sentencepiece
 from sentencepiece import sentencepiece_model_pb2
 
@@ -247,3 +250,35 @@ def test_toxicity_learns_from_noisy_labels():
     assert all(x > 0.5 for x in score.values()), score
     new = [" ".join(rng.choices(plain, k=30) + [a, b]) for a in insults for b in insults] + [" ".join(rng.choices(plain, k=30)) for _ in range(9)]
     assert [x >= 0.5 for x in toxicity.probabilities(new, model, {})] == [True] * 9 + [False] * 9
+
+
+def naive_kernel(a, b):
+    """Shared three-letter subsequences of two words of ASCII letters with their marks, weighted by the letters they span."""
+    def weights(word):
+        marked, out = "#" + word + "#", Counter()
+        for i, j, k in itertools.combinations(range(len(marked)), 3):
+            if k - i <= toxicity.SPAN:
+                out[marked[i] + marked[j] + marked[k]] += toxicity.DECAY ** (k - i + 1)
+        return out
+
+    def most(word):
+        n = len(word) + 2
+        return sum(toxicity.DECAY ** (2 * (k - i + 1)) for i, _, k in itertools.combinations(range(n), 3) if k - i <= toxicity.SPAN) ** 0.5
+
+    left, right = weights(a), weights(b)
+    return sum(w * right[s] for s, w in left.items()) / (most(a) * most(b))
+
+
+def test_kernel_against_plain_subsequences():
+    words = ["a", "idiot", "idixot", "i", "stupid", "stuupidd", "clean", "abababab", "internationalisation"]
+    maps = toxicity.kernel_map(words).astype(float)
+    for i, a in enumerate(words):
+        for j, b in enumerate(words):
+            assert maps[i] @ maps[j] == pytest.approx(naive_kernel(a, b), rel=1e-4, abs=1e-6)
+
+
+def test_letters_of_other_scripts_differ():
+    word = "слово"
+    shifted = "".join(chr(ord(c) + 5) for c in word)
+    maps = toxicity.kernel_map([word, shifted, word]).astype(float)
+    assert maps[0] @ maps[1] < 0.5 * (maps[0] @ maps[2])

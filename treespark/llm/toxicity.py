@@ -25,7 +25,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 SPAN, DECAY = 7, 0.7
-ALPHABET = 32
+#: Codes of letters: 0 is the mark at the ends, 1 to 26 are a to z, the others share what is left by a hash.
+ALPHABET = 48
 WINDOW = 48
 #: Bounds of the fit: labelled documents per class, characters of such a document, words per class, landmarks per class.
 SAMPLE, SAMPLE_CHARS, WORDS, LANDMARKS = 2000, 20_000, 10_000, 96
@@ -77,10 +78,15 @@ def coded(words: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         points = np.frombuffer("".join(parts).encode("utf-32-le"), np.uint32).reshape(-1, length).astype(np.int32)
         plain = (points >= 97) & (points <= 122)
         codes = np.zeros((len(parts), length + 2), np.int32)
-        codes[:, 1:-1] = np.where(plain, points - 96, 27 + points % 5)
+        codes[:, 1:-1] = np.where(plain, points - 96, 27 + mixed(points) % (ALPHABET - 27))
         yield np.array(places), codes
 
 
+def mixed(points: np.ndarray) -> np.ndarray:
+    """Code points spread by a multiplication, so that neighbours and shifted alphabets differ."""
+    return ((points.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(40)).astype(np.int32)
+
+
 def triples(length: int) -> Iterator[tuple[int, int, float]]:
     for k in range(2, min(SPAN, length - 1) + 1):
         for j in range(1, k):
