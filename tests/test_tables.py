@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from treespark.functions import prefix, text
+from treespark.functions import joins, prefix, text
 from treespark.operators import assemble, batching, metriclog, scoring, vocabulary
 
 
@@ -188,6 +188,56 @@ def test_wordpiece_encoding(spark):
     assert got == {"unaffable": [4, 5, 6], "unab": [3], "una": [4, 7], "u" * 101: [3]}
 
 
+def test_trie_and_joins_encode_alike(spark, monkeypatch):
+    rng = random.Random(8)
+    some = lambda k: "".join(rng.choice("ab#é") for _ in range(rng.randint(1, k)))
+    pieces = ["[UNK]", "a", "##a", "##b", "#", "##", "é", *{some(4) for _ in range(30)}, *{"##" + some(3) for _ in range(30)}]
+    pieces = list(dict.fromkeys(pieces))
+    vocab = spark.createDataFrame([(p, i) for i, p in enumerate(pieces)], "piece string, id int")
+    rows = [(some(9),) for _ in range(300)] + [("",), (None,), ("a" * 3000,), ("a" + "b" * 500 + "x",)]
+    words = spark.createDataFrame(rows, "word string")
+    by_id = dict(enumerate(pieces))
+
+    def greedy(word):
+        out, at = [], 0
+        while word and at < len(word):
+            fits = [t for t in range(len(word), at, -1) if ("##" if at else "") + word[at:t] in pieces]
+            if not fits:
+                return ["[UNK]"]
+            out.append(("##" if at else "") + word[at:fits[0]])
+            at = fits[0]
+        return out or ["[UNK]"]
+
+    sent = {r.word: [by_id[i] for i in r.ids] for r in vocabulary.encode_distinct(words, vocab, unk=0).collect()}
+    assert sent == {w: greedy(w) for (w,) in rows}
+    monkeypatch.setattr(vocabulary, "SENT_CHARACTERS", 10)
+    apart = {r.word: [by_id[i] for i in r.ids] for r in vocabulary.encode_distinct(words, vocab, unk=0).collect()}
+    assert apart == sent
+    none = vocabulary.encode_distinct(words.limit(3), vocab.limit(0)).collect()
+    assert all(r.ids == [3] for r in none)
+
+
+def test_frequent_keys_are_dealt(spark, monkeypatch):
+    rows = [(i, "the" if i % 2 else f"w{i % 4000}") for i in range(8000)] + [(9000 + i, None) for i in range(50)]
+    df = spark.createDataFrame(rows, "k bigint, piece string")
+    table = spark.createDataFrame([("the", 7, "x"), ("w2", 8, None), ("w4", None, "z")], "piece string, a int, b string")
+    got = joins.looked_up(df, table, "piece", ["k"])
+    known = {"the": (7, "x"), "w2": (8, None), "w4": (None, "z")}
+    assert sorted((tuple(r) for r in got.collect()), key=lambda r: r[0]) == [(k, p, *known.get(p, (None, None))) for k, p in rows]
+    assert joins.looked_up(df.limit(0), table, "piece", ["k"]).isEmpty()
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        sizes = [r["count"] for r in got.groupBy(F.spark_partition_id()).count().collect()]
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert len(sizes) > 1 and max(sizes) < 2 * sorted(sizes)[len(sizes) // 2]
+    vocab = spark.createDataFrame([("the", 5), ("w2", 6)], "piece string, id int")
+    rows = df.withColumnRenamed("k", "sent_id").withColumn("pos", F.lit(0))
+    small = sorted(tuple(r) for r in vocabulary.piece_ids(rows, vocab).select("sent_id", "token_id").collect())
+    monkeypatch.setattr(vocabulary, "SENT_CHARACTERS", 1)
+    assert small == sorted(tuple(r) for r in vocabulary.piece_ids(rows, vocab).select("sent_id", "token_id").collect())
+
+
 def test_vocabulary_settings():
     with pytest.raises(ValueError, match="unknown model"):
         vocabulary.VocabularySettings(model="unigram")

@@ -110,6 +110,36 @@ def test_reach_matches_brute_force(forest):
     assert got == want
 
 
+def test_reach_by_levels_equals_the_walk(spark):
+    rng = random.Random(5)
+    rows = []
+    for i in range(120):  # several roots, circles, loops and heads outside the sentence among them
+        n = rng.randint(0, 12)
+        rows.append((i, [rng.randint(0, w) if rng.random() < 0.9 else rng.randint(0, n + 1) for w in range(n)]))
+    df = spark.createDataFrame(rows, "sent_id bigint, head array<int>")
+    for distance in (1, 3):
+        walk = Counter(tuple(r) for r in attention.reach_rows(df, distance).collect())
+        assert walk == Counter(tuple(r) for r in attention.reach_rows(df, distance, short=0).collect()) and walk
+    settings = attention.RangeSettings(3, (-1, 2))
+    want = {
+        (r.sent_id, r.i, j)
+        for r in df.select("sent_id", F.posexplode(attention.open_positions(F.col("head"), settings)).alias("i", "js")).collect()
+        for j in r.js
+    }
+    for short in (0, 128):
+        assert Counter(tuple(r) for r in attention.attention_pairs(df, settings, short).collect()) == Counter(want)
+
+
+def test_reach_of_long_sentences(spark):
+    n = 20_000
+    df = spark.createDataFrame([(1, list(range(n))), (2, [0] + [1] * (n - 1))], "sent_id bigint, head array<int>")
+    chain = attention.reach_rows(df.where("sent_id = 1"), 3)
+    assert chain.count() == 7 * n - 12 and chain.where("abs(id - other) > 3").isEmpty()
+    assert attention.reach_rows(df.where("sent_id = 2"), 1).count() == n + 2 * (n - 1)
+    # Row 0 is open; a word sees both ends and, from four words before to three behind, those that are there.
+    assert attention.attention_pairs(df.where("sent_id = 1")).count() == (n + 2) + 2 * n + (8 * n - 10 - 6)
+
+
 def test_mask_rows_and_columns(spark):
     df = spark.createDataFrame([(1, [5, 0, 2, 2, 4])], "sent_id bigint, head array<int>")
     mask = attention.dense_mask(df, attention.RangeSettings(max_distance=1)).first().dep_att_mask

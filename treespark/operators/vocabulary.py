@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from treespark.functions.arrays import exploded, let, upto
+from treespark.functions.joins import looked_up
 from treespark.functions.text import WHITESPACE, marked_tokens, normalised, pre_tokens
 from treespark.operators.merges import joined, learnt_merges, replay
 from treespark.session import cut_lineage
@@ -21,6 +22,8 @@ CASED_SPECIALS = ("[PAD]", "[UNK]", "[CLS]", "[SEP]", "[MASK]")
 BASE_SIZE, BASE_TYPES, GROWTH = 8_000, 15_000, 6_000 / 450_000
 # Fixed value: mark of a piece inside a word.
 PREFIX = "##"
+#: A vocabulary of more characters is joined, not sent to every task.
+SENT_CHARACTERS = 1 << 22
 
 
 @dataclass(frozen=True)
@@ -152,12 +155,70 @@ def check_vocabulary(vocab: DataFrame) -> DataFrame:
     )
 
 
+def fits(vocab: DataFrame) -> bool:
+    """Whether a vocabulary is small enough to be sent to every task."""
+    size = vocab.agg(F.sum(F.length("piece") + 1).alias("n")).first()["n"]
+    return (size or 0) <= SENT_CHARACTERS
+
+
+def piece_trie(pieces: list[tuple[str, int]]) -> tuple[dict, dict]:
+    """Tries of the pieces that start a word and of those inside it: characters lead on, the empty string to the id."""
+    starting, inside = {}, {}
+    for piece, number in pieces:
+        follows = piece[len(PREFIX):] if piece.startswith(PREFIX) else ""
+        for trie, text in ((starting, piece), (inside, follows)):
+            if text:
+                for c in text:
+                    trie = trie.setdefault(c, {})
+                trie.setdefault("", number)
+    return starting, inside
+
+
+def longest_matches(word: str, starting: dict, inside: dict) -> list[int] | None:
+    """Ids of the longest pieces from left to right; None where no piece goes on. At most a longest piece is read again."""
+    ids, at, trie = [], 0, starting
+    while at < len(word):
+        here, till, node = at, at, trie
+        while here < len(word) and (node := node.get(word[here])) is not None:
+            here += 1
+            if "" in node:
+                till, found = here, node[""]
+        if till == at:
+            return None
+        ids.append(found)
+        at, trie = till, inside
+    return ids
+
+
 def encode_distinct(words: DataFrame, vocab: DataFrame, unk: int = 3, max_word: int | None = None) -> DataFrame:
-    """(word, ids): greedy longest match of every distinct word, by an equi join with the vocabulary.
+    """(word, ids): greedy longest match of every distinct word, walking a trie of the pieces.
 
-    Every substring of a word is looked up; the walk from left to right then happens inside the row. A word
-    with an uncovered character, or of more than ``max_word`` characters, is unknown as a whole.
+    The vocabulary's size is checked before it is sent; one that does not fit is joined (``encode_by_joins``), with the same
+    ids. A word with an uncovered character, of more than ``max_word`` characters, empty or null, is unknown as a whole.
+    Of equal pieces the smallest id counts.
     """
+    if not fits(vocab):
+        return encode_by_joins(words, vocab, unk, max_word)
+    pieces = sorted((r["piece"], r["id"]) for r in vocab.select("piece", "id").where("piece IS NOT NULL").collect())
+
+    def match(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        starting, inside = piece_trie(pieces)
+        for batch in batches:
+            yield pd.Series([
+                (longest_matches(w, starting, inside) if w and (max_word is None or len(w) <= max_word) else None) or [unk]
+                for w in batch
+            ], dtype=object)
+
+    distinct = words.select("word").distinct()
+    return distinct.select("word", F.pandas_udf(match, "array<int>")("word").alias("ids"))
+
+
+def encode_by_joins(words: DataFrame, vocab: DataFrame, unk: int = 3, max_word: int | None = None) -> DataFrame:
+    """``encode_distinct`` for a vocabulary of any size, by an equi join.
+
+    Every substring up to the longest piece is looked up; the walk from left to right then happens inside the row.
+    """
+    vocab = vocab.groupBy("piece").agg(F.min("id").alias("id"))
     distinct = words.select("word").distinct()
     longest = vocab.agg(F.max(F.length("piece")).alias("n")).scalar()
     short = distinct if max_word is None else distinct.where(F.length("word") <= max_word)
@@ -215,7 +276,7 @@ def encode_distinct_bpe(
 def join_piece_ids(df: DataFrame, vocab: DataFrame, keys: list[str], unk: int = 3) -> DataFrame:
     """(keys, ids): pieces of each row as vocabulary ids, ``unk`` where the vocabulary lacks one."""
     rows = df.select(*keys, F.posexplode_outer("pieces").alias("pos", "piece"))
-    ids = rows.join(vocab.select("piece", "id"), "piece", "left").groupBy(*keys).agg(
+    ids = with_ids(rows, vocab.select("piece", "id"), [*keys, "pos"]).groupBy(*keys).agg(
         F.sort_array(
             F.collect_list(F.when(F.col("pos").isNotNull(), F.struct("pos", F.coalesce("id", F.lit(unk)).alias("id"))))
         ).alias("r")
@@ -223,10 +284,17 @@ def join_piece_ids(df: DataFrame, vocab: DataFrame, keys: list[str], unk: int =
     return ids.select(*keys, F.transform("r", lambda x: x["id"]).alias("ids"))
 
 
-def piece_ids(df: DataFrame, vocab: DataFrame, unk: int = 3) -> DataFrame:
-    """Long form of the lookup: adds ``token_id`` to rows with a ``piece``."""
+def with_ids(rows: DataFrame, table: DataFrame, spread: list[str]) -> DataFrame:
+    """``rows`` with the columns of ``table`` by piece: broadcast if it fits, else joined with frequent pieces apart."""
+    if fits(table):
+        return rows.join(F.broadcast(table), "piece", "left")
+    return looked_up(rows, table, "piece", spread)
+
+
+def piece_ids(df: DataFrame, vocab: DataFrame, unk: int = 3, spread: tuple[str, ...] = ("sent_id", "pos")) -> DataFrame:
+    """Long form of the lookup: adds ``token_id`` to rows with a ``piece``; the columns ``spread`` tell the rows of one apart."""
     known = vocab.select("piece", F.col("id").alias("token_id"))
-    return df.join(known, "piece", "left").withColumn("token_id", F.coalesce("token_id", F.lit(unk)))
+    return with_ids(df, known, list(spread)).withColumn("token_id", F.coalesce("token_id", F.lit(unk)))
 
 
 def encode_words(
@@ -234,23 +302,23 @@ def encode_words(
 ) -> DataFrame:
     """Add ``pieces``: one array of piece ids per word, by joining distinct words of every sentence.
 
-    ``encoded`` maps pre-tokenised words to ids (``encode_distinct``); a token may hold several of them.
+    ``encoded`` maps pre-tokenised words to ids (``encode_distinct``); a token may hold several of them. Tokens are
+    counted first, and the frequent ones are joined apart from the rest.
     """
     words = df.select("sent_id", exploded(F.array_distinct(tokens)).alias("token"))
-    distinct = words.select("token").distinct()
-    parts = distinct.select(
+    counts = cut_lineage(words.groupBy("token").agg(F.count("*").alias("n")))
+    parts = counts.select(
         "token", F.posexplode_outer(pre_tokens(normalised(F.col("token"), decompose, lowercase))).alias("i", "word")
     )
     ids = parts.join(encoded, "word", "left").groupBy("token").agg(
         F.sort_array(F.collect_list(F.struct("i", "ids"))).alias("r")
     )
-    by_token = ids.select(
-        "token", F.flatten(F.transform("r", lambda x: F.coalesce(x["ids"], F.array().cast("array<int>")))).alias("ids")
-    )
-    per_sentence = words.join(by_token, "token").groupBy("sent_id").agg(
+    none = F.array().cast("array<int>")
+    by_token = cut_lineage(ids.where("token IS NOT NULL").select(
+        "token", F.flatten(F.transform("r", lambda x: F.coalesce(x["ids"], none))).alias("ids")))
+    per_sentence = looked_up(words.where("token IS NOT NULL"), by_token, "token", ["sent_id"], counts).groupBy("sent_id").agg(
         F.map_from_entries(F.collect_list(F.struct("token", "ids"))).alias("_ids")
     )
-    none = F.array().cast("array<int>")
     joined = df.join(per_sentence, "sent_id", "left")
     return joined.withColumn(
         "pieces", let(F.col("_ids"), lambda m: F.transform(tokens, lambda t: F.coalesce(m[t], none)))
