@@ -200,14 +200,15 @@ def plain_substrings(rows):
     for i, t in rows:
         raw = (t or "").encode()
         parts = list(substrings.sentences(raw))
-        run = min(substrings.RUN, len(parts))
-        for at in range(len(parts) - run + 1 if run else 0):
-            part = parts[at : at + run]
-            if sum(p[3] for p in part) < substrings.LEAST_WORDS:
-                continue
-            key = tuple(p[2] for p in part)
+        run, n = min(substrings.RUN, len(parts)), len(parts)
+        enough = lambda a, b: b - a >= run and sum(p[3] for p in parts[a:b]) >= substrings.LEAST_WORDS
+        spans = [(a, b) for a in range(n) for b in range(a + 1, n + 1) if enough(a, b)]
+        from_start = {a: min(b for x, b in spans if x == a) for a, _ in spans}
+        to_end = {b: max(a for a, x in spans if x == b) for _, b in spans}
+        for at, till in sorted(set(from_start.items()) | {(a, b) for b, a in to_end.items()}):
+            key = tuple(p[2] for p in parts[at:till])
             if key in first:
-                places.setdefault((i, t), []).append(range(at, at + run))
+                places.setdefault((i, t), []).append(range(at, till))
             else:
                 first[key] = (i, at)
     out = {}
@@ -237,6 +238,8 @@ def test_substring_dedup(docs):
         if i % 7 == 0:
             text = text + sentence(3)[:-2] + " " + unmarked + " " + sentence(6)
         rows.append((i, text))
+    # Short sentences: a run needs more than three of them.
+    rows += [(60 + i, "".join(sentence(2) for _ in range(9)) + "Go. On. " + passage[: passage.index(". ") + 2] + "No. " * 14) for i in range(3)]
     rows += [(50, None), (51, ""), (52, "One two."), (53, "One two."), (54, "a b c d e f g h i j k l m."), (55, "A b c d e f g h i j k l m.")]
     got = {r.doc_id: (r.n_removed, r.text) for r in substrings.substring_dedup(docs(*rows)).collect()}
     assert got == plain_substrings(rows)
@@ -245,6 +248,15 @@ def test_substring_dedup(docs):
     assert substrings.substring_dedup(docs(*rows).where("false")).count() == 0
 
 
+def test_deduplicated_keeps_every_row(docs):
+    run = "One two three four five. Six seven eight nine ten. Eleven twelve thirteen. "
+    rows = [(1, run), (2, run + "Own end."), (2, "Another text under the same id."), (2, run + "Own end."), (None, run + "Null id."), (4, None), (4, "")]
+    got = sorted(((r.doc_id, r.text) for r in substrings.deduplicated(docs(*rows)).collect()), key=str)
+    # The null id comes first, so its run stays.
+    want = [(1, ""), (2, "Own end."), (2, "Another text under the same id."), (2, "Own end."), (None, run + "Null id."), (4, None), (4, "")]
+    assert got == sorted(want, key=str)
+
+
 def test_repeats_within_a_text_and_spans(docs):
     run = "One two three four five. Six seven eight nine ten. Éleven twelve thirteen. "
     row = substrings.substring_dedup(docs((1, run + "Between. " + run + "End here."))).collect()[0]
@@ -292,3 +304,9 @@ def test_attach_spreads_a_hot_key(spark):
     got = common.attach(left, groups, "k", "n", F.col("id"))
     assert got.count() == 3000 and got.where("k = 'hot' and top = 999 and n = 1000").count() == 1000
     assert got.where("k <> 'hot' and top = id").count() == 2000
+    spark.conf.set("spark.sql.adaptive.enabled", "false")  # it would merge the small partitions
+    try:
+        parts = [r["count"] for r in got.where("k = 'hot'").groupBy(F.spark_partition_id()).count().collect()]
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert len(parts) > 4 and max(parts) < 250

@@ -7,6 +7,7 @@ import re
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 import sentencepiece
 from sentencepiece import sentencepiece_model_pb2
 
@@ -131,6 +132,10 @@ def test_disclosing_terms(docs):
     text = {r.doc_id: r.text for r in pii.sanitised(made.where("doc_id < 300")).collect()}[4]
     assert "mailbox" not in text and "@" not in text and "[EMAIL]" in text
     assert pii.find_pii(made.where("false")).count() == 0
+    twice = docs((7, "a@b.de here"), (7, "ip 1.2.3.4"), (7, "ip 1.2.3.4"), (None, "c@d.de"), (8, None))
+    told = [(7, "[EMAIL] here"), (7, "ip [IP]"), (7, "ip [IP]"), (8, None), (None, "[EMAIL]")]
+    for made in (twice, twice.withColumn("doc_id", F.col("doc_id").cast("int"))):
+        assert sorted(((r.doc_id, r.text) for r in pii.sanitised(made).collect()), key=str) == sorted(told, key=str)
 
 
 def test_rare_terms_disclose_at_every_size(docs):

@@ -27,6 +27,12 @@ def ascii_lower(text: Column) -> Column:
     return F.translate(F.coalesce(text, F.lit("")), UPPER, UPPER.lower())
 
 
+def keyed(docs: DataFrame) -> DataFrame:
+    """(doc_id, key, text): a document is told by its id and a hash of id and text, whatever integer type the id has."""
+    number = F.col("doc_id").cast("bigint")
+    return docs.select(number.alias("doc_id"), F.xxhash64(number, "text").alias("key"), F.col("text").alias("text"))
+
+
 def attach(left: DataFrame, groups: DataFrame, key: str, weight: str, spread: Column, how: str = "left") -> DataFrame:
     """``left`` with the columns of ``groups`` of the same ``key``, however many rows one key has.
 
@@ -41,7 +47,9 @@ def attach(left: DataFrame, groups: DataFrame, key: str, weight: str, spread: Co
     is_hot = F.col(weight) * HOT_SHARE > F.lit(total)
     pack = F.struct(*values)
     hot = groups.where(is_hot).select(F.col(key).alias("_hot_key"), pack.alias("_hot"))
-    cold = groups.where(~is_hot).select(F.col(key).alias("_cold_key"), F.lit(0).alias("_cold_part"), pack.alias("_cold")).hint("merge")
+    # Always 0, but no literal: the optimizer would take a literal out of the join keys and deal nothing.
+    zero = F.pmod(F.xxhash64(key), F.lit(1)).cast("int")
+    cold = groups.where(~is_hot).select(F.col(key).alias("_cold_key"), zero.alias("_cold_part"), pack.alias("_cold")).hint("merge")
     near = left.join(F.broadcast(hot), F.col(key) == F.col("_hot_key"), "left").drop("_hot_key")
     part = F.when(F.col("_hot").isNull(), 0).otherwise(1 + F.pmod(F.xxhash64(spread), F.lit(1 << 20)).cast("int"))
     dealt = near.withColumn("_part", part)

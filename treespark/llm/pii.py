@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from treespark.llm.bits import bit_field, bit_of, maybe_among
-from treespark.llm.common import ascii_lower, attach, stored
+from treespark.llm.common import ascii_lower, attach, keyed, stored
 
 KINDS = ("email", "ip", "card", "phone")
 #: Words on each side of a mention; least mentions of a term near a kind; parts of information that count as disclosure.
@@ -144,8 +144,7 @@ def scan_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def scanned(docs: DataFrame) -> DataFrame:
-    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64("doc_id", "text").alias("key"), F.col("text").alias("text"))
-    return stored(rows.mapInArrow(scan_batches, SCHEMA))
+    return stored(keyed(docs).mapInArrow(scan_batches, SCHEMA))
 
 
 def disclosing(docs: DataFrame, scans: DataFrame, support: int = SUPPORT, threshold: float = GENERALISE) -> DataFrame:
@@ -213,21 +212,13 @@ def place_batches(batches: Iterator[pa.RecordBatch], field: list[int]) -> Iterat
             [pa.array(keys, pa.int64()), pa.array(terms, pa.string()), pa.array(places, pa.list_(place))], names=["key", "term", "places"])
 
 
-def find_pii(docs: DataFrame, support: int = SUPPORT, generalise: float = GENERALISE, remove: float = REMOVE) -> DataFrame:
-    """One row per row of ``docs``: counts and digest of the base spans, and all spans with those of disclosing terms.
-
-    Base spans are e-mail addresses, IP addresses, card and phone numbers, leftmost and non-overlapping per kind.
-    Spans are kind:start:end in code points, end exclusive, base kinds first; a term that discloses a kind is
-    ``email-term:…``, or ``email-drop:…`` if it is to be removed, at each of its places in the whole corpus but inside
-    mentions.
-    A null text counts as empty. Repeated rows give a row each, with the same spans. Places where a word is cut
-    by a mention are no words near it. An empty table gives no rows. Other columns are not read.
-    """
+def found_spans(docs: DataFrame, support: int = SUPPORT, generalise: float = GENERALISE, remove: float = REMOVE) -> DataFrame:
+    """``find_pii`` with the key of each document, a hash of id and text."""
     scans = scanned(docs)
     terms = disclosing(docs, scans, support, generalise)
     by_term = stored(terms.groupBy("term").agg(
         F.max("n_all").alias("n_all"), F.collect_list(F.struct("kind", "disclosure")).alias("kinds")))
-    rows = docs.select(F.xxhash64(F.col("doc_id").cast("bigint"), "text").alias("key"), F.col("text").alias("text")).where("text is not null")
+    rows = keyed(docs).select("key", "text").where("text is not null")
     places = rows.mapInArrow(partial(place_batches, field=bit_field(by_term, "term")), PLACES)
     found = attach(places, by_term, "term", "n_all", F.col("key"), "inner")
     hits = found.select("key", "kinds", F.explode("places").alias("p")).select("key", "p.start", "p.stop", F.explode("kinds").alias("k")).select(
@@ -241,7 +232,20 @@ def find_pii(docs: DataFrame, support: int = SUPPORT, generalise: float = GENERA
     placed = stored(grouped.select(F.col("key").alias("hit"), F.array_join(added, ",").alias("terms")))
     out = scans.join(placed, F.col("key") == F.col("hit"), "left")
     both = F.concat_ws(",", F.when(F.col("base") != "", F.col("base")), F.col("terms"))
-    return out.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", both.alias("spans"))
+    return out.select("doc_id", "key", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", both.alias("spans"))
+
+
+def find_pii(docs: DataFrame, support: int = SUPPORT, generalise: float = GENERALISE, remove: float = REMOVE) -> DataFrame:
+    """One row per row of ``docs``: counts and digest of the base spans, and all spans with those of disclosing terms.
+
+    Base spans are e-mail addresses, IP addresses, card and phone numbers, leftmost and non-overlapping per kind.
+    Spans are kind:start:end in code points, end exclusive, base kinds first; a term that discloses a kind is
+    ``email-term:…``, or ``email-drop:…`` if it is to be removed, at each of its places in the whole corpus but inside
+    mentions.
+    A null text counts as empty. Repeated rows give a row each, with the same spans. Places where a word is cut
+    by a mention are no words near it. An empty table gives no rows. Other columns are not read.
+    """
+    return found_spans(docs, support, generalise, remove).drop("key")
 
 
 def cleaned(text: str | None, spans: str) -> str | None:
@@ -261,9 +265,12 @@ def cleaned(text: str | None, spans: str) -> str | None:
 
 
 def sanitised(docs: DataFrame, **settings: float) -> DataFrame:
-    """``docs`` (doc_id, text) with spans and the cleaned text; rows that share an id must share the text."""
-    spans = find_pii(docs, **settings).select(F.col("doc_id").alias("_id"), "spans").dropDuplicates(["_id"])
-    joined = docs.select("doc_id", "text").join(spans, F.col("doc_id") == F.col("_id")).select("doc_id", "text", "spans")
+    """(doc_id, spans, text) of every row of ``docs``, the text cleaned.
+
+    Rows are told by id and text, so those that share an id have their own spans; a null id is an id like others.
+    """
+    spans = found_spans(docs, **settings).select(F.col("doc_id").alias("_id"), F.col("key").alias("_key"), "spans").dropDuplicates(["_id", "_key"])
+    joined = keyed(docs).join(spans, (F.col("key") == F.col("_key")) & F.col("doc_id").eqNullSafe(F.col("_id"))).select("doc_id", "text", "spans")
 
     def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from treespark.llm.bits import maybe_among
-from treespark.llm.common import attach, stored
+from treespark.llm.common import attach, keyed, stored
 
 RUN, LEAST_WORDS = 3, 12
 #: A sentence of more words is cut after some of them, chosen by their hash: one in CUT words from the third on, about
@@ -30,7 +30,7 @@ IS_SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
 NO_ID = -(2**63)
 RUNS = "doc_id bigint, key bigint, runs array<struct<at:int,till:int,hi:bigint,lo:bigint>>"
 CHANGED = (
-    "doc_id bigint, n_sentences bigint, n_removed bigint, spans string, first_doc_ids array<bigint>, text string")
+    "doc_id bigint, key bigint, n_sentences bigint, n_removed bigint, spans string, first_doc_ids array<bigint>, text string")
 
 
 def sentences(raw: bytes) -> list[tuple[int, int, bytes, int]]:
@@ -119,12 +119,12 @@ def run_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def change_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     names = [f.split()[0] for f in CHANGED.split(", ")]
-    types = [pa.int64()] * 3 + [pa.string(), pa.list_(pa.int64()), pa.string()]
+    types = [pa.int64()] * 4 + [pa.string(), pa.list_(pa.int64()), pa.string()]
     for batch in batches:
         rows = []
-        columns = [batch.column(n) for n in ("doc_id", "text", "places", "firsts")]
+        columns = [batch.column(n) for n in ("doc_id", "key", "text", "places", "firsts")]
         for i in range(batch.num_rows):
-            doc_id, text, places, firsts = [c[i].as_py() for c in columns]
+            doc_id, key, text, places, firsts = [c[i].as_py() for c in columns]
             raw = text.encode()
             n, n_gone, spans, kept, at = 0, 0, [], [], 0
             gone = {k for p in places for k in range(p["at"], p["till"])}
@@ -141,51 +141,59 @@ def change_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
             kept.append(raw[at:])
             points = lambda b: len(raw[:b].decode())
             told = ",".join(f"{points(s)}:{points(e)}" for s, e in spans)
-            rows.append((doc_id, n, n_gone, told, sorted(x for x in firsts if x is not None), b"".join(kept).decode()))
+            rows.append((doc_id, key, n, n_gone, told, sorted(x for x in firsts if x is not None), b"".join(kept).decode()))
         columns = zip(*rows) if rows else [[] for _ in types]
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=names)
 
 
 def repeated_runs(docs: DataFrame) -> DataFrame:
-    """(key, places, firsts): per document the stretches of runs that an earlier place has too, and whose those are."""
-    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64("doc_id", "text").alias("key"), F.col("text").alias("text"))
-    arrays = stored(rows.mapInArrow(run_batches, RUNS))
+    """(doc_id, key, places, firsts): per document the stretches of runs that an earlier place has too, and whose those are."""
+    arrays = stored(keyed(docs).mapInArrow(run_batches, RUNS))
     runs = arrays.select("doc_id", "key", F.explode("runs").alias("r")).select("doc_id", "key", "r.*")
     # Only hashes, counts and least ids move for all runs. A null id stands for the least there is.
     runs = runs.withColumn("doc_id", F.coalesce("doc_id", F.lit(NO_ID)))
     groups = stored(runs.groupBy("hi", "lo").agg(F.min("doc_id").alias("low"), F.count("*").alias("n")).where("n > 1").select(
         F.struct("hi", "lo").alias("run"), "low", "n"))
-    keyed = runs.select("doc_id", "key", "at", "till", F.struct("hi", "lo").alias("run"))
-    placed = stored(attach(keyed, groups, "run", "n", F.col("key"), "inner"))
+    told = runs.select("doc_id", "key", "at", "till", F.struct("hi", "lo").alias("run"))
+    placed = stored(attach(told, groups, "run", "n", F.col("key"), "inner"))
     # Places in later documents go. In the document with the least id the first place is left alone.
-    later = placed.where("doc_id > low").select("key", "at", "till", "low")
+    later = placed.where("doc_id > low").select("doc_id", "key", "at", "till", "low")
     place = F.struct("key", "at")
     firsts = stored(placed.where("doc_id = low").groupBy("run").agg(F.min(place).alias("first"), F.count("*").alias("own")).where("own > 1"))
     own = attach(placed.where("doc_id = low").drop("n"), firsts, "run", "own", F.col("key"), "inner").where(place != F.col("first"))
-    gone = later.unionByName(own.select("key", "at", "till", "low"))
-    return gone.groupBy("key").agg(
+    gone = later.unionByName(own.select("doc_id", "key", "at", "till", "low"))
+    return gone.groupBy("doc_id", "key").agg(
         F.collect_set(F.struct("at", "till")).alias("places"), F.collect_set(F.nullif("low", F.lit(NO_ID))).alias("firsts"))
 
 
+def changes(docs: DataFrame) -> DataFrame:
+    """``substring_dedup`` with the key of each document before it was changed."""
+    gone = stored(repeated_runs(docs))
+    few = keyed(docs).where(F.col("text").isNotNull() & maybe_among(gone, "key", F.col("key")))
+    told = few.withColumn("_id", F.coalesce("doc_id", F.lit(NO_ID))).join(
+        gone.withColumnRenamed("doc_id", "_id").hint("merge"), ["_id", "key"])
+    return told.select("doc_id", "key", "text", "places", "firsts").mapInArrow(change_batches, CHANGED)
+
+
 def substring_dedup(docs: DataFrame) -> DataFrame:
     """One row per row of ``docs`` that loses sentences: what goes, whose sentences it repeats, and the text that stays.
 
     Sentences end at . ! or ? before white space, or at a line end; long ones are cut by their words. They are equal if
     their words are, A-Z lowered. A run has ``RUN`` sentences and ``LEAST_WORDS`` words at least; a text of fewer than
     ``RUN`` sentences is one run. ``spans`` are start:end of removed stretches in code points, ``first_doc_ids`` the
-    documents in which their runs stand first: by id, then text, then position, so a repeat within a text
-    goes too. A document is told by id and text; rows that repeat both are one document, changed alike. A null id
+    documents in which their runs stand first: by id, then that hash, then position, so a repeat within a text
+    goes too. A document is told by its id and a hash of id and text; rows that repeat both are one document, changed alike. A null id
     comes first. Null and empty texts have no sentences. An empty table gives no rows.
     """
-    gone = stored(repeated_runs(docs))
-    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64("doc_id", "text").alias("key"), F.col("text").alias("text"))
-    few = rows.where(F.col("text").isNotNull() & maybe_among(gone, "key", F.col("key")))
-    told = few.join(gone.hint("merge"), "key").select("doc_id", "text", "places", "firsts")
-    return told.mapInArrow(change_batches, CHANGED)
+    return changes(docs).drop("key")
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
-    """``docs`` (doc_id, text) with the repeated sentences left out; ids must be distinct."""
-    changed = substring_dedup(docs).select(F.col("doc_id").alias("_id"), F.col("text").alias("_text"))
-    joined = docs.select("doc_id", "text").join(changed, F.col("doc_id") == F.col("_id"), "left")
-    return joined.select("doc_id", F.when(F.col("_id").isNull(), F.col("text")).otherwise(F.col("_text")).alias("text"))
+    """(doc_id, text) of every row of ``docs`` with the repeated sentences left out.
+
+    Rows that share an id but not the text are told apart, rows that repeat both change alike, a null id is an id like others.
+    """
+    changed = changes(docs).select(
+        F.coalesce("doc_id", F.lit(NO_ID)).alias("_id"), "key", F.lit(True).alias("_new"), F.col("text").alias("_text")).dropDuplicates(["_id", "key"])
+    joined = keyed(docs).withColumn("_id", F.coalesce("doc_id", F.lit(NO_ID))).join(changed, ["_id", "key"], "left")
+    return joined.select("doc_id", F.when(F.col("_new"), F.col("_text")).otherwise(F.col("text")).alias("text"))
