@@ -155,12 +155,14 @@ def repeated_runs(docs: DataFrame) -> DataFrame:
     groups = stored(runs.groupBy("hi", "lo").agg(F.min("doc_id").alias("low"), F.count("*").alias("n")).where("n > 1").select(
         F.struct("hi", "lo").alias("run"), "low", "n"))
     told = runs.select("doc_id", "key", "at", "till", F.struct("hi", "lo").alias("run"))
-    placed = stored(attach(told, groups, "run", "n", F.col("key"), "inner"))
+    # A place in a later document goes whatever its run is, so only the others keep it.
+    placed = stored(attach(told, groups, "run", "n", F.col("key"), "inner").select(
+        "doc_id", "key", "at", "till", "low", F.when(F.col("doc_id") == F.col("low"), F.col("run")).alias("run")))
     # Places in later documents go. In the document with the least id the first place is left alone.
     later = placed.where("doc_id > low").select("doc_id", "key", "at", "till", "low")
     place = F.struct("key", "at")
     firsts = stored(placed.where("doc_id = low").groupBy("run").agg(F.min(place).alias("first"), F.count("*").alias("own")).where("own > 1"))
-    own = attach(placed.where("doc_id = low").drop("n"), firsts, "run", "own", F.col("key"), "inner").where(place != F.col("first"))
+    own = attach(placed.where("doc_id = low"), firsts, "run", "own", F.col("key"), "inner").where(place != F.col("first"))
     gone = later.unionByName(own.select("doc_id", "key", "at", "till", "low"))
     return gone.groupBy("doc_id", "key").agg(
         F.collect_set(F.struct("at", "till")).alias("places"), F.collect_set(F.nullif("low", F.lit(NO_ID))).alias("firsts"))
