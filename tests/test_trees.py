@@ -4,9 +4,11 @@ import itertools
 import random
 from collections import Counter
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from treespark.functions import numbering, swaps
 from treespark.functions import trees as tree_functions
 from treespark.operators import attention, contrast, subword, trees
 
@@ -302,3 +304,24 @@ def test_expansion_faults_fail_the_job(spark):
     for number, fault in ((2, "cycle"), (3, "length")):
         with pytest.raises(Exception, match=f"sentence {number}: {fault}"):
             subword.sound(df.where(f"sent_id = {number}")).collect()
+
+
+def test_forests_of_a_batch():
+    """Many sentences numbered in one pass, however the batch is cut: null and empty ones, cycles and several roots."""
+    rng = random.Random(13)
+    heads = [None, [], [2, 1], [0, 0, 2, 1], *([0 if w == 1 else rng.randint(1, w - 1) for w in range(1, rng.randint(2, 40))] for _ in range(60))]
+    column = pa.array(heads, pa.list_(pa.int32()))
+    whole, kept = numbering.numbered(column), numbering.WORDS
+    numbering.WORDS = 7
+    try:
+        assert numbering.numbered(column).equals(whole)
+    finally:
+        numbering.WORDS = kept
+    for head, n in zip(heads[4:], whole.to_pylist()[4:]):
+        mine = [governed(head, w) for w in range(1, len(head) + 1)]
+        assert n["size"] == [len(m) for m in mine] and sorted(n["order"]) == [*range(1, len(head) + 1)]
+        assert all(set(n["order"][b : b + s]) == m for b, s, m in zip(n["begin"], n["size"], mine))
+    roots = pa.array([[] if not h else [1, 2] for h in heads], pa.list_(pa.int32()))
+    assert len(swaps.tree_sets(pa.array([str(k) for k in range(len(heads))]), column, roots, 1, 10, 42)) == len(heads)
+    assert len(numbering.numbered(column[:0])) == 0
+    assert numbering.eligible(column, 2, 10).to_pylist()[:3] == [[], [], []]
