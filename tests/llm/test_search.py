@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tests.compare import connect
-from treespark.llm import lexical, merkle, queries, vectors
+from treespark.llm import lexical, merkle, queries, topk, vectors
 from treespark.llm.merkle import Parent
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, leaf string, pos int, root string, tree string, path string"
@@ -234,3 +234,19 @@ def test_queries_read_whole_tables(spark):
     items = connect(sf).execute("SELECT item_id, text FROM benchmark").fetchall()
     assert sorted(map(tuple, queries.QUERIES["op12_lexical_search"](spark, sf).collect())) == plain_search(rows, items)
     assert queries.QUERIES["op13_embedding_dedup"](spark, sf).where(F.col("component_id") > F.col("vec_id")).count() == 0
+
+
+def test_copied_query_blocks_are_not_broadcast(spark, monkeypatch):
+    """Query blocks are copied for every slot, which no estimate of their table counts; several blocks may share a slot."""
+    monkeypatch.setattr(topk, "SLOTS", 2)
+    rng = random.Random(5)
+    rows = [(i, [rng.uniform(-1, 1) for _ in range(4)]) for i in range(60)]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<float>").repartition(7).cache()
+    asked = df.where("vec_id % 10 = 0")
+    found = topk.top_k(df, asked, 3)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "Broadcast" not in plan
+    whole = {r.vec_id: [math.floor(1024 * x) for x in r.embedding] for r in df.collect()}
+    for q in range(0, 60, 10):
+        best = sorted((-sum(a * b for a, b in zip(whole[q], v)), i) for i, v in whole.items() if i != q)[:3]
+        assert [(r.rank, -r.score, r.vec_id) for r in sorted(found.where(f"query_id = {q}").collect())] == [(k, s, i) for k, (s, i) in enumerate(best, 1)]

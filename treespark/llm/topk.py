@@ -21,6 +21,8 @@ from pyspark.sql.window import Window
 from treespark.llm.common import stored
 
 VECTORS, QUERIES, SCALE = 4096, 512, 1024
+#: Slots that blocks of vectors are dealt to, each block its own up to so many, and then so many blocks a slot.
+SLOTS, DEALT = 64, 8
 #: Parts of the lists after which bounds are compared, and how many times k vectors may be left to resolve.
 DEPTHS, LEFT = (0.25, 0.5, 0.75, 0.875, 1.0), 8
 BLOCK = "dim int, ids binary, parts binary"
@@ -120,19 +122,21 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     query with fewer candidates gets all of them, one without any has no row; empty tables give no rows. Components so
     large that a score could leave 64 bits (about a million times a million) raise an error.
 
-    Query blocks go to every block of vectors, which is the work itself; vectors move once. A block has a
-    bounded size, whatever ids or vectors repeat.
+    Query blocks go to every slot of up to ``DEALT`` blocks of vectors or so, by a merge: copied for the slots they are
+    larger than any estimate of them, so they are never broadcast. Vectors move once. A block has a bounded size,
+    whatever ids or vectors repeat.
     """
     columns = [F.col("vec_id").cast("bigint").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding")]
     blocks = stored(vectors.select(*columns).mapInArrow(partial(whole_components, rows=VECTORS), BLOCK))
     asked = queries.select(*columns).dropDuplicates()
     few = stored(asked.mapInArrow(partial(whole_components, rows=QUERIES), BLOCK))
-    slots = max(1, blocks.count())
+    number = blocks.count()
+    slots = max(1, min(number, SLOTS), number // DEALT)
     placed = blocks.withColumn("slot", F.pmod(F.xxhash64("ids"), F.lit(slots)))
     sent = few.select(
         F.col("dim").alias("q_dim"), F.col("ids").alias("q_ids"), F.col("parts").alias("q_parts"),
         F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(slots - 1).cast("bigint"))).alias("q_slot"))
-    pairs = placed.join(sent, (F.col("slot") == F.col("q_slot")) & (F.col("dim") == F.col("q_dim")))
+    pairs = placed.hint("merge").join(sent, (F.col("slot") == F.col("q_slot")) & (F.col("dim") == F.col("q_dim")))
     near = pairs.select("dim", "ids", "parts", "q_ids", "q_parts").mapInArrow(
         partial(best_batches, k=k), "query_id bigint, vec_id bigint, score bigint")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
