@@ -5,11 +5,13 @@ import random
 import unicodedata
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from treespark.functions import joins, prefix, text
 from treespark.operators import assemble, batching, metriclog, scoring, vocabulary
+from treespark.plans import derived
 
 
 def test_running_folds_with_one_hot_partition(spark):
@@ -247,3 +249,14 @@ def test_vocabulary_size_rule(spark):
     df = spark.createDataFrame([(478_376,), (59_137,), (14_457,)], "types bigint")
     got = [r.n for r in df.select(vocabulary.size_rule(F.col("types")).alias("n")).collect()]
     assert got == [8000 + max(0, int((t - 15000) * (6000 / 450000))) for t in (478_376, 59_137, 14_457)]
+
+
+def test_sentences_of_text_batches():
+    """Marks before a last line terminator end a sentence, as ``$`` has it in Java; long ones are cut every 24 words."""
+    texts = ["A b.  c!\r\n d  e,", None, "", "w " * 30 + "x.\u0085 \u00e9\U0001d11e."]
+    batch = pa.RecordBatch.from_arrays([pa.array([7, 8, 9, None]), pa.array(texts)], names=["doc_id", "text"])
+    rows = pa.Table.from_batches(derived._parsed_batches(iter([batch]))).to_pylist()
+    assert [(r["doc_id"], r["k"], len(r["tokens"])) for r in rows] == [(7, 0, 2), (7, 1, 1), (7, 2, 2), (None, 0, 24), (None, 1, 7), (None, 2, 1)]
+    assert [r["tokens"] for r in rows[:3]] == [["A", "b."], ["c!\r"], ["d", "e,"]]
+    assert rows[0]["head"] == [2, 0] and rows[0]["xpos"] == ["W1", "P"] and rows[0]["deprel"] == ["l1", "root"]
+    assert rows[5]["tokens"] == ["\u00e9\U0001d11e."] and rows[5]["xpos"] == ["P"]
