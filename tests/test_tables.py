@@ -260,3 +260,19 @@ def test_sentences_of_text_batches():
     assert [r["tokens"] for r in rows[:3]] == [["A", "b."], ["c!\r"], ["d", "e,"]]
     assert rows[0]["head"] == [2, 0] and rows[0]["xpos"] == ["W1", "P"] and rows[0]["deprel"] == ["l1", "root"]
     assert rows[5]["tokens"] == ["\u00e9\U0001d11e."] and rows[5]["xpos"] == ["P"]
+
+
+def test_rows_of_positions_are_merged(spark):
+    """Rows made from arrays are far more than the optimizer counts, so no side of their joins is broadcast."""
+    made = spark.range(2).select(F.col("id").alias("sent_id"), F.explode(F.sequence(F.lit(0), F.lit(2))).alias("pos"))
+    vecs = made.select("sent_id", "pos", F.array(F.col("pos") * 1.0, F.lit(3.0)).alias("vec"))
+    pooled = scoring.pool_rows(made.withColumn("word", F.lit(1)), vecs, "sent_id", "word")
+    missing = scoring.missing_positions(made.unionByName(made.select("sent_id", (F.col("pos") + 2).alias("pos"))), vecs)
+    keyed = made.withColumn("vec_id", F.col("pos") * 10)
+    table = spark.createDataFrame([(0, [5.0]), (10, [6.0])], "vec_id int, vec array<double>")
+    found = scoring.gather(made.where("pos = 1"), keyed, table)
+    for df in (pooled, missing, found):
+        assert "SortMergeJoin" in df._jdf.queryExecution().executedPlan().toString()
+    assert [r.vec for r in pooled.collect()] == [[1.0, 3.0]] * 2
+    assert sorted((r.sent_id, r.pos) for r in missing.collect()) == [(s, p) for s in (0, 1) for p in (3, 4)]
+    assert sorted((r.sent_id, r.pos, r.vec[0]) for r in found.collect()) == [(0, 1, 6.0), (1, 1, 6.0)]

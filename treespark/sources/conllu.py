@@ -21,8 +21,8 @@ def _words(block: Column) -> Column:
     """Structs of the fields used; an empty tag or head is null."""
     lines = F.filter(F.split(block, "\n"), lambda x: (F.length(F.trim(x)) > 0) & ~x.startswith("#"))
 
-    def word(line: Column) -> Column:
-        field = lambda name: F.get(F.split(line, "\t| {2,}"), F.lit(FIELDS[name]))
+    def word(parts: Column) -> Column:
+        field = lambda name: F.get(parts, F.lit(FIELDS[name]))
         return F.struct(
             field("id").alias("id"),
             field("form").alias("form"),
@@ -31,7 +31,7 @@ def _words(block: Column) -> Column:
             field("deprel").alias("deprel"),
         )
 
-    return F.transform(lines, word)
+    return F.transform(F.transform(lines, lambda x: F.split(x, "\t| {2,}")), word)
 
 
 def comment(block: Column, key: str) -> Column:
