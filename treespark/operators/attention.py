@@ -3,17 +3,18 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import partial
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from treespark.functions.arrays import computed, exploded, item, let, posexploded, upto
-from treespark.functions.trees import among, levels, off_tree, ranges, within_distance
+from treespark.functions.arrays import computed, item, let, posexploded, upto
+from treespark.functions.numbering import MEMBERS, cell_batches, reach_batches
+from treespark.functions.trees import within_distance
+from treespark.operators.trees import by_batches
 
 # What is added to an attention score.
 OPEN, CLOSED = 0.0, -1.0e6
-#: Sentences of at most so many words are walked in the row; the same cells come from ranges beyond.
-SHORT = 128
 
 
 @dataclass(frozen=True)
@@ -24,41 +25,13 @@ class RangeSettings:
     neighbours: tuple[int, ...] = (-1,)
 
 
-def _words(df: DataFrame, distance: int, short: int) -> DataFrame:
-    """(sent_id, last, levels, walked, id): a row per word.
-
-    ``walked`` has the reach of all words, where there are at most ``short`` or arcs form a circle; other sentences have levels.
-    """
-    none = F.array().cast("array<array<int>>")
-    walks = (F.size("head") <= short) | (F.size(off_tree(F.col("head"))) > 0)
-    known = computed(df.select("sent_id", "head"), walks=walks)
-    known = computed(
-        known, levels=F.when(~F.col("walks"), levels(F.col("head"))),
-        walked=F.when(F.col("walks"), within_distance(F.col("head"), distance)).otherwise(none))
-    return known.select("sent_id", F.size("head").alias("last"), "levels", "walked", F.explode(upto(F.size("head"))).alias("id"))
-
-
-def _with_reach(words: DataFrame, offsets: tuple[int, ...], distance: int) -> DataFrame:
-    """(sent_id, last, id, r0, r1, ..): the reach of the word at each offset; none outside the sentence or without an arc."""
-    none = F.array().cast("array<int>")
-    bounds = {f"b{k}": ranges(F.col("levels"), F.col("id") + o, distance) for k, o in enumerate(offsets)}
-    known = computed(words, **bounds)
-    found = known.select("sent_id", "last", "id", "walked", *[
-        among(F.col("levels")["ids"], F.col(f"b{k}"), distance).alias(f"r{k}") for k in range(len(offsets))])
-    kept = [
-        F.when(F.size("walked") > 0, F.coalesce(item(F.col("walked"), F.col("id") + o), none))
-        .when(F.size(f"r{k}") > 1, F.col(f"r{k}")).otherwise(none).alias(f"r{k}") for k, o in enumerate(offsets)]
-    return found.select("sent_id", "last", "id", *kept)
-
-
-def reach_rows(df: DataFrame, max_distance: int = 3, short: int = SHORT) -> DataFrame:
+def reach_rows(df: DataFrame, max_distance: int = 3, short: int = MEMBERS) -> DataFrame:
     """(sent_id, id, other): words within the tree distance of each other.
 
-    Beyond ``short`` words a row holds one word's reach at most, and that from a few ranges of the words by level, so long
-    sentences need no more memory than their words and the rows they give. The rows are the same either way.
+    Sentences are walked from all words of an Arrow batch at once, about ``short`` pairs at a time, or those of one word; the rows
+    are the same whatever it is.
     """
-    rows = _with_reach(_words(df, max_distance, short), (0,), max_distance)
-    return rows.select("sent_id", "id", exploded(F.col("r0")).alias("other"))
+    return by_batches(df, (), partial(reach_batches, distance=max_distance, most=short), "id int, other int")
 
 
 def open_positions(head: Column, settings: RangeSettings = RangeSettings()) -> Column:
@@ -81,15 +54,11 @@ def open_positions(head: Column, settings: RangeSettings = RangeSettings()) -> C
     )
 
 
-def attention_pairs(df: DataFrame, settings: RangeSettings = RangeSettings(), short: int = SHORT) -> DataFrame:
-    """(sent_id, i, j): the open cells of every sentence's mask, made word by word as in ``reach_rows``."""
-    offsets = (0, *settings.neighbours)
-    words = _with_reach(_words(df, settings.max_distance, short), offsets, settings.max_distance)
-    near = [F.array(F.lit(0), F.col("last") + 1), *[F.col(f"r{k}") for k in range(len(offsets))]]
-    rows = words.select("sent_id", F.col("id").alias("i"), F.array_distinct(F.concat(*near)).alias("js"))
-    first = df.select("sent_id", F.lit(0).alias("i"), F.sequence(F.lit(0), F.size("head") + 1).alias("js"))
-    cells = rows.unionByName(first)
-    return cells.select("sent_id", "i", exploded(F.col("js")).alias("j"))
+def attention_pairs(df: DataFrame, settings: RangeSettings = RangeSettings(), short: int = MEMBERS) -> DataFrame:
+    """(sent_id, i, j): the open cells of every sentence's mask, made as in ``reach_rows``."""
+    cells = partial(cell_batches, offsets=(0, *settings.neighbours), distance=settings.max_distance, most=short)
+    first = df.select("sent_id", F.lit(0).alias("i"), F.explode(F.sequence(F.lit(0), F.size("head") + 1)).alias("j"))
+    return by_batches(df, (), cells, "i int, j int").unionByName(first)
 
 
 def dense_mask(df: DataFrame, settings: RangeSettings = RangeSettings()) -> DataFrame:
