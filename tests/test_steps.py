@@ -6,8 +6,11 @@ from collections import Counter
 import numpy as np
 from pyspark.sql import functions as F
 
+from treespark import session
 from treespark.functions import numbering
-from treespark.operators import attention, trees
+from treespark.operators import attention, batching, scoring, trees
+from treespark.plans import derived
+from treespark.plans.catalogue import QUERIES
 
 
 def plan_of(df):
@@ -61,3 +64,49 @@ def test_bound_of_reach():
             number, place = a.reach(np.arange(n), distance)
             inside = np.bincount(number[place < n], minlength=n)
             assert (inside <= a.most(distance)).all()
+
+
+def test_rounds_behind_the_first_label_are_not_drawn(spark, monkeypatch):
+    late = lambda p, name, r, *keys, seed: F.when(r > 2, F.raise_error(F.lit("drawn in vain")).cast("boolean")).otherwise(r == 2)
+    monkeypatch.setattr(batching, "happens", late)
+    df = spark.createDataFrame([(1, "dev", [1, 7, 8]), (2, "dev", [9]), (3, "dev", [1])], "sent_id bigint, split string, input_ids array<int>")
+    out = batching.mask_tokens(batching.chunked(df, 2), 4, [0, 1, 2, 3, 4])
+    assert {r.sent_id: (r.mask_round, r.input_ids) for r in out.collect()} == {1: (2, [1, 4, 4]), 2: (2, [4]), 3: (0, [1])}
+
+
+def small(spark, tmp_path, texts):
+    """A data folder with these documents."""
+    rows = [(i, t, "en", "web", len(t)) for i, t in enumerate(texts)]
+    spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars int").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    return str(tmp_path)
+
+
+def exchanges(df):
+    """Exchanges of the plan before it is adapted; reading stored tables needs none."""
+    return plan_of(df).count("Exchange")
+
+
+def test_squares_of_sentences_are_not_moved(spark, tmp_path):
+    """Arcs and distributions grow with the square of a sentence; only sentences are moved, in parts of a bounded size."""
+    sf = small(spark, tmp_path, ["A b c. D e f g h", "", "One two", "x"])
+    for name in ("h19_heads_of_arcs", "j4_mean_heads", "j3_divergences"):
+        assert exchanges(QUERIES[name](spark, sf)) == 1, name
+    df = spark.range(40).select(F.col("id").alias("sent_id"), F.lit(3).alias("n"))
+    parts = session.dealt(df, "sent_id", F.col("n"), 2)
+    assert parts.rdd.getNumPartitions() == 60 and parts.count() == 40
+    groups = scoring.mean_heads(derived.attention_rows(spark.createDataFrame([(1, [2, 0])], "sent_id bigint, head array<int>")), "sent_id", "layer", "i")
+    assert groups.count() == 4
+
+
+def test_only_wanted_columns_are_stored(spark, tmp_path, monkeypatch):
+    sf = small(spark, tmp_path, ["Words in a row. More words in a row.", "words"])
+    full, narrow = derived.id_rows(spark, sf), derived.id_rows(spark, sf, "split")
+    assert narrow.columns == ["sent_id", "split", "input_ids"] and set(narrow.columns) < set(full.columns)
+    assert sorted(full.select(narrow.columns).collect()) == sorted(narrow.collect())
+    seen = []
+    ranked = batching.ranked
+    monkeypatch.setattr(batching, "ranked", lambda df, *rest: seen.append(df.columns) or ranked(df, *rest))
+    for name in ("h13_masked_tokens", "h14_masked_80_10_10"):
+        QUERIES[name](spark, sf)
+    QUERIES["h15_padded_batches"](spark, sf)
+    assert seen == [["sent_id", "split", "input_ids"]] * 2 + [["sent_id", "split", "head", "input_ids"]]
