@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 
 from treespark import session
 from treespark.functions import numbering
-from treespark.operators import attention, batching, scoring, trees
+from treespark.llm import substrings
+from treespark.operators import assemble, attention, batching, scoring, trees
 from treespark.plans import derived
 from treespark.plans.catalogue import QUERIES
 
@@ -110,3 +111,26 @@ def test_only_wanted_columns_are_stored(spark, tmp_path, monkeypatch):
         QUERIES[name](spark, sf)
     QUERIES["h15_padded_batches"](spark, sf)
     assert seen == [["sent_id", "split", "input_ids"]] * 2 + [["sent_id", "split", "head", "input_ids"]]
+
+
+def test_few_labels_are_coded_in_the_row(spark, monkeypatch):
+    rows = [(1, ["a", None, "b"], ["b"]), (2, ["b", "a"], []), (None, ["a"], ["a"]), (3, None, ["b"])]
+    df = spark.createDataFrame(rows, "sent_id bigint, x array<string>, y array<string>")
+    codes = spark.createDataFrame([("f", "a", 0), ("f", "b", 1), ("g", "b", 5), ("g", "a", 6)], "field string, label string, code int")
+    few = assemble.encode_labels(df, codes, {"x": "f", "y": "g"})
+    assert exchanges(few) == 0
+    monkeypatch.setattr(assemble, "FEW_LABELS", 3)
+    many = assemble.encode_labels(df, codes, {"x": "f", "y": "g"})
+    assert few.schema == many.schema and exchanges(many) > 0
+    assert sorted(map(str, few.collect())) == sorted(map(str, many.collect()))
+
+
+def test_places_of_runs_move_as_one_number(spark, monkeypatch):
+    moved = []
+    attach = substrings.attach
+    monkeypatch.setattr(substrings, "attach", lambda left, *rest: moved.append(left.columns) or attach(left, *rest))
+    text = "One two three four five. Six seven eight nine ten. Eleven twelve thirteen fourteen. "
+    docs = spark.createDataFrame([(1, text), (2, "New. " + text)], "doc_id bigint, text string")
+    out = substrings.repeated_runs(docs).collect()
+    assert moved[0] == ["doc_id", "key", "place", "run"]
+    assert [(r.doc_id, sorted((p["at"], p["till"]) for p in r.places), r.firsts) for r in out] == [(2, [(1, 4)], [1])]

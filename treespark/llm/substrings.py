@@ -154,10 +154,15 @@ def repeated_runs(docs: DataFrame) -> DataFrame:
     runs = runs.withColumn("doc_id", F.coalesce("doc_id", F.lit(NO_ID)))
     groups = stored(runs.groupBy("hi", "lo").agg(F.min("doc_id").alias("low"), F.count("*").alias("n")).where("n > 1").select(
         F.struct("hi", "lo").alias("run"), "low", "n"))
-    told = runs.select("doc_id", "key", "at", "till", F.struct("hi", "lo").alias("run"))
+    # A run has at most LEAST_WORDS sentences, so its place and length move as one small number.
+    width = LEAST_WORDS + 1
+    place = F.col("at").cast("bigint") * width + F.col("till") - F.col("at")
+    told = runs.select("doc_id", "key", place.alias("place"), F.struct("hi", "lo").alias("run"))
+    at = F.expr(f"cast(place div {width} as int)")
+    till = F.expr(f"cast(place div {width} + place % {width} as int)")
     # A place in a later document goes whatever its run is, so only the others keep it.
     placed = stored(attach(told, groups, "run", "n", F.col("key"), "inner").select(
-        "doc_id", "key", "at", "till", "low", F.when(F.col("doc_id") == F.col("low"), F.col("run")).alias("run")))
+        "doc_id", "key", at.alias("at"), till.alias("till"), "low", F.when(F.col("doc_id") == F.col("low"), F.col("run")).alias("run")))
     # Places in later documents go. In the document with the least id the first place is left alone.
     later = placed.where("doc_id > low").select("doc_id", "key", "at", "till", "low")
     place = F.struct("key", "at")
