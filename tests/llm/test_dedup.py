@@ -193,6 +193,67 @@ def test_large_group_of_mixed_copies(docs):
     assert kept == set(group) and 1 < len(kept) < 15
 
 
+def groups_by_brute_force(texts):
+    """The smallest id that links of near copies reach, for (id, text) pairs; an id of several texts is one document."""
+    grams = [(i, {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if (w := (t or "").lower().split()) else set()) for i, t in texts]
+    top = {i: i for i, _ in grams}
+
+    def reach(i):
+        while top[i] != i:
+            i = top[i]
+        return i
+
+    for n, (i, x) in enumerate(grams):
+        for j, y in grams[:n]:
+            if 5 * len(x & y) >= 4 * len(x | y):
+                a, b = sorted((reach(i), reach(j)))
+                top[b] = a
+    return {i: reach(i) for i in top}
+
+
+def versions(rng, base, n, most):
+    """Versions of a text: words replaced by new ones, by common ones, or left out."""
+    out = []
+    for _ in range(n):
+        copy = list(base)
+        for at in rng.sample(range(len(base)), rng.randint(0, most)):
+            copy[at] = rng.choice([f"x{rng.randrange(10**7)}", f"x{rng.randrange(10**7)}", "common", ""])
+        out.append(" ".join(copy))
+    return out
+
+
+@pytest.mark.parametrize("main", [0, 7, 151, 300])
+def test_left_links_are_those_of_all_pairs(docs, spark, main):
+    """Two texts' versions in one group around any of its texts, none of which is in a component yet."""
+    rng = random.Random(31)
+    base = [f"w{i}" for i in range(120)]
+    other = base[:100] + [f"v{i}" for i in range(20)]
+    rows = list(enumerate(versions(rng, base, 150, 9) + versions(rng, other, 150, 9)))
+    rows += [(300, "alone"), (301, ""), (302, None), (303, "w1 w2"), (304, " ".join(base)), (304, "w1 w2"), (304, "")]
+    groups = spark.createDataFrame([(main, i, i, 305) for i in range(305)], "main long, doc_id long, c long, n long")
+    got = {r.v: r.component for r in common.components(simhash.left_links(docs(*rows), groups)).collect()}
+    want = groups_by_brute_force(rows)
+    assert {i: got.get(i, i) for i in want} == want and 20 < len(set(want.values())) < 280
+
+
+def test_versions_far_from_each_other_are_not_paired(docs, monkeypatch):
+    """Versions that meet in large buckets, half of them near no other: pairs counted out stay linear in the group."""
+    rng = random.Random(32)
+    base = [f"w{i}" for i in range(150)]
+    rows = list(enumerate(" ".join(f"x{rng.randrange(10**7)}" if i in at else w for i, w in enumerate(base)) for at in (
+        set(rng.sample(range(150), rng.randint(0, 7))) for _ in range(700))))
+    counted = []
+
+    def counting(docs, pairs, count=simhash.alike):
+        counted.append(pairs.where("a <> b").select(F.least("a", "b"), F.greatest("a", "b")).distinct().count())
+        return count(docs, pairs)
+
+    monkeypatch.setattr(simhash, "alike", counting)
+    kept = {r.doc_id for r in simhash.without_near_copies(docs(*rows), seeds=tuple(range(42, 50))).collect()}
+    assert kept == set(groups_by_brute_force(rows).values()) and 250 < len(kept) < 500
+    assert sum(counted) < 60 * len(rows) and counted[-1] < len(rows)
+
+
 def plain_substrings(rows):
     """What substring_dedup returns, by a dictionary of all runs."""
     rows = sorted(set(rows), key=lambda r: r[0])

@@ -26,7 +26,7 @@ PAIRED = 32
 WIDE, TABLES, LEAST = 5, 16, 4
 #: Documents of a large bucket that are compared with each other, about.
 DEALT = 8
-#: Turns of dealing at most before what is left in a large bucket is compared in full; members of a part of that.
+#: Turns of dealing before the links left in large buckets are sought by differences; holders of one in a part of that.
 TURNS, LEFT = 3, 256
 #: Hashes up to which bits are counted one by one.
 FEW = 4096
@@ -220,28 +220,29 @@ def near_dedup(docs: DataFrame, shingle: int = 3, seeds: tuple[int, ...] = (42,)
         "doc_id", F.lpad(F.lower(F.hex("first")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def grams_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """(doc_id, grams), stored: the distinct five-word shingles of every row of ``docs`` whose id is a ``_id`` of ``ids``."""
+    texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").alias("text")).join(
+        ids.distinct().hint("merge"), F.col("doc_id") == F.col("_id"), "left_semi")
+    return stored(texts.mapInArrow(shingle_batches, "doc_id bigint, grams array<bigint>"))
+
+
 def alike(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     """The pairs (a, b) of ids whose texts share at least 0.8 of their five-word shingles, counted over the whole texts.
 
     Two texts without words are alike. Of an id with several texts, one has to be alike.
     """
     once = stored(pairs.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-    held = once.select(F.col("a").alias("_id")).unionByName(once.select(F.col("b").alias("_id"))).distinct()
-    texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").alias("text")).join(
-        held.hint("merge"), F.col("doc_id") == F.col("_id"), "left_semi")
-    grams = stored(texts.mapInArrow(shingle_batches, "doc_id bigint, grams array<bigint>"))
+    grams = grams_of(docs, once.select(F.col("a").alias("_id")).unionByName(once.select(F.col("b").alias("_id"))))
     side = lambda n: grams.select(F.col("doc_id").alias(n), F.col("grams").alias(f"g{n}"), F.size("grams").alias(f"n{n}")).hint("merge")
     both = once.join(side("a"), "a").join(side("b"), "b").where("5 * least(na, nb) >= 4 * greatest(na, nb)")
     shared = F.size(F.array_intersect("ga", "gb"))
     return stored(both.where(5 * shared >= 4 * (F.col("na") + F.col("nb") - shared)).select("a", "b").distinct())
 
 
-def dealt_pairs(members: DataFrame, reach: DataFrame, turn: int) -> DataFrame:
-    """(a, b): pairs of members of a bucket that are in different components. Buckets of over ``PAIRED`` documents are dealt
-    into parts of about ``DEALT``, other parts in every turn, so that pairs stay linear in the size of a group."""
-    part = F.when(F.col("size") > PAIRED, F.pmod(F.xxhash64("doc_id", "key", F.lit(turn)), F.ceil(F.col("size") / DEALT))).otherwise(0)
-    placed = named(members, reach).select(F.xxhash64("key", part).alias("part"), "c", "doc_id")
-    apart = placed.groupBy("part").agg(F.sort_array(F.collect_set(F.struct("c", "doc_id"))).alias("m")).where(
+def pairs_apart(placed: DataFrame, part: str) -> DataFrame:
+    """(a, b): every pair of documents of one ``part`` that are in different components ``c``; for parts of bounded size."""
+    apart = placed.groupBy(part).agg(F.sort_array(F.collect_set(F.struct("c", "doc_id"))).alias("m")).where(
         F.col("m")[0]["c"] < F.element_at("m", -1)["c"])
     pairs = F.flatten(F.transform("m", lambda x, i: F.transform(
         F.filter(F.slice("m", i + 2, F.size("m")), lambda y: x["c"] < y["c"]),
@@ -255,34 +256,85 @@ def named(members: DataFrame, reach: DataFrame) -> DataFrame:
     return members.join(known, F.col("doc_id") == F.col("_v"), "left").select("key", "size", F.coalesce("component", "doc_id").alias("c"), "doc_id")
 
 
-def left_pairs(members: DataFrame, reach: DataFrame) -> DataFrame:
-    """(a, b): every pair of a bucket's members in different components, of large buckets too.
+def left_groups(members: DataFrame, reach: DataFrame) -> DataFrame:
+    """(main, doc_id, c, n), stored: the members of buckets of over ``PAIRED`` documents that are still in several components.
 
-    Members outside the bucket's largest component meet all its members; two members of the largest are in one
-    component already. Both sides are dealt into parts, so a large bucket is spread.
+    ``main`` is the largest component of the bucket, so buckets around one text are one group; ``n`` counts the group.
     """
     placed = stored(named(members.where(F.col("size") > PAIRED), reach))
     counts = placed.groupBy("key", "c").agg(F.count("*").alias("n"))
     mixed = stored(counts.groupBy("key").agg(
         F.max(F.struct("n", "c"))["c"].alias("main"), F.sum("n").alias("total"), F.count("*").alias("several")).where("several > 1").select(
             "key", "main", "total"))
-    rows = stored(attach(placed, mixed, "key", "total", F.col("doc_id"), "inner"))
-    parts = F.ceil(F.col("size") / LEFT).cast("int")
-    ones = rows.where("c <> main").select(
-        "key", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"), F.col("doc_id").alias("a"), F.col("c").alias("ca"))
-    others = rows.select(
-        "key", F.pmod(F.xxhash64("doc_id"), parts.cast("bigint")).cast("int").alias("part"), F.col("doc_id").alias("b"), F.col("c").alias("cb"))
-    return ones.join(others.hint("merge"), ["key", "part"]).where("ca <> cb").select("a", "b")
+    rows = stored(attach(placed, mixed, "key", "total", F.col("doc_id"), "inner").select("main", "doc_id", "c").distinct())
+    return stored(attach(rows, stored(rows.groupBy("main").agg(F.count("*").alias("n"))), "main", "n", F.col("doc_id"), "inner"))
+
+
+def dealt_pairs(groups: DataFrame, turn: int) -> DataFrame:
+    """(a, b): pairs of a group that are in different components, dealt into parts of about ``DEALT``, other parts in every turn."""
+    part = F.pmod(F.xxhash64("doc_id", "main", F.lit(turn)), F.ceil(F.col("n") / DEALT))
+    return pairs_apart(groups.select(F.xxhash64("main", part).alias("part"), "c", "doc_id"), "part")
+
+
+def left_links(docs: DataFrame, groups: DataFrame) -> DataFrame:
+    """(a, b): the links that a group's documents in different components have, of all their pairs.
+
+    A group's texts are told by their differences: the shingles that a text has and one text of the main component, the
+    pivot, has not, or the other way round. For d differences of a text of n shingles let w be 9 d - n. A text is alike with the
+    pivot exactly if w is at most the pivot's shingles, and two texts with k differences in common are alike exactly if
+    18 k >= w + w'. The smallest w is minus the pivot's shingles, so of two alike texts in different components, of which one at
+    least is not alike with the pivot, k is 1 or more. The rarest of the k has k - 1 commoner ones after it in both
+    texts: only texts that share a difference with so many behind it are paired, and counted by ``alike``. What edits of
+    their own add is in no other text and pairs nothing, so that versions of a text far from each other are not compared.
+    """
+    grams = grams_of(docs, groups.select(F.col("doc_id").alias("_id")).unionByName(groups.select(F.col("main").alias("_id"))))
+    mains = groups.groupBy("main").agg(F.max("n").alias("n"))
+    pivots = stored(mains.join(grams.withColumnRenamed("doc_id", "main").hint("merge"), "main").groupBy("main", "n").agg(F.min("grams").alias("pivot")))
+    texts = groups.select("main", "doc_id", "c").join(grams.hint("merge"), "doc_id")
+    differences = F.concat(F.array_except("grams", "pivot"), F.array_except("pivot", "grams"))
+    told = attach(texts, pivots, "main", "n", F.col("doc_id"), "inner").select(
+        "main", "doc_id", "c", F.xxhash64("grams").alias("text"), F.size("grams").alias("own"), F.size("pivot").alias("of_pivot"), differences.alias("d"))
+    w = 9 * F.size("d") - F.col("own")
+    sides = stored(told.select("main", "doc_id", "c", "text", w.alias("w"), (w <= F.col("of_pivot")).alias("by_pivot"), "d"))
+    outside = ~F.col("by_pivot") & (F.col("c") != F.col("main"))
+    single = sides.select("main", "doc_id", "c", "text", "w", outside.alias("out"), F.explode("d").alias("gram")).select(
+        F.xxhash64("main", "gram").alias("difference"), "main", "doc_id", "c", "text", "w", "out")
+    counts = stored(single.groupBy("difference").agg(
+        F.count("*").alias("held"), F.min(F.when(F.col("out"), F.col("w"))).alias("w_out"), F.min("w").alias("w_any")).where("held > 1 and w_out is not null"))
+    shared = attach(single, counts, "difference", "held", F.col("doc_id"), "inner")
+    rows = stored(shared.groupBy("main", "doc_id", "c", "text", "w", "out").agg(
+        F.sort_array(F.collect_list(F.struct("held", "difference", "w_out", "w_any")), asc=False).alias("m")))
+
+    def reaching(of: DataFrame, least: str) -> DataFrame:
+        behind = F.filter(F.transform("m", lambda x, i: F.struct((i + 1).alias("k"), *[x[c].alias(c) for c in ("held", "difference", least)])),
+                          lambda x: 18 * x["k"] >= F.col("w") + x[least])
+        return of.select("doc_id", "c", "w", F.explode(behind).alias("x")).select(
+            F.col("x.difference").alias("difference"), F.ceil(F.col("x.held") / LEFT).cast("int").alias("parts"), "doc_id", "c", "w", F.col("x.k").alias("k"))
+
+    ones = reaching(rows.where("out"), "w_any").select(
+        "difference", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"),
+        F.col("doc_id").alias("a"), F.col("c").alias("ca"), F.col("w").alias("wa"), F.col("k").alias("ka"))
+    others = reaching(rows, "w_out").select(
+        "difference", F.pmod(F.xxhash64("doc_id"), F.col("parts").cast("bigint")).cast("int").alias("part"),
+        F.col("doc_id").alias("b"), F.col("c").alias("cb"), F.col("w").alias("wb"), F.col("k").alias("kb"))
+    met = ones.join(others.hint("merge"), ["difference", "part"]).where("ca <> cb and 18 * least(ka, kb) >= wa + wb").select("a", "b")
+    near = sides.where(F.col("by_pivot") & (F.col("c") != F.col("main"))).select(F.col("main").alias("a"), F.col("doc_id").alias("b"))
+    return near.unionByName(alike(docs, met))
+
+
+def tree_of(reach: DataFrame) -> DataFrame:
+    """(a, b): links that make the components of ``reach``."""
+    return reach.where("v <> component").select(F.col("v").alias("a"), F.col("component").alias("b"))
 
 
 def near_links(docs: DataFrame, seeds: tuple[int, ...]) -> DataFrame:
     """(a, b): links between ids of near copies, each of them counted out by ``alike``; they connect all that meet.
 
     Candidates meet in a fingerprint of the set of words, at two bits in some seed, or in a table of least shingle
-    hashes. First each document is compared with one of its bucket, chosen anew per bucket; then the pairs of
-    buckets that are still in different components, large buckets dealt into small parts, until a turn finds nothing. What
-    large buckets then hold in different components is compared in full: no pair that meets in a table stays
-    uncompared unless it is in one component already.
+    hashes. First each document is compared with one of its bucket, chosen anew per bucket; then all pairs of buckets of up to
+    ``PAIRED`` that are still in different components. Larger buckets are dealt into small parts for some turns, and of what they then
+    hold in different components ``left_links`` finds every link: no pair that meets in a table is left out unless it is in one
+    component already or has been told not to be alike.
     """
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").alias("text")).where("doc_id is not null")
     seen = stored(rows.mapInArrow(partial(near_batches, seeds=seeds), "doc_id bigint, prints array<bigint>, keys array<bigint>"))
@@ -295,18 +347,17 @@ def near_links(docs: DataFrame, seeds: tuple[int, ...]) -> DataFrame:
             "key", F.col("low.doc_id").alias("leader"), "size"))
     members = stored(attach(keyed, buckets, "key", "size", F.col("doc_id"), "inner"))
     found = alike(docs, close.unionByName(members.select(F.col("leader").alias("a"), F.col("doc_id").alias("b"))))
-    turn = 0
-    while True:
-        turn += 1
+    reach = components(found)
+    small = named(members.where(F.col("size") <= PAIRED), reach)
+    found = tree_of(reach).unionByName(alike(docs, pairs_apart(small, "key")))
+    for turn in range(TURNS + 1):
         reach = components(found)
-        tree = reach.where("v <> component").select(F.col("v").alias("a"), F.col("component").alias("b"))
-        more = alike(docs, dealt_pairs(members, reach, turn))
-        found = stored(tree.unionByName(more))
-        if turn > 1 and more.isEmpty() or not turn % TURNS:
+        groups = left_groups(members, reach)
+        if groups.isEmpty():
             break
-    reach = components(found)
-    tree = reach.where("v <> component").select(F.col("v").alias("a"), F.col("component").alias("b"))
-    return tree.unionByName(alike(docs, left_pairs(members, reach)))
+        more = alike(docs, dealt_pairs(groups, turn)) if turn < TURNS else left_links(docs, groups)
+        found = tree_of(reach).unionByName(more)
+    return found
 
 
 def without_near_copies(docs: DataFrame, seeds: tuple[int, ...]) -> DataFrame:
