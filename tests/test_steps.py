@@ -1,13 +1,15 @@
 """Steps that store, move or compute little: the same rows, and how they are made."""
 
 import random
+import re
 from collections import Counter
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from treespark import session
-from treespark.functions import numbering
+from treespark.functions import lookup, numbering
 from treespark.llm import substrings
 from treespark.operators import assemble, attention, batching, scoring, trees
 from treespark.plans import derived
@@ -134,3 +136,76 @@ def test_places_of_runs_move_as_one_number(spark, monkeypatch):
     out = substrings.repeated_runs(docs).collect()
     assert moved[0] == ["doc_id", "key", "place", "run"]
     assert [(r.doc_id, sorted((p["at"], p["till"]) for p in r.places), r.firsts) for r in out] == [(2, [(1, 4)], [1])]
+
+
+def plain_pooled(rows, vecs):
+    """(sent_id, word) -> mean vector of (sent_id, word, pos) rows, by a plain loop."""
+    out = {}
+    for s, w, p in rows:
+        out.setdefault((s, w), []).extend(v for a, q, v in vecs if (a, q) == (s, p))
+    return {k: np.mean(vs, axis=0).tolist() for k, vs in out.items() if vs}
+
+
+def test_vectors_are_looked_up_and_not_moved(spark):
+    """Keys of the vectors move; what is known is pooled and scored as vectors that are joined are."""
+    table = spark.createDataFrame([(10 * i, [float(i), float(i % 3), 1.0]) for i in range(1, 9)], "vec_id bigint, vec array<float>")
+    held = lookup.held(table, "vec_id")
+    assert held.dim == 3 and lookup.held(table, "vec_id", most=95) is None
+    for bad in ([(10, [1.0, 1.0, 1.0])], [(None, [1.0, 1.0, 1.0])], [(5, None)], [(5, [1.0, None, 1.0])], [(5, [1.0])]):
+        assert lookup.held(table.unionByName(spark.createDataFrame(bad, table.schema)), "vec_id") is None
+    rows = [(1, 1, 0), (1, 1, 1), (1, 2, 3), (1, 2, None), (2, 1, 0), (2, 1, 0), (2, None, 1), (2, 3, 9), (3, 1, 0)]
+    keyed = [(1, 0, 10), (1, 1, 20), (1, 1, 30), (1, 2, 40), (1, 3, 99), (2, 0, 50), (2, 1, 60), (2, 1, None), (4, 0, 10)]
+    vec = {r.vec_id: r.vec for r in table.collect()}
+    span_rows = spark.createDataFrame(rows, "sent_id bigint, word int, pos int")
+    pooled = scoring.pool_rows(span_rows, spark.createDataFrame(keyed, "sent_id bigint, pos int, vec_id bigint"), "sent_id", "word", table=held)
+    want = plain_pooled(rows, [(s, p, vec[k]) for s, p, k in keyed if k in vec])
+    assert {(r.sent_id, r.word): r.vec for r in pooled.collect()} == {k: pytest.approx(v) for k, v in want.items()}
+    spans = [(0, 0), (0, 1), (1, 9), (3, 5)]
+    df = spark.createDataFrame([(1, [10, 20, 99, None, 30], spans), (2, [99], spans), (3, [10 * (i % 8 + 1) for i in range(40)], [(0, 39), (5, 20)])],
+                               "sent_id bigint, keys array<bigint>, spans array<struct<b:int,e:int>>")
+    got = {r.sent_id: r.p for r in scoring.pool_spans_by_key(df, "keys", "spans", held, "p").collect()}
+    vecs = df.select("sent_id", "spans", F.explode("keys").alias("vec_id")).join(table, "vec_id")
+    known = {1: [vec[10], vec[20], vec[30]], 3: [vec[10 * (i % 8 + 1)] for i in range(40)]}
+    joined = spark.createDataFrame([(s, known[s], spans if s == 1 else [(0, 39), (5, 20)]) for s in known], "sent_id bigint, v array<array<double>>, spans array<struct<b:int,e:int>>")
+    plain = {r.sent_id: r.p for r in joined.select("sent_id", scoring.pool_spans(F.col("v"), F.col("spans")).alias("p")).collect()}
+    assert set(got) == {1, 3} == {r.sent_id for r in vecs.where("sent_id <> 2").collect()}
+    assert all(got[s][i] == pytest.approx(plain[s][i]) for s in got for i in range(len(plain[s])))
+
+
+def test_similarities_of_keys_and_of_vectors_agree(spark):
+    rng = np.random.default_rng(3)
+    vecs = rng.normal(size=(90, 4)).tolist()
+    table = spark.createDataFrame([(i, v) for i, v in enumerate(vecs)], "vec_id bigint, vec array<double>")
+    rows = []
+    for s, n in enumerate((3, 3, 70, 5, 40)):
+        tree = lambda: {int(i): 1 for i in rng.choice(n, rng.integers(1, n), replace=False)}  # noqa: E731, B023
+        rows.append((s, [int(k) for k in rng.integers(0, 90, n)], [(int(rng.integers(0, n)), tree(), [tree(), {}, tree()]) for _ in range(s)]))
+    sets = "array<struct<root_id:int,positive:map<int,int>,negatives:array<map<int,int>>>>"
+    keyed = spark.createDataFrame(rows, f"sent_id bigint, vecs array<bigint>, tree_sets {sets}")
+    joined = spark.createDataFrame([(s, [vecs[k] for k in ks], t) for s, ks, t in rows], f"sent_id bigint, vecs array<array<double>>, tree_sets {sets}")
+    sorted_ = lambda df: sorted((r.sent_id, r.root_id, r.positive, *r.negatives) for r in df.collect())
+    held = lookup.held(table, "vec_id")
+    for root in (False, True):
+        short = sorted_(scoring.tree_similarities(joined, "vecs", root))
+        assert len(short) == 10
+        assert sorted_(scoring.tree_similarities(keyed, "vecs", root, held)) == [pytest.approx(x) for x in short]
+    x, ids = np.array(vecs), np.array([0, 1, 2, 5, 7, 7, 3])
+    own, lengths = np.array([0, 0, 0, 1]), np.array([3, 0, 2, 2])
+    roots = np.array([1, 2, 3, 4])
+    plain = scoring._segment_cosines(x, ids + np.repeat(np.array([0, 0, 0, 10]), lengths), lengths, roots + np.array([0, 0, 0, 10]))
+    assert scoring._cosines(x, np.array([10, 80]), own, roots, ids, lengths) == pytest.approx(plain)
+
+
+def test_vectors_of_sentences_are_never_exchanged(spark, tmp_path):
+    """Only keys or counts move by sentence: no exchange carries a vector, and the best negatives are found where the sets are."""
+    sf = small(spark, tmp_path, ["A bc def. Ghij klm no pqrs tuv wx yz. A b c d e f g h i j", "", "One two", "x"])
+    rows = [(i, [float(i), 1.0, float(-i)]) for i in range(7)]
+    spark.createDataFrame(rows, "vec_id bigint, embedding array<float>").coalesce(1).write.parquet(f"{sf}/embeddings.parquet")
+    # No hash exchange but those that deal documents and sentences, the last groups and the best negatives.
+    moved = lambda plan: [x for x in re.findall(r"Exchange (hashpartitioning\(\w+).*?, ENSURE_REQUIREMENTS", plan)]
+    for name, count in {"d9_pooled_rows": 0, "d9_pooled_spans": 1, "j1_tree_similarities": 0, "j2_tree_loss": 1, "g3_top_negatives": 1}.items():
+        plan = plan_of(QUERIES[name](spark, sf))
+        assert len(moved(plan)) == count and "embedding#" not in plan, name
+        assert plan.count("_sets(") <= 1, name
+    for name in ("j5_tree_loss_last_layer", "j5_tree_loss_all_layers"):
+        assert QUERIES[name](spark, sf).count() > 0
