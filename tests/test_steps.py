@@ -209,3 +209,88 @@ def test_vectors_of_sentences_are_never_exchanged(spark, tmp_path):
         assert plan.count("_sets(") <= 1, name
     for name in ("j5_tree_loss_last_layer", "j5_tree_loss_all_layers"):
         assert QUERIES[name](spark, sf).count() > 0
+
+
+def plain_packed(rows, include_root):
+    """(masks and indexes) of (split, batch, tree sets) rows, padded one by one."""
+    keep = lambda s, t: ([s[0]] if include_root else []) + [k for k in t if k != s[0]]
+    listed = [(b, [([s[0]], keep(s, sorted(s[1])), [keep(s, sorted(t)) for t in s[2]]) for s in sets or []]) for b, sets in rows]
+    out = []
+    for batch, sets in listed:
+        same = [x for b, xs in listed if b == batch for x in xs]
+        n = max(len(xs) for b, xs in listed if b == batch)
+        n_pos, n_negs = max((len(x[1]) for x in same), default=0), max((len(x[2]) for x in same), default=0)
+        n_ids = max((len(t) for x in same for t in x[2]), default=0)
+        fill = lambda xs, k, pad: xs + [pad] * (k - len(xs))
+        roots = fill([x[0][0] for x in sets], n, -1)
+        pos = fill([fill(x[1], n_pos, -1) for x in sets], n, [-1] * n_pos)
+        neg = fill([fill([fill(t, n_ids, -1) for t in x[2]], n_negs, [-1] * n_ids) for x in sets], n, [[-1] * n_ids] * n_negs)
+        deep = lambda f, xs: [deep(f, x) for x in xs] if isinstance(xs, list) else f(xs)  # noqa: E731, B023
+        out.append([deep(f, xs) for f in (lambda x: x != -1, lambda x: max(x, 0)) for xs in (roots, pos, neg)])
+    return out
+
+
+def test_trees_are_packed_where_they_are(spark, tmp_path, monkeypatch):
+    """Only shapes are moved by batch; arrays are those of a plain loop, whether the rows have the shapes or not."""
+    rng = random.Random(5)
+    tree = lambda: {k: 1 for k in rng.sample(range(1, 9), rng.randint(1, 6))}
+    sets = lambda: [(rng.randint(1, 8), tree(), [tree() for _ in range(rng.randint(0, 4))]) for _ in range(rng.randint(0, 3))]
+    batches = [("a", 0), ("a", 0), ("a", 1), (None, 1), (None, 1), ("a", 0), ("b", 7), ("c", 1)]
+    rows = [(i, *b, None if i == 4 else [] if i == 6 else sets()) for i, b in enumerate(batches)]
+    ids = spark.createDataFrame([(*r[:3], r[3] and [(s, sorted(p), [sorted(t) for t in n]) for s, p, n in r[3]]) for r in rows],
+                                "sent_id bigint, split string, batch_id bigint, sets array<struct<root:int,p:array<int>,n:array<array<int>>>>")
+    maps = lambda s: F.struct(s["root"].alias("root_id"), F.map_from_arrays(s["p"], s["p"]).alias("positive"),
+                              F.transform(s["n"], lambda t: F.map_from_arrays(t, t)).alias("negatives"))
+    df = ids.select("sent_id", "split", "batch_id", F.transform("sets", maps).alias("tree_sets"))
+    for root in (False, True):
+        monkeypatch.setattr(batching, "PADDED", 1 << 20 if root else 3)
+        shaped = batching.with_shapes(df, batching.tree_shapes(df, root))
+        want = plain_packed([((s, b), x) for _, s, b, x in rows], root)
+        for out in (batching.pack_trees(df, root), batching.pack_trees(shaped, root)):
+            assert out.columns[:4] == df.columns
+            got = {r.sent_id: [r.root_mask, r.positive_mask, r.negative_mask, r.root_indexes, r.positive_indexes, r.negative_indexes] for r in out.collect()}
+            assert got.pop(4) == [None] * 6
+            for i, w in enumerate(want):
+                assert i == 4 or got[i] == w, [(k, x, y) for k, (x, y) in enumerate(zip(got[i], w)) if x != y]
+    sf = small(spark, tmp_path, ["A bc def. Ghij klm no pqrs tuv wx yz. A b c d e f g h i j", "", "One two", "x"])
+    plan = plan_of(QUERIES["h16_packed_trees"](spark, sf))
+    assert plan.count("_sets(") == 2 and "Window" not in plan
+    assert not re.search(r"Exchange.*\n[^\n]*(MapInArrow|ArrowEvalPython) _?(packed|sets)", plan)
+
+
+def test_divergences_of_pairs(spark, monkeypatch):
+    """The same numbers as ``divergence`` row by row, with and without a mask, where widths differ and where positions are missing."""
+    monkeypatch.setattr(scoring, "COMPARED", 7)
+    rng = np.random.default_rng(2)
+    dist = lambda n: (w := rng.random(n) * (rng.random(n) > 0.2), (w / max(w.sum(), 1e-9)).tolist())[1]
+    rows = []
+    for s in range(12):
+        n = int(rng.integers(1, 7))
+        at = [dist(n if s % 3 else int(rng.integers(0, 7))) for _ in range(n)]
+        if s == 5:
+            at[0], at[-1] = None, [None] * n
+        pairs = [[(int(a), int(b)) for a, b in rng.integers(-1, n + 1, (int(rng.integers(0, 4)), 2))] for _ in range(s % 4)]
+        rows.append((s, at, pairs + [[(None, 0)]], [int(m) for m in rng.integers(0, 2, n + s % 2)]))
+    df = spark.createDataFrame(rows, "s int, at array<array<double>>, pairs array<array<struct<a:int,b:int>>>, mask array<int>")
+    for mask in (None, F.col("mask")):
+        plain = F.transform("pairs", lambda ps: F.transform(ps, lambda p: scoring.divergence(F.get("at", p["a"]), F.get("at", p["b"]), mask)))
+        both = df.select("s", scoring.divergences(F.col("at"), F.col("pairs"), mask).alias("got"), plain.alias("want")).collect()
+        for r in both:
+            assert [len(x) for x in r.got] == [len(x) for x in r.want]
+            for got, want in zip(sum(r.got, []), sum(r.want, [])):
+                assert got == (want if want is None else pytest.approx(want, abs=1e-12)), r.s
+        assert any(x is not None for r in both for x in sum(r.got, []))
+
+
+def test_phrase_losses_of_pairs(spark):
+    rows = [(1, [(2, 1, 0, [2, 3]), (3, 0, 2, []), (4, 0, 9, [1])], [[0.5, 0.5, 0.0], [0.2, 0.2, 0.6], [0.1, 0.8, 0.1], [0.3, 0.3, 0.4]]), (2, [], [[1.0]]), (3, None, [[1.0]])]
+    df = spark.createDataFrame(rows, "sent_id int, phrase_sets array<struct<root:int,query:int,positive:int,negatives:array<int>>>, at array<array<double>>")
+    row = lambda p: F.get("at", p)
+    for sign in (1.0, -1.0):
+        score = lambda s, p: scoring.divergence(row(s["query"]), row(p)) * F.lit(sign)  # noqa: B023, E731
+        plain = F.transform("phrase_sets", lambda s: F.struct(s["root"].alias("root"), scoring.info_nce(
+            score(s, s["positive"]), F.transform(s["negatives"], lambda n: score(s, n)), 0.2).alias("loss")))  # noqa: B023
+        want = {(r.sent_id, r.x.root): r.x.loss for r in df.select("sent_id", F.explode(plain).alias("x")).collect()}
+        got = {(r.sent_id, r.root): r.loss for r in scoring.phrase_losses(df, "at", temperature=0.2, sign=sign).collect()}
+        assert len(got) == 3 and got.pop((1, 4)) is want.pop((1, 4)) is None
+        assert got == pytest.approx(want)
