@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from treespark import session
 from treespark.functions import lookup, numbering
 from treespark.llm import substrings
-from treespark.operators import assemble, attention, batching, scoring, trees
+from treespark.operators import assemble, attention, batching, scoring, trees, vocabulary
 from treespark.plans import derived
 from treespark.plans.catalogue import QUERIES
 
@@ -294,3 +294,24 @@ def test_phrase_losses_of_pairs(spark):
         got = {(r.sent_id, r.root): r.loss for r in scoring.phrase_losses(df, "at", temperature=0.2, sign=sign).collect()}
         assert len(got) == 3 and got.pop((1, 4)) is want.pop((1, 4)) is None
         assert got == pytest.approx(want)
+
+
+def test_ids_are_found_in_the_row(spark, tmp_path, monkeypatch):
+    """Pieces are not spread over rows where the vocabulary fits; the ids are those of the joins."""
+    sf = small(spark, tmp_path, ["Words in a row. More words in a row, r\u00e9sum\u00e9s. \n words", "", "words again. Again"])
+    seen = []
+    look = derived.piece_ids
+    monkeypatch.setattr(derived, "piece_ids", lambda *args: seen.append(1) or look(*args))
+    near, some = derived.id_rows(spark, sf), derived.id_rows(spark, sf, "split")
+    assert not seen
+    monkeypatch.setattr(vocabulary, "SENT_CHARACTERS", 1)
+    far = derived.id_rows(spark, sf)
+    assert seen and near.schema == far.schema and some.columns == ["sent_id", "split", "input_ids"]
+    rows = sorted(map(str, near.collect()))
+    assert len(rows) > 4 and rows == sorted(map(str, far.collect()))
+    monkeypatch.undo()
+    twice = f"{sf}/twice"
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    docs.unionByName(docs.where("doc_id = 2")).coalesce(1).write.parquet(f"{twice}/documents.parquet")
+    ids = {r.sent_id: r.input_ids for r in derived.id_rows(spark, twice, "split").collect()}
+    assert any(len(x) % 2 == 0 and x[1:-1:2] == x[2:-1:2] and len(x) > 2 for x in ids.values())  # both copies of a sentence, as in the SQL
